@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash, token_files
+from . import mixing, quality, sharding, simhash, token_files, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan_mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("payload")
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.score_quality(_documents(spark, sf_dir), keep=["doc_id"])
+    return judged.select("doc_id", *quality.FEATURES, "base_failed", "kept", F.round("quality", 6).alias("quality"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -35,7 +44,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_mixing, op7_token_files, op8_simhash)}
+    return {f.__name__: f for f in (op2_sharding, op3_mixing, op4_warc, op6_quality, op7_token_files, op8_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
