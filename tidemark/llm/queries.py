@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash, token_files, warc
+from . import language, licenses, mixing, quality, sharding, simhash, token_files, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_documents(spark, sf_dir))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir), keep=["doc_id"]).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_mixing, op4_warc, op6_quality, op7_token_files, op8_simhash)}
+    return {f.__name__: f for f in (op2_sharding, op3_mixing, op4_warc, op6_quality, op7_token_files, op8_simhash, op9_language, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
