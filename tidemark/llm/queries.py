@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, licenses, mixing, quality, sharding, simhash, token_files, warc
+from . import decontaminate, language, licenses, mixing, quality, sharding, simhash, token_files, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("payload")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.score_quality(_documents(spark, sf_dir), keep=["doc_id"])
     return judged.select("doc_id", *quality.FEATURES, "base_failed", "kept", F.round("quality", 6).alias("quality"))
@@ -52,7 +56,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_mixing, op4_warc, op6_quality, op7_token_files, op8_simhash, op9_language, op10_licenses)}
+    return {f.__name__: f for f in (op2_sharding, op3_mixing, op4_warc, op5_decontaminate, op6_quality, op7_token_files, op8_simhash, op9_language, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
