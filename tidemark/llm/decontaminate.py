@@ -118,14 +118,16 @@ class Index:
     def distances(self, folded: np.ndarray, offsets: np.ndarray, window: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of each window against any stretch of its text in the band, and the stretch's text.
 
-        Columns are diagonals: the band's and the budget's to both sides. A band near a text's edge is held
-        against every text it touches.
+        Columns are diagonals: the band's and the budget's to both sides. A band is held against every text
+        it touches.
         """
         slack = int(self.budget.max())
         width = 2 * BAND + 2 * slack
         base = band * BAND - slack
-        touched = [np.searchsorted(offsets, np.clip(base + x, 0, len(folded) - 1), "right") - 1 for x in (0, width // 2, width + self.length[window] // 2, width + self.length[window])]
-        pairs = np.unique(np.concatenate([np.stack([np.arange(len(window)), t], 1) for t in touched]), axis=0)
+        inside = lambda x: np.searchsorted(offsets, np.clip(x, 0, len(folded) - 1), "right") - 1
+        first, n = inside(base), inside(base + width + self.length[window]) - inside(base) + 1
+        text = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        pairs = np.stack([np.repeat(np.arange(len(window)), n), text], 1)
         best, text = np.full(len(pairs), WINDOW, np.int64), pairs[:, 1]
         for lo in range(0, len(pairs), 4096):
             part = pairs[lo : lo + 4096]
@@ -159,8 +161,11 @@ class Index:
             return []
         edits, pairs = self.distances(folded, offsets, window, band)
         w = window[pairs[:, 0]]
-        fits = edits <= self.budget[w]
-        return [(int(t), self.item[k], int(e), int(self.length[k])) for t, k, e in zip(pairs[fits, 1], w[fits].tolist(), edits[fits])]
+        best: dict[tuple[int, int], int] = {}  # a region lies in one or two bands
+        for t, k, e in zip(pairs[:, 1].tolist(), w.tolist(), edits.tolist()):
+            if e <= self.budget[k]:
+                best[t, k] = min(e, best.get((t, k), e))
+        return [(t, self.item[k], e, int(self.length[k])) for (t, k), e in best.items()]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
