@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, quality, sharding, simhash, token_files, warc
+from . import decontaminate, language, licenses, mixing, quality, sharding, simhash, substrings, token_files, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_documents(spark, sf_dir)).drop("kept")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.shard_by_bytes(_documents(spark, sf_dir))
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -56,7 +60,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op3_mixing, op4_warc, op5_decontaminate, op6_quality, op7_token_files, op8_simhash, op9_language, op10_licenses)}
+    return {f.__name__: f for f in (op1_substrings, op2_sharding, op3_mixing, op4_warc, op5_decontaminate, op6_quality, op7_token_files, op8_simhash, op9_language, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
