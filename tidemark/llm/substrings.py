@@ -328,7 +328,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     dealt = dealt.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")).repartition(n, "run")
     minimizers = _shared_minimizers(dealt, window, runs)
     answers = _edge_answers(dealt, minimizers, window, runs)
-    places = _place_paths(dealt, minimizers, answers, window).where("doc_id is not null")
+    # dealt by both columns, so that a path in very many documents is spread; the grouping and the join both start here
+    places = _place_paths(dealt, minimizers, answers, window).where("doc_id is not null").repartition(n, "digest", "run")
     sources = places.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
     spans = places.join(sources, "digest").where(F.col("doc_id") > F.col("source.doc_id")).select("run", "doc_id", "start", "n_words")
     return _cut(dealt, spans)
