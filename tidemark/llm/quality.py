@@ -112,21 +112,31 @@ def fit(votes: DataFrame, rules: list[str], steps: int = 12) -> tuple[float, dic
     return prior, right
 
 
-def score_quality(docs: DataFrame, keep: list[str], text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """`keep` columns of each row with FEATURES, the votes, quality (posterior), base_failed and kept.
-
-    base_failed: under 20 words, or over 30 % of the words in 8-word windows found twice. kept: not
-    base_failed and quality of at least `least`. Null and empty texts fail; rows are judged one by one, so
-    repeated rows get equal verdicts; an empty table gives no rows; columns not in `keep` are ignored.
-    The features are written once; both the fit and the verdicts read them.
-    """
+def _judge(docs: DataFrame, keep: list[str], text_col: str, least: float) -> DataFrame:
+    """_keep0, _keep1, ... and all that is found out; the features are written once, fit and verdicts read them."""
     rules = default_rules()
     base = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
-    counted = text_features(base, "_text").drop("_text")
-    votes = materialise(counted.withColumns(rules), "votes")
+    votes = materialise(text_features(base, "_text").drop("_text").withColumns(rules), "votes")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     based = votes.withColumn("base_failed", failed)
     # what the base rules reject is decided and would pass for the only kind of bad text
     prior, right = fit(based.where("not base_failed"), list(rules))
-    judged = based.withColumn("quality", _posterior(list(rules), prior, right)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
-    return judged.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], *FEATURES, *rules, "quality", "base_failed", "kept")
+    return based.withColumn("quality", _posterior(list(rules), prior, right)).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))
+
+
+def score_quality(docs: DataFrame, keep: list[str], text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """`keep` columns of each row with FEATURES, the votes, quality (posterior), base_failed and kept.
+
+    base_failed: under 20 words, or over 30 % of the words in 8-word windows found twice. kept: not
+    base_failed and quality of at least `least`. Null and empty texts fail; rows are judged one by one, so
+    repeated rows get equal verdicts; an empty table gives no rows; columns not in `keep` are ignored, and
+    those in it must not have the names of the columns added.
+    """
+    judged = _judge(docs, keep, text_col, least)
+    return judged.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], *FEATURES, *default_rules(), "quality", "base_failed", "kept")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score_quality keeps; the columns stay as they are, whatever their names."""
+    judged = _judge(docs, docs.columns, text_col, least)
+    return judged.where("kept").select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(docs.columns)])

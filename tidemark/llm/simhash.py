@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, with_row_id
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -209,3 +209,15 @@ def near_duplicates(docs: DataFrame, most: int = 2, words_each: int = 3, keep: l
     found = components(ends.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     named = values.join(found.withColumnRenamed("node", "least"), "least", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id", *keep)
+
+
+def deduplicate(docs: DataFrame, most: int = 2, words_each: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that with the smallest id (of equal ids, the first read).
+
+    The columns stay as they are. Rows without an id count last; components in which no row has one go by their fingerprint.
+    """
+    rows = with_row_id(docs)
+    found = near_duplicates(rows, most, words_each, keep=["_row"], id_col=id_col, text_col=text_col)
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
+    stays = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(stays.select("_row"), "_row", "left_semi").select(*docs.columns)
