@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from functools import lru_cache
 from itertools import islice
 
@@ -89,7 +90,6 @@ def frames(blob: bytes):
 # ---------------------------------------------------------------- tokens
 
 
-@lru_cache(maxsize=1)
 def _tokenizer(path: str):
     import os
 
@@ -99,16 +99,12 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-#: White space next to a space, in ASCII texts and in any.
-_BESIDE = ["  ", *(x for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for x in (" " + c, c + " "))]
+#: White space next to a space, and ASCII characters that are rare and may be white space.
+_BESIDE = ("  ", " \n", "\n ")
+_RARE = "\0\t\v\f\r\x1c\x1d\x1e\x1f"
 _BESIDE_ANY = re.compile(r" \s|[^\S ] ")
 
 
-def _cut(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    return [first, *map(" ".__add__, rest)]
-
-
 class Encoder:
     """Whole texts to ids by the tokenizers library, asked once per distinct piece.
 
@@ -117,7 +113,7 @@ class Encoder:
     other white space beside a space, or a special token's string go to the library whole.
     """
 
-    def __init__(self, path: str, cached: int = 600_000):
+    def __init__(self, path: str, cached: int = 1_200_000):
         self.tokenizer, self.cached, self.known = _tokenizer(path), cached, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -127,30 +123,46 @@ class Encoder:
     def divisible(self, text: str) -> bool:
         if not text or text[0] == " " or text[-1] == " " or any(x in text for x in self.special):
             return False
-        return not any(x in text for x in _BESIDE) if text.isascii() else not _BESIDE_ANY.search(text)
+        if any(x in text for x in _BESIDE) or "\0" in text:
+            return False
+        return (text.isascii() and not any(x in text for x in _RARE)) or not _BESIDE_ANY.search(text)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        apart = [self.divisible(t) for t in texts]
-        # the pieces of a text but its first stand after a space
-        cut = [_cut(t) if ok else () for t, ok in zip(texts, apart)]
-        new = list({x for p in cut for x in p if x not in self.known})
+    def learn(self, pieces: set[str]) -> None:
+        if len(self.known) > self.cached:  # frequent pieces came early
+            self.known = dict(islice(self.known.items(), self.cached // 2))
+        new = list(pieces)
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
-            self.known.update((x, np.array(e.ids, "<u2").tobytes()) for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+            self.known.update((x, array("H", e.ids).tobytes()) for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        # the pieces of a text but its first stand after a space
+        cut = [t.replace(" ", "\0 ").split("\0") if self.divisible(t) else None for t in texts]
+        found = [p and list(map(self.known.get, p)) for p in cut]
+        self.learn({x for p, f in zip(cut, found) if f and None in f for x, y in zip(p, f) if y is None})
         get = self.known.__getitem__
-        out = [b"".join(map(get, p)) if ok else self.whole(t) for t, p, ok in zip(texts, cut, apart)]
-        if len(self.known) > self.cached:  # frequent pieces came early
-            self.known = dict(islice(self.known.items(), self.cached // 2))
+        out = []
+        for t, p, f in zip(texts, cut, found):
+            if f is None:
+                out.append(self.whole(t))
+            else:
+                out.append(b"".join(f if None not in f else [get(x) if y is None else y for x, y in zip(p, f)]))
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One per Python worker, so that its pieces are known to the tasks that come later."""
+    return Encoder(path)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (little-endian unsigned 16-bit, end_id last) of each row; null text has only end_id."""
     if not 0 <= end_id < VOCABULARY:
         raise ValueError("ids are kept in 16 bits here")
 
     def run(batches):
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u2").tobytes()
+        encoder, end = _encoder(tokenizer), np.array([end_id], "<u2").tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 some = batch.slice(k, 512)
