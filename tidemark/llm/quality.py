@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,29 +87,31 @@ def _posterior(rules: list[str], prior: float, right: dict[str, tuple[float, flo
     return 1 / (1 + F.exp(-odds))
 
 
-def fit(votes: DataFrame, rules: list[str], steps: int = 12) -> tuple[float, dict[str, tuple[float, float]]]:
+def fit(votes: DataFrame, rules: list[str], steps: int = 12, settled: float = 1e-4) -> tuple[float, dict[str, tuple[float, float]]]:
     """Prior of good quality and, per rule, its accuracy on good and on bad documents it votes on, by EM.
 
     All rows of `votes` count: they are first summed to their patterns of votes (at most
     3 ** len(rules) rows, however many documents), and each step is one aggregate over those. Imagined votes
     keep the classes apart where one is rare; accuracies on good documents stay in 0.55 to 0.998, on bad
-    in 0.002 to 0.998, the prior in 0.5 to 0.99.
+    in 0.002 to 0.998, the prior in 0.5 to 0.99. It ends after `steps`, or when nothing moves by more than `settled`.
     """
     patterns = materialise(votes.groupBy(*rules).agg(F.count("*").cast("double").alias("_n")).coalesce(1), "vote-patterns")
     prior, right, clip = 0.9, dict.fromkeys(rules, (_GOOD, _BAD)), lambda x, a, b: round(min(max(x, a), b), 6)
+    votes_of = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("vote")) for r in rules]))
+    on = lambda v, x: F.sum(F.when(F.col("v.vote").isin(*v), x).otherwise(0.0))
     for _ in range(steps):
-        good = F.col("_n") * _posterior(rules, prior, right)
-        bad = F.col("_n") - good
-        on = lambda r, v, x: F.sum(F.when(F.col(r).isin(*v), x).otherwise(0.0))
-        sums = [F.sum(good).alias("good"), F.sum("_n").alias("all")]
-        for r in rules:
-            sums += [on(r, [1], good).alias(f"{r}_for"), on(r, [1, -1], good).alias(f"{r}_good"), on(r, [-1], bad).alias(f"{r}_against"), on(r, [1, -1], bad).alias(f"{r}_bad")]
-        s = patterns.agg(*sums).first()
-        if not s["all"]:
+        weighed = patterns.withColumn("good", F.col("_n") * _posterior(rules, prior, right)).select("_n", "good", votes_of.alias("v"))
+        good, bad = F.col("good"), F.col("_n") - F.col("good")
+        sums = weighed.groupBy("v.rule").agg(F.sum("_n").alias("n"), F.sum("good").alias("good"), on([1], good).alias("rightly_for"), on([1, -1], good).alias("on_good"), on([-1], bad).alias("rightly_against"), on([1, -1], bad).alias("on_bad"))
+        of = {s["rule"]: s for s in sums.collect()}  # a row per rule
+        if not of:
+            break
+        one = of[rules[0]]
+        before, prior = (prior, *right.values()), clip(one["good"] / one["n"], 0.5, 0.99)
+        share = lambda a, b, imagined: (a + _IMAGINED * imagined) / (b + _IMAGINED)
+        right = {r: (clip(share(of[r]["rightly_for"], of[r]["on_good"], _GOOD), 0.55, 1 - _FLOOR), clip(share(of[r]["rightly_against"], of[r]["on_bad"], _BAD), _FLOOR, 1 - _FLOOR)) for r in rules}
+        if np.allclose(np.hstack(before), np.hstack((prior, *right.values())), rtol=0, atol=settled):
             break
-        prior = clip(s["good"] / s["all"], 0.5, 0.99)
-        share = lambda a, b, imagined: (s[a] + _IMAGINED * imagined) / (s[b] + _IMAGINED)  # noqa: E731,B023
-        right = {r: (clip(share(f"{r}_for", f"{r}_good", _GOOD), 0.55, 1 - _FLOOR), clip(share(f"{r}_against", f"{r}_bad", _BAD), _FLOOR, 1 - _FLOOR)) for r in rules}
     return prior, right
 
 
