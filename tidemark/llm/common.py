@@ -98,17 +98,25 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _space)
 _tables = np.random.default_rng(20240607).integers(0, 2**64, (64, 256), np.uint64)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit tabulation hash of each word: a sum of random numbers chosen by byte and place."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """64-bit tabulation hash of each word: a sum of random numbers chosen by byte and place.
+
+    Some 30 bytes of memory are needed per byte of text, so a block of words is hashed at a time.
+    """
     lengths = ends - starts
-    into = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(into, lengths)
-    value = _tables[place & 63, data[place + np.repeat(starts, lengths)]]
-    if lengths.max() > 64:
-        value = value * (2 * (place >> 6) + 1).astype(np.uint64)
-    return mix(np.add.reduceat(value, into))
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    out, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + block, "right")) - 1)
+        some = lengths[lo:hi]
+        into = total[lo:hi] - total[lo]
+        place = np.arange(int(some.sum()), dtype=np.int64) - np.repeat(into, some)
+        value = _tables[place & 63, data[place + np.repeat(starts[lo:hi], some)]]
+        if some.max() > 64:
+            value = value * (2 * (place >> 6) + 1).astype(np.uint64)
+        out[lo:hi] = np.add.reduceat(value, into)
+        lo = hi
+    return mix(out)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, partitions, word_hashes, word_spans
+from .common import bytes_of, partitions, pieces, word_hashes, word_spans
 
 _SHORT = 6  # words of the grams that minimizers are chosen from
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -140,8 +140,8 @@ def _shared_minimizers(dealt: DataFrame, window: int, buckets: int) -> DataFrame
     def tell(batches):
         kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         texts = 0
-        for batch in batches:
-            words = Words(batch.column("text").cast(pa.large_binary()), window)
+        for batch in (b.slice(i, j - i) for b in batches for i, j in pieces(np.diff(bytes_of(b.column("text"))[1]), 4 << 20)):
+            words = Words(batch.column("text"), window)
             new = words.inside.copy()  # once for windows in a row
             new[1:] &= ~words.inside[:-1] | (words.minimizer[1:] != words.minimizer[:-1]) | (words.text[1 : len(new)] != words.text[: len(new) - 1])
             at = np.flatnonzero(new)
