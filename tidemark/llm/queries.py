@@ -63,5 +63,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_substrings, op2_sharding, op3_mixing, op4_warc, op5_decontaminate, op6_quality, op7_token_files, op8_simhash, op9_language, op10_licenses)}
 
 
+_OP2_SQL = """
+WITH rounds AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+sized AS (
+  SELECT doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  FROM documents, rounds),
+placed AS (SELECT *, CAST(sum(size) OVER (ORDER BY doc_id) - size AS BIGINT) AS start_byte, CAST(sum(size) OVER () AS BIGINT) AS total FROM sized),
+cut AS (SELECT *, CAST(start_byte * 8 // total AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut
+"""
+
+_OP3_SQL = r"""
+WITH sized AS (SELECT doc_id, source IS NULL AS unnamed, coalesce(source, '') AS source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+summed AS (SELECT unnamed, source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY unnamed, source),
+sources AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY unnamed, source) - 1) % 3 + 1 AS INTEGER)] AS weight FROM summed),
+filled AS (
+  SELECT *, 3 * source_size AS cap, 3 * source_size / weight AS ratio,
+    (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER before, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM sources WINDOW before AS (ORDER BY 3 * source_size / weight, unnamed, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+chosen AS (SELECT level FROM filled WHERE level <= ratio ORDER BY ratio, unnamed, source LIMIT 1),
+targets AS (SELECT unnamed, source, source_size, least(coalesce((SELECT level FROM chosen) * weight, cap), cap::DOUBLE) AS target FROM filled),
+ranked AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate, row_number() OVER (PARTITION BY unnamed, source ORDER BY size, doc_id) - 1 AS k,
+    CAST('0x' || substr(md5('mix-1/' || unnamed::VARCHAR || '/' || source), 1, 4) AS BIGINT)::DOUBLE / 65536 AS u
+  FROM sized JOIN targets USING (unnamed, source))
+SELECT doc_id, size, source_size, target, CAST(least(floor((k + 1) * rate + u) - floor(k * rate + u), 3) AS BIGINT) * size AS taken FROM ranked
+"""
+
+_OP4_SQL = """
+WITH hashed AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM hashed)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, i // 4 * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM firsts
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_sharding": _OP2_SQL, "op3_mixing": _OP3_SQL, "op4_warc": _OP4_SQL}
