@@ -8,13 +8,13 @@ from tidemark.llm import common, decontaminate, mixing, quality, simhash
 
 
 def test_stages_keep_columns_and_take_effect(spark):
-    docs = spark.read.parquet(f"{TINY}/documents.parquet").withColumn("n_words", F.lit("clash"))
+    docs = spark.read.parquet(f"{TINY}/documents.parquet").withColumns({c: F.lit("clash") for c in ("n_words", "_row", "size", "fp", "_text")})
     bench = spark.read.parquet(f"{TINY}/benchmark.parquet")
     at = docs
     ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
     wanted = [
-        lambda d: ids(quality.score_quality(d.drop("n_words"), keep=["doc_id"]).where("kept")),
-        lambda d: sorted(r["component_id"] for r in simhash.near_duplicates(d).select("component_id").distinct().collect()),
+        lambda d: ids(quality.score_quality(d.select("doc_id", "text"), keep=["doc_id"]).where("kept")),
+        lambda d: sorted(r["component_id"] for r in simhash.near_duplicates(d.select("doc_id", "text")).select("component_id").distinct().collect()),
         lambda d: sorted(set(ids(d)) - {r["doc_id"] for r in decontaminate.find_leaks(d, bench).collect()}),
         lambda d: sorted(r["doc_id"] for r in mixing.plan_mix(d).collect() for _ in range(r["copies"])),
     ]

@@ -39,9 +39,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_row_id(docs: DataFrame, column: str = "_row") -> DataFrame:
-    """docs with a unique id per row, fixed by writing it: repeated rows and ids stay apart."""
-    return materialise(docs.withColumn(column, F.monotonically_increasing_id()), "rows")
+def with_row_id(docs: DataFrame) -> DataFrame:
+    """_row, a unique id per row, and _doc, the row: written once, so that the id stays what it is. Repeated
+    rows and ids stay apart, and no column of docs can clash with ours."""
+    return materialise(docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")), "rows")
 
 
 def prefix_sums(df: DataFrame, order: list[Column], sums: dict[str, Column], by: list[str] = ()) -> DataFrame:

@@ -211,5 +211,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item; the columns stay as they are."""
     rows = with_row_id(docs)
-    leaking = find_leaks(rows, benchmark, id_col="_row", text_col=text_col).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(leaking, "_row", "left_anti").select(*docs.columns)
+    leaking = find_leaks(rows.select("_row", F.col(f"_doc.{text_col}")), benchmark, id_col="_row", text_col=text_col).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(leaking, "_row", "left_anti").select("_doc.*")

@@ -61,9 +61,9 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     return both.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)
 
 
-def mix_sources(docs: DataFrame, **how) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of docs, each as often as plan_mix takes it; the columns stay as they are."""
     rows = with_row_id(docs)
-    taken = plan_mix(rows, keep=["_row"], **how).where("copies > 0").select("_row", "copies")
-    repeated = rows.join(taken, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*docs.columns)
+    slim = rows.select("_row", *(F.col(f"_doc.{c}") for c in (id_col, text_col, source_col)))
+    taken = plan_mix(slim, keep=["_row"], id_col=id_col, text_col=text_col, source_col=source_col, **how).where("copies > 0").select("_row", "copies")
+    return rows.join(taken, "_row").select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).select("_doc.*")

@@ -217,7 +217,8 @@ def deduplicate(docs: DataFrame, most: int = 2, words_each: int = 3, id_col: str
     The columns stay as they are. Rows without an id count last; components in which no row has one go by their fingerprint.
     """
     rows = with_row_id(docs)
-    found = near_duplicates(rows, most, words_each, keep=["_row"], id_col=id_col, text_col=text_col)
+    slim = rows.select("_row", F.col(f"_doc.{id_col}"), F.col(f"_doc.{text_col}"))
+    found = near_duplicates(slim, most, words_each, keep=["_row"], id_col=id_col, text_col=text_col)
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
     stays = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row"))["_row"].alias("_row"))
-    return rows.join(stays.select("_row"), "_row", "left_semi").select(*docs.columns)
+    return rows.join(stays.select("_row"), "_row", "left_semi").select("_doc.*")
