@@ -313,23 +313,26 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """doc_id, n_words, n_removed, kept (what is left, words joined by one space) and kept_sha256 of each row.
 
     A word goes if a window of `window` words covers it whose words also stand in a document with a smaller id.
-    Null text has no words; rows with equal ids count as one document, whose rows each lose what any of
-    their places loses by word number; rows with null ids come before all others and lose nothing, and
-    what stands in them is not a source; texts shorter than a window lose nothing; an empty table gives no rows; other columns are
-    ignored whatever their names. A window is told by a 64-bit hash, its neighbours by 31 bits and what is removed by
-    a 128-bit digest of the words at both places, so a collision can't remove words that don't repeat.
+    Null text has no words. Rows with equal ids count as one document: none is another's source, and each loses,
+    by word number, what any of them loses. Rows with null ids lose nothing and are no source. Texts shorter than
+    a window lose nothing; an empty table gives no rows; other columns are ignored whatever their names. A window
+    is told by a 64-bit hash, its neighbours by 31 bits, and what is removed by a 128-bit digest of the words at both
+    places: a collision can't remove words that don't repeat.
     """
     if not _SHORT + 7 <= window <= _SHORT + 15:
         raise ValueError("the minimizers are laid out for windows of 13 to 21 words")
     n = partitions(docs.sparkSession)
-    runs = 4 * n
+    runs = 3 * n  # more than one per task, as hashing deals them unevenly; each tells one row per bucket, one bucket per task
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     dealt = dealt.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")).repartition(n, "run")
-    minimizers = _shared_minimizers(dealt, window, runs)
-    answers = _edge_answers(dealt, minimizers, window, runs)
+    minimizers = _shared_minimizers(dealt, window, n)
+    answers = _edge_answers(dealt, minimizers, window, n)
     # dealt by both columns, so that a path in very many documents is spread; the grouping and the join both start here
     places = _place_paths(dealt, minimizers, answers, window).where("doc_id is not null").repartition(n, "digest", "run")
-    sources = places.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # all columns are named, so that both sides need the same exchange and Spark makes it once
+    sources = places.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "n_words", "run")).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # dealt anew, so that the join has exchanges of its own on both sides and Spark can split a path in very many documents
+    sources = sources.repartition(n, "source")
     spans = places.join(sources, "digest").where(F.col("doc_id") > F.col("source.doc_id")).select("run", "doc_id", "start", "n_words")
     return _cut(dealt, spans)
