@@ -44,8 +44,9 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded[: len(ranks)] = extra
     four = padded.reshape(-1, 4)
     control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
-    used = np.arange(4, dtype=np.uint8) <= extra[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    width = int(extra.max(initial=0)) + 1
+    used = np.arange(width, dtype=np.uint8) <= extra[:, None]
+    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[:, :width][used].tobytes()
 
 
 #: For each control byte, the lengths of its four numbers.
@@ -57,10 +58,10 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The numbers again: lengths by table lookup, places by a running sum, values by mask."""
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     at = np.cumsum(lengths) - lengths
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
-    value = raw[at] | raw[at + 1] << 8
+    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
+    value = raw[at] | raw[at + 1].astype(np.uint32) << 8
     if len(lengths) and lengths.max() > 2:
-        value |= raw[at + 2] << 16 | raw[np.minimum(at + 3, len(raw) - 1)] << 24
+        value |= raw[at + 2].astype(np.uint32) << 16 | raw[at + 3].astype(np.uint32) << 24
     return value & _MASKS[lengths]
 
 
@@ -105,6 +106,10 @@ _RARE = "\0\t\v\f\r\x1c\x1d\x1e\x1f"
 _BESIDE_ANY = re.compile(r" \s|[^\S ] ")
 
 
+#: How the byte-level pre-tokenizer parts ASCII text (a fixed pattern).
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\v\f\rA-Za-z0-9]+|[ \t\n\v\f\r]+(?![^ \t\n\v\f\r])|[ \t\n\v\f\r]+")
+
+
 class Encoder:
     """Whole texts to ids by the tokenizers library, asked once per distinct piece.
 
@@ -127,20 +132,30 @@ class Encoder:
             return False
         return (text.isascii() and not any(x in text for x in _RARE)) or not _BESIDE_ANY.search(text)
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of pieces not known yet. ASCII pieces are put together from the pre-tokenizer's parts, as a word
+        comes with many endings; those with a line end hardly come again and are not remembered."""
         if len(self.known) > self.cached:  # frequent pieces came early
             self.known = dict(islice(self.known.items(), self.cached // 2))
-        new = list(pieces)
+        parts = {x: _PARTS.findall(x) if x.isascii() else [x] for x in pieces}
+        new = list({p for ps in parts.values() for p in ps if p not in self.known})
+        # one part of printable ASCII is one word of the model, whose byte alphabet writes the space as a letter
+        words = [p for p in new if p.isascii() and p[0] != "\n" and p.isprintable() and not p.isspace()]
+        split = self.tokenizer.model.tokenize
+        self.known.update((p, array("H", [t.id for t in split(p.replace(" ", "\u0120"))]).tobytes()) for p in words)
+        new = [p for p in new if p not in self.known]
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
             self.known.update((x, array("H", e.ids).tobytes()) for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+        out = {x: b"".join([self.known[p] for p in ps]) for x, ps in parts.items()}
+        self.known.update((x, ids) for x, ids in out.items() if "\n" not in x)
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         # the pieces of a text but its first stand after a space
         cut = [t.replace(" ", "\0 ").split("\0") if self.divisible(t) else None for t in texts]
         found = [p and list(map(self.known.get, p)) for p in cut]
-        self.learn({x for p, f in zip(cut, found) if f and None in f for x, y in zip(p, f) if y is None})
-        get = self.known.__getitem__
+        get = self.learn({x for p, f in zip(cut, found) if f and None in f for x, y in zip(p, f) if y is None}).__getitem__
         out = []
         for t, p, f in zip(texts, cut, found):
             if f is None:
