@@ -322,7 +322,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     if not _SHORT + 7 <= window <= _SHORT + 15:
         raise ValueError("the minimizers are laid out for windows of 13 to 21 words")
     n = partitions(docs.sparkSession)
-    runs = 3 * n  # more than one per task, as hashing deals them unevenly; each tells one row per bucket, one bucket per task
+    runs = 2 * n  # more than one per task, as hashing deals them unevenly; each tells one row per bucket, one bucket per task
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     dealt = dealt.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")).repartition(n, "run")
