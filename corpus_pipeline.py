@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import common, decontaminate, mixing, quality, simhash, token_files
+from tidemark.llm import common, decontaminate, mixing, quality, similar, token_files
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +17,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return simhash.deduplicate(docs)
+    """One document of each component of five-word shingle similarity of 0.8 or more."""
+    return similar.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,13 +40,13 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", keep_quality),
-    ("simhash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("mixing to target weights", mix_to_targets),
     ("token files", write_tokens),
 ]
 
-#: Weak supervision, SimHash and tokenizing are beyond SQL; tests/llm holds the run against brute force.
+#: Weak supervision, MinHash and tokenizing are beyond SQL; tests/llm holds the run against brute force.
 ORACLE_SQL = None
 
 
