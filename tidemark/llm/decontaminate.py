@@ -12,6 +12,8 @@ from .common import bytes_of, mix, pieces
 Q = 8
 ERRORS = 0.08
 WINDOW = 160
+PASSAGE = 70  # about 13 words: a quote of so many folded bytes of any item is found, wherever it starts
+STRIDE = 10  # a passage holds a whole one of the windows of PASSAGE - STRIDE bytes at this stride
 SHORTEST = 30
 BAND = 32  # diagonals from one band to the next; a band has twice as many, and an edit budget is below it
 BLOCK_BYTES = 1 << 20
@@ -52,10 +54,13 @@ class Index:
             folded = folded[:-1] if len(folded) and folded[-1] == 32 else folded
             if len(folded) < SHORTEST:
                 continue
-            last = max(0, len(folded) - WINDOW)
-            for at in sorted({*range(0, last, WINDOW // 2), last}):
-                self.windows.append(folded[at : at + WINDOW])
-                self.item.append(item)
+            for size, stride in ((WINDOW, WINDOW // 2), (PASSAGE - STRIDE, STRIDE)):
+                last = max(0, len(folded) - size)
+                for at in sorted({*range(0, last, stride), last}):
+                    self.windows.append(folded[at : at + size])
+                    self.item.append(item)
+                if last == 0 and len(folded) <= PASSAGE - STRIDE:
+                    break
         self.length = np.array([len(w) for w in self.windows], np.int64)
         self.budget = (self.length * ERRORS).astype(np.int64)
         #: The q-gram lemma: so many q-grams survive that many edits.
@@ -128,6 +133,7 @@ class Index:
         first, n = inside(base), inside(base + width + self.length[window]) - inside(base) + 1
         text = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         pairs = np.stack([np.repeat(np.arange(len(window)), n), text], 1)
+        pairs = pairs[np.argsort(self.length[window[pairs[:, 0]]], kind="stable")]  # windows of a length together
         best, text = np.full(len(pairs), WINDOW, np.int64), pairs[:, 1]
         for lo in range(0, len(pairs), 4096):
             part = pairs[lo : lo + 4096]
@@ -178,10 +184,12 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, windows and edits (of the best window) for every document that holds an item.
+    """doc_id, item_id, windows and edits (of the best of the longest windows found) for every document that holds an
+    item or a passage of 70 bytes of it.
 
     Texts are compared folded: lower case, punctuation and white space as one space. Items of 30 to 160
-    folded bytes count as a whole, longer ones by windows of 160 that overlap by half; 8 % of a
+    folded bytes count as a whole, longer ones by windows of 160 that overlap by half, and all over 60 also by windows
+    of 60 at every tenth byte, so that each passage of 70 holds one; 8 % of a
     window's length may be edits. Shorter items are no evidence and match nothing. Every document is read
     once per block of the benchmark; no document is compared with another. Null and empty texts hold
     nothing, items that are equal are all reported, rows with equal ids are one document, rows with null ids
@@ -205,7 +213,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64() if item_type == "bigint" else None), pa.array(edits, pa.int32()), pa.array(length, pa.int32())], ["doc_id", "item_id", "edits", "length"])
 
         found = found.union(picked.mapInArrow(run, schema))
-    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.min("edits").alias("edits"))
+    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.min(F.struct(-F.col("length"), "edits"))["edits"].alias("edits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
