@@ -7,20 +7,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mix, pieces
+from .common import bytes_of, materialise, pieces
 
 Q = 8
 ERRORS = 0.08
-WINDOW = 160
-PASSAGE = 70  # about 13 words: a quote of so many folded bytes of any item is found, wherever it starts
-STRIDE = 10  # a passage holds a whole one of the windows of PASSAGE - STRIDE bytes at this stride
-SHORTEST = 30
-BAND = 32  # diagonals from one band to the next; a band has twice as many, and an edit budget is below it
-BLOCK_BYTES = 1 << 20
+PASSAGE = 60  # so many folded bytes of an item, from any place of it, are a leak
+SHORT = 30  # items below that must stand word for word
+BAND = 8  # diagonals from one band to the next; a band has twice as many, and an edit budget is below it
+PIECE = 4096  # longer items are cut, with an overlap of a passage
+BLOCK_BYTES = 1 << 22
+_GAP = 2 * PASSAGE  # zero bytes between texts: no band reaches from one text into the next
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = 32
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,179 +29,268 @@ def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     low = _FOLD[data]
     stay = low != 32
     if len(low):
-        first = offsets[:-1][offsets[:-1] < len(low)]
-        after = np.concatenate([[False], stay[:-1]])
-        after[first] = False  # none at a text's start
-        stay = stay | after
+        after = np.empty(len(low), bool)
+        after[0], after[1:] = False, stay[:-1]
+        after[offsets[:-1][offsets[:-1] < len(low)]] = False  # none at a text's start
+        stay |= after
     return low[stay], np.concatenate([[0], np.cumsum(stay)])[offsets]
 
 
 def grams(folded: np.ndarray) -> np.ndarray:
-    """A 64-bit code of the Q bytes from each place."""
-    code = np.zeros(max(0, len(folded) - Q + 1), np.uint64)
-    for k in range(Q):
-        code = code << np.uint64(8) | folded[k : k + len(code)]
-    return mix(code)
+    """A 64-bit code, well spread in its upper bits, of the Q = 8 bytes from each place."""
+    if len(folded) < Q:
+        return np.zeros(0, np.uint64)
+    two = folded[:-1].astype(np.uint16) << np.uint16(8) | folded[1:]
+    four = two[:-2].astype(np.uint32) << np.uint32(16) | two[2:]
+    eight = four[:-4].astype(np.uint64) << np.uint64(32) | four[4:]
+    eight ^= eight >> np.uint64(29)
+    return eight * _MULTIPLIER
+
+
+def budget(length: np.ndarray) -> np.ndarray:
+    """Edits that a window of so many bytes may have."""
+    return np.where(length < SHORT, 0, (length * ERRORS).astype(np.int64))
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (n numbers) for each."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 class Index:
-    """Windows of benchmark items with the places of their q-grams."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.windows, self.item = [], []
-        for item, text in items:
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            folded = fold(raw, np.array([0, len(raw)]))[0]
-            folded = folded[:-1] if len(folded) and folded[-1] == 32 else folded
-            if len(folded) < SHORTEST:
-                continue
-            for size, stride in ((WINDOW, WINDOW // 2), (PASSAGE - STRIDE, STRIDE)):
-                last = max(0, len(folded) - size)
-                for at in sorted({*range(0, last, stride), last}):
-                    self.windows.append(folded[at : at + size])
-                    self.item.append(item)
-                if last == 0 and len(folded) <= PASSAGE - STRIDE:
-                    break
-        self.length = np.array([len(w) for w in self.windows], np.int64)
-        self.budget = (self.length * ERRORS).astype(np.int64)
-        #: The q-gram lemma: so many q-grams survive that many edits.
-        self.least = np.maximum(1, self.length - Q + 1 - Q * self.budget)
-        if not self.windows:
+    """Folded items, in pieces of PIECE bytes at most, with the places of their q-grams."""
+
+    def __init__(self, items: list[tuple[object, str | bytes | None]]):
+        folded = []
+        for _, text in items:
+            raw = np.frombuffer(text if isinstance(text, bytes) else (text or "").encode(), np.uint8)
+            low = fold(raw, np.array([0, len(raw)]))[0]
+            folded.append(low[:-1] if len(low) and low[-1] == 32 else low)
+        self.key = [k for (k, _), f in zip(items, folded) if len(f) >= SHORT]
+        long = [f for f in folded if len(f) >= SHORT]
+        self.short: dict[int, dict[bytes, list]] = {}
+        for (key, _), f in zip(items, folded):
+            if 0 < len(f) < SHORT:
+                self.short.setdefault(len(f), {}).setdefault(f.tobytes(), []).append(key)
+        self.length = np.array([len(f) for f in long], np.int64)
+        self.data = np.concatenate([*long, np.zeros(PASSAGE, np.uint8)])
+        self.start = np.cumsum(self.length) - self.length
+        self.width = np.minimum(self.length, PASSAGE)  # of the piece's windows
+        self.most = budget(self.width)
+        #: The q-gram lemma: so many of a window's q-grams survive that many edits.
+        self.least = self.width - Q + 1 - Q * self.most
+        if not long:
             return
-        codes = [grams(w) for w in self.windows]
-        code, window = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
-        place = np.concatenate([np.arange(len(c)) for c in codes])
+        place = _ranges(self.start, self.length - Q + 1)
+        code = grams(self.data)[place]
         order = np.argsort(code, kind="stable")
         self.code, self.first = np.unique(code[order], return_index=True)
         self.first = np.append(self.first, len(code))
-        self.window, self.place = window[order], place[order]
-        bits = min(24, max(16, int(len(self.code)).bit_length() + 4))
+        self.place = place[order]
+        self.piece = np.searchsorted(self.start, self.place, "right") - 1
+        bits = min(24, max(18, len(self.code).bit_length() + 4))
         self.shift = np.uint64(64 - bits)
         self.maybe = np.zeros(1 << bits, bool)
-        self.maybe[(self.code >> self.shift).astype(np.int64)] = True
-        # any region has so many hits within some stretch of `span` places
-        self.span = int((self.length + self.budget).min())
-        self.dense = int((self.least // -(-(self.length + self.budget) // self.span)).min())
-        self.reach = int((self.length + 2 * self.budget).max()) + 4 * BAND
-
-    def candidates(self, folded: np.ndarray, offsets: np.ndarray, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-        """Window and band of every band of diagonals with enough shared q-grams."""
-        code = grams(folded)
-        hit = self.maybe[(code >> self.shift).astype(np.int64)]
-        for k in range(1, Q):  # q-grams over a text's end
-            over = offsets[1:-1] - k
-            hit[over[(over >= 0) & (over < len(hit))]] = False
-        run = np.concatenate([[0], np.cumsum(hit)])
-        end = np.minimum(np.arange(len(hit)) + self.span, len(hit))
-        thick = np.flatnonzero(run[end] - run[:-1] >= self.dense)
+        self.maybe[self.code >> self.shift] = True
+        # any window's region has so many hits within so many places of the text
+        self.dense, self.span = int(self.least.min()), int((self.width + self.most).max()) - Q + 1
+
+    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the text, and numbers of the q-grams that stand there, where enough of them are close together."""
+        code = grams(text)
+        hit = self.maybe[code >> self.shift]
+        run = np.zeros(len(hit) + 1, np.int32)
+        np.cumsum(hit, out=run[1:])
+        n = max(0, len(hit) - self.span)
+        thick = np.flatnonzero(run[self.span : self.span + n] - run[:n] >= self.dense)
+        thick = np.append(thick, np.arange(n, len(hit))) if run[-1] - run[n] >= self.dense else thick
+        if not len(thick):
+            return thick, thick
+        begin = thick[np.concatenate([[True], np.diff(thick) > 1])]
+        end = thick[np.concatenate([np.diff(thick) > 1, [True]])] + self.span
         cover = np.zeros(len(hit) + 1, np.int32)
-        np.add.at(cover, np.maximum(thick - self.reach, 0), 1)
-        np.add.at(cover, np.minimum(thick + self.span + self.reach, len(hit)), -1)
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, np.minimum(end, len(hit)), -1)
         at = np.flatnonzero(hit & (np.cumsum(cover[:-1]) > 0))
         which = np.minimum(np.searchsorted(self.code, code[at]), len(self.code) - 1)
         same = self.code[which] == code[at]
         at, which = at[same], which[same]
+        # of a run of one q-gram every BAND-th place and the ends tell as much: each band that holds one holds such a one
+        alike = np.zeros(len(at) + 1, bool)
+        alike[1:-1] = (np.diff(at) == 1) & (np.diff(which) == 0)
+        needed = ~alike[:-1] | ~alike[1:] | (at % BAND == 0)
+        return at[needed], which[needed]
+
+    def windows(self, at: np.ndarray, which: np.ndarray, most: int = 1 << 21):
+        """Piece, band and first and last place in the piece where a window with enough q-grams in the band can start,
+        in parts of about `most` hits: the rows of a stretch of text are whole in one part."""
         n = self.first[which + 1] - self.first[which]
-        total, found, lo = np.concatenate([[0], np.cumsum(n)]), [], 0
-        while lo < len(at):  # stretches that overlap by more than a region
-            hi = max(lo + 1, int(np.searchsorted(total, total[lo] + most)))
-            hi = max(hi, int(np.searchsorted(at, at[lo] + 2 * self.reach)))
-            found.append(self._bands(at[lo:hi], which[lo:hi], n[lo:hi]))
+        total, lo, reach = np.concatenate([[0], np.cumsum(n)]), 0, self.span + 4 * BAND
+        while lo < len(at):
+            hi = max(int(np.searchsorted(total, total[lo] + most)), int(np.searchsorted(at, at[lo] + 2 * reach)))
+            yield self._dense(at[lo:hi], self.first[which[lo:hi]], n[lo:hi])
             if hi >= len(at):
                 break
-            lo = max(lo + 1, int(np.searchsorted(at, at[hi] - self.reach)))
-        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return keys % len(self.windows), keys // len(self.windows) - (WINDOW // BAND + 2)
-
-    def _bands(self, at: np.ndarray, which: np.ndarray, n: np.ndarray) -> np.ndarray:
-        into = np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        window = self.window[into]
-        band = (np.repeat(at, n) - self.place[into]) // BAND + (WINDOW // BAND + 2)
-        key = band * len(self.windows) + window
-        keys, counts = np.unique(np.concatenate([key, key - len(self.windows)]), return_counts=True)
-        return keys[counts >= self.least[keys % len(self.windows)]]
-
-    def distances(self, folded: np.ndarray, offsets: np.ndarray, window: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least edits of each window against any stretch of its text in the band, and the stretch's text.
-
-        Columns are diagonals: the band's and the budget's to both sides. A band is held against every text
-        it touches.
+            lo = max(lo + 1, int(np.searchsorted(at, at[hi] - reach)))
+
+    def _dense(self, at: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        into = _ranges(first, n)
+        piece = self.piece[into]
+        place = self.place[into] - self.start[piece]
+        band = (np.repeat(at, n) - place + PIECE) // BAND
+        key = (band * len(self.start) + piece) * PIECE + place
+        key = np.sort(np.concatenate([key, key - len(self.start) * PIECE]))
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]  # a window's q-grams count once
+        place, group = key % PIECE, key // PIECE
+        piece = group % len(self.start)
+        last = np.arange(len(key)) + self.least[piece] - 1
+        able = last < len(key)
+        last = np.minimum(last, len(key) - 1)
+        able &= (group[last] == group) & (place[last] - place <= self.width[piece] - Q)
+        i, last = np.flatnonzero(able), last[able]
+        piece = piece[i]
+        low = np.maximum(0, place[last] - (self.width[piece] - Q))
+        high = np.minimum(place[i], self.length[piece] - self.width[piece])
+        return np.stack([piece, group[i] // len(self.start) - PIECE // BAND, low, high])
+
+    def edits(self, text: np.ndarray, piece: np.ndarray, band: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Least edits of each window against any stretch of the text in its band.
+
+        Columns are diagonals: the band's and the budget's to both sides.
         """
-        slack = int(self.budget.max())
-        width = 2 * BAND + 2 * slack
-        base = band * BAND - slack
-        inside = lambda x: np.searchsorted(offsets, np.clip(x, 0, len(folded) - 1), "right") - 1
-        first, n = inside(base), inside(base + width + self.length[window]) - inside(base) + 1
-        text = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        pairs = np.stack([np.repeat(np.arange(len(window)), n), text], 1)
-        pairs = pairs[np.argsort(self.length[window[pairs[:, 0]]], kind="stable")]  # windows of a length together
-        best, text = np.full(len(pairs), WINDOW, np.int64), pairs[:, 1]
-        for lo in range(0, len(pairs), 4096):
-            part = pairs[lo : lo + 4096]
-            w, start, end = window[part[:, 0]], offsets[part[:, 1]], offsets[part[:, 1] + 1]
-            m, from_ = self.length[w], base[part[:, 0]]
-            padded = np.zeros((len(w), int(m.max())), np.uint8)
-            for i, k in enumerate(w.tolist()):
-                padded[i, : len(self.windows[k])] = self.windows[k]
-            column = np.arange(width)
-            row = np.zeros((len(w), width), np.int32)
-            for i in range(padded.shape[1]):
-                place = from_[:, None] + i + column
-                inside = (place >= start[:, None]) & (place < end[:, None])
-                byte = np.where(inside, folded[np.clip(place, 0, len(folded) - 1)], 0)
-                step = row + (byte != padded[:, i : i + 1])
+        out = np.zeros(len(piece), np.int64)
+        for lo in range(0, len(piece), 4096):
+            p, s = piece[lo : lo + 4096], place[lo : lo + 4096]
+            slack = int(self.most[p].max())
+            width = 2 * BAND + 2 * slack
+            base, w = band[lo : lo + 4096] * BAND + s - slack, self.width[p]
+            row, column = np.zeros((len(p), width), np.int16), np.arange(width)
+            around = base[:, None] + np.arange(int(w.max()) + width)
+            around = np.where((around >= 0) & (around < len(text)), text[np.clip(around, 0, len(text) - 1)], 0)
+            pattern = self.data[np.minimum((self.start[p] + s)[:, None] + np.arange(int(w.max())), len(self.data) - 1)]
+            for i in range(pattern.shape[1]):
+                step = row + (around[:, i : i + width] != pattern[:, i : i + 1])
                 step[:, :-1] = np.minimum(step[:, :-1], row[:, 1:] + 1)
                 # a byte more of the text: the least over the columns to the left
-                row = np.minimum.accumulate(step - column, axis=1) + column
-                done = m == i + 1
+                row = (np.minimum.accumulate(step - column, axis=1) + column).astype(np.int16)
+                done = w == i + 1
                 if done.any():
-                    best[lo + np.flatnonzero(done)] = row[done].min(1)
-        return best, np.stack([pairs[:, 0], text], 1)
+                    out[lo + np.flatnonzero(done)] = row[done].min(1)
+        return out
 
-    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """Text, item, edits, length of every window found within its budget."""
-        if not self.windows or not len(data):
-            return []
+    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, object, int]]:
+        """Text, item and edits of the best window, for every text that holds a window of the item within its budget."""
         folded, offsets = fold(data, offsets)
-        window, band = self.candidates(folded, offsets)
-        if not len(window):
+        found = self._whole(folded, offsets) if self.short else []
+        if not len(self.start) or not len(folded):
+            return found
+        number = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        text = np.zeros(len(folded) + _GAP * len(offsets), np.uint8)
+        text[np.arange(len(folded)) + _GAP * (number + 1)] = folded
+        start = offsets[:-1] + _GAP * np.arange(len(offsets) - 1)  # with the zeros before the text
+        best: dict[int, int] = {}
+        for piece, band, low, high in self.windows(*self.hits(text)):
+            if not len(piece):
+                continue
+            number = np.searchsorted(start, band * BAND + high + 2 * BAND, "right") - 1
+            group = number * len(self.start) + piece
+            groups, which = np.unique(group, return_inverse=True)
+            left = np.array([best.get(g, 99) for g in groups.tolist()])
+            # one window of each text and piece first: a copy is found whole wherever one looks
+            order = np.argsort(which, kind="stable")
+            ends = np.cumsum(np.bincount(which, minlength=len(groups)))
+            middle = order[(ends + np.concatenate([[0], ends[:-1]])) // 2]
+            ask = np.flatnonzero(left > 0)
+            if len(ask):
+                m = middle[ask]
+                left[ask] = np.minimum(left[ask], self.edits(text, piece[m], band[m], (low[m] + high[m]) // 2))
+            some = np.flatnonzero(left[which] > 0)
+            for k in range(0, len(some), 4096):
+                part = some[k : k + 4096]
+                part = part[left[which[part]] > 0]
+                n = high[part] - low[part] + 1
+                rows = np.unique(np.stack([np.repeat(which[part], n), np.repeat(piece[part], n), np.repeat(band[part], n), _ranges(low[part], n)]), axis=1)
+                for j in range(0, rows.shape[1], 1 << 15):
+                    r = rows[:, j : j + (1 << 15)]
+                    r = r[:, left[r[0]] > 0]
+                    np.minimum.at(left, r[0], self.edits(text, *r[1:]))
+            best.update(zip(groups.tolist(), left.tolist()))
+        for g, e in best.items():
+            number, piece = divmod(g, len(self.start))
+            if e <= self.most[piece]:
+                found.append((number, self.key[piece], e))
+        return found
+
+    def _whole(self, folded: np.ndarray, offsets: np.ndarray) -> list[tuple[int, object, int]]:
+        """Short items that stand in a text word for word: by a sum of bytes times powers, then byte by byte."""
+        if not len(folded):
             return []
-        edits, pairs = self.distances(folded, offsets, window, band)
-        w = window[pairs[:, 0]]
-        best: dict[tuple[int, int], int] = {}  # a region lies in one or two bands
-        for t, k, e in zip(pairs[:, 1].tolist(), w.tolist(), edits.tolist()):
-            if e <= self.budget[k]:
-                best[t, k] = min(e, best.get((t, k), e))
-        return [(t, self.item[k], e, int(self.length[k])) for (t, k), e in best.items()]
+        space = folded == 32
+        first = np.zeros(len(folded), bool)
+        first[offsets[:-1][offsets[:-1] < len(folded)]] = True
+        begin = np.flatnonzero(~space & (first | np.concatenate([[True], space[:-1]])))
+        number = np.searchsorted(offsets, begin, "right") - 1
+        ends = np.concatenate([space | first, [True]])  # a word ends before a space and before another text
+        powers = lambda base, n: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base, np.uint64))])
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(folded * powers(_MULTIPLIER, len(folded))[:-1])])
+        back = powers(np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64)), len(folded))
+        found, raw = set(), folded.tobytes()
+        for m, of in self.short.items():
+            whole = (begin + m <= offsets[number + 1]) & ends[np.minimum(begin + m, len(folded))]
+            at, text = begin[whole], number[whole]
+            sums = (np.frombuffer(b"".join(of), np.uint8).reshape(-1, m) * powers(_MULTIPLIER, m)[:-1]).sum(1, dtype=np.uint64)
+            for i in np.flatnonzero(np.isin((total[at + m] - total[at]) * back[at], sums)).tolist():
+                found.update((int(text[i]), key, 0) for key in of.get(raw[at[i] : at[i] + m], ()))
+        return list(found)
+
 
+def passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id and piece (folded bytes, PIECE at most, overlapping by a passage) of each item that has a letter or digit."""
+    picked = benchmark.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    schema = f"item_id {picked.schema['item_id'].dataType.simpleString()}, piece binary"
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The items in lists of about BLOCK_BYTES, read one by one: a larger benchmark means more passes, not more memory."""
-    size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES)
-    for k in range(n):
-        rows = benchmark.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k).select(id_col, text_col).where(F.col(id_col).isNotNull()).collect()
-        yield sorted((r[0], r[1] or "") for r in rows)
+    def run(batches):
+        for batch in batches:
+            rows, cut = [], []
+            for i, text in enumerate(batch.column(1)):
+                raw = np.frombuffer(text.as_py(), np.uint8)
+                low = fold(raw, np.array([0, len(raw)]))[0].tobytes().rstrip(b" ")
+                step = PIECE - PASSAGE + 1
+                for k in range(0, max(1, len(low) - PASSAGE + 1), step):
+                    if low:
+                        rows.append(i)
+                        cut.append(low[k : k + PIECE])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(cut, pa.binary())], ["item_id", "piece"])
+
+    return picked.mapInArrow(run, schema)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, windows and edits (of the best of the longest windows found) for every document that holds an
-    item or a passage of 70 bytes of it.
-
-    Texts are compared folded: lower case, punctuation and white space as one space. Items of 30 to 160
-    folded bytes count as a whole, longer ones by windows of 160 that overlap by half, and all over 60 also by windows
-    of 60 at every tenth byte, so that each passage of 70 holds one; 8 % of a
-    window's length may be edits. Shorter items are no evidence and match nothing. Every document is read
-    once per block of the benchmark; no document is compared with another. Null and empty texts hold
-    nothing, items that are equal are all reported, rows with equal ids are one document, rows with null ids
-    are reported under null; empty tables give no rows; other columns are ignored whatever their names.
+    """doc_id, item_id and edits (of the best window) for every document that holds a passage of an item.
+
+    Texts are compared folded: lower case, punctuation and white space as one space, so lengths are in folded bytes.
+    A document holds an item if any window of PASSAGE bytes of it, or the whole item where it is shorter, is
+    within 8 % edits of some stretch of the document; items under SHORT bytes must stand in it word for word. Every
+    document is read once per block of the benchmark (BLOCK_BYTES of distinct pieces, which is what
+    a task and the driver hold); no document is compared with another.
+
+    Null and empty texts hold nothing, and items without a letter or digit are in none; equal items, and items
+    without an id, are all reported, under their own or a null item_id; rows with equal ids are one document, rows with
+    null ids are reported under null; empty tables give no rows; other columns are ignored whatever their names.
+    Texts of any length are searched whole: one text must fit a task, some 30 bytes of memory per byte.
     """
+    spark = docs.sparkSession
     picked = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.col(id_col).alias("doc_id"))
-    item_type = benchmark.schema[item_col].dataType.simpleString()
-    schema = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, item_id {item_type}, edits int, length int"
-    found = picked.sparkSession.createDataFrame([], schema)
-
-    for items in _blocks(benchmark, item_col, item_text_col):
+    schema = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, key string, edits int"
+    found = spark.createDataFrame([], schema)
+    keyed = materialise(passages(benchmark, item_col, item_text_col).withColumn("key", F.md5("piece")), "passages")
+    distinct = keyed.select("key", "piece").distinct()
+    size = distinct.agg(F.sum(F.length("piece"))).first()[0] or 0
+    blocks = -(-size // BLOCK_BYTES)
+    for k in range(blocks):
+        # about BLOCK_BYTES, as a piece is small
+        held = distinct.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).collect()
+        items = sorted((r["key"], bytes(r["piece"])) for r in held)
 
         def run(batches, items=items):
             index = Index(items)
@@ -208,16 +298,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 lengths = np.diff(bytes_of(batch.column(0))[1])
                 for a, b in pieces(lengths, 2 << 20):
                     rows = index.search(*bytes_of(batch.column(0).slice(a, b - a)))
-                    text, item, edits, length = zip(*rows) if rows else ((), (), (), ())
+                    text, key, edits = zip(*rows) if rows else ((), (), ())
                     ids = batch.column(1).take(pa.array([a + t for t in text], pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(item, pa.int64() if item_type == "bigint" else None), pa.array(edits, pa.int32()), pa.array(length, pa.int32())], ["doc_id", "item_id", "edits", "length"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(key, pa.string()), pa.array(edits, pa.int32())], ["doc_id", "key", "edits"])
 
         found = found.union(picked.mapInArrow(run, schema))
-    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("windows"), F.min(F.struct(-F.col("length"), "edits"))["edits"].alias("edits"))
+    named = found.join(keyed.select("key", "item_id").distinct(), "key")
+    return named.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no benchmark item; the columns stay as they are.
+    """The rows of docs that hold no passage of the benchmark (see find_leaks); the columns stay as they are.
 
     The verdict depends on the text alone, so rows meet it by their text's digest and nothing is written.
     """
