@@ -39,6 +39,57 @@ def test_kernel_is_the_mean_of_shared_ngrams():
 
 
 
+def plain_kernel(a, b):
+    """The mean over the orders of shared hashed n-grams over the geometric mean of their numbers."""
+    total = 0.0
+    for n, places in language.ORDERS.items():
+        p, q = ({int(language.mix(np.array([int.from_bytes(t.lower()[i : i + n], "big")], np.uint64))[0]) % places for i in range(len(t) - n + 1)} for t in (a, b))
+        total += len(p & q) / np.sqrt(max(len(p), 1) * max(len(q), 1)) / len(language.ORDERS)
+    return total
+
+
+def test_predictions_are_those_of_plain_ridge_regression(spark):
+    rng = random.Random(5)
+    words = {"aa": ["kala", "mita", "soon", "veli"], "bb": ["grund", "stein", "wald"], "cc": ["lune", "fleur", "mita", "soir"]}
+    text = lambda n: " ".join(rng.choice(words[n]) for _ in range(rng.randrange(3, 12)))
+    rows = [(i, text(n), n) for i, n in enumerate(rng.choices(list(words), k=45))]
+    mixed = [(100 + i, text("aa") + " " + text("cc") + " " + text("bb")[:8], None) for i in range(15)]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    learnt = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    names = sorted(words)
+    # all texts are landmarks, so the coefficients are those of the whole kernel matrix
+    kernel = np.array([[plain_kernel(a[1].encode(), b[1].encode()) for b in learnt] for a in learnt])
+    rare = np.array([1 / np.sqrt(sum(x[2] == r[2] for x in learnt)) for r in learnt])[:, None]
+    y = np.array([[1.0 if r[2] == n else -1.0 for n in names] for r in learnt])
+    a = np.linalg.solve((kernel * rare).T @ (kernel * rare) + 0.1 * (kernel + 1e-6 * np.eye(len(learnt))), (kernel * rare).T @ (y * rare))
+    for i, t, _ in rows + mixed:
+        value = np.array([plain_kernel(t.encode(), r[1].encode()) for r in learnt]) @ a
+        assert abs(got[i]["score"] - np.clip((value.max() + 1) / 2, 0, 1)) < 1e-3
+        assert got[i]["lang_pred"] == names[int(value.argmax())] or np.sort(value)[-1] - np.sort(value)[-2] < 1e-3
+
+
+def test_sample_is_bounded_by_rows(spark):
+    from pyspark.sql import functions as F
+
+    one = spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), F.lit("das haus").alias("text"), F.lit("de").alias("lang"))
+    many = spark.range(900).select(F.col("id").alias("doc_id"), F.concat(F.lit("the house "), "id").alias("text"), F.lit("en").alias("lang"))
+    got = language.sample(one.union(many), F.lit(True), each=300)
+    assert {n: sum(x == n for _, x in got) for n in ("de", "en")} == {"de": 1, "en": 300}
+    tongues = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.pmod("id", F.lit(12)).cast("string").alias("lang"))
+    assert len(language.sample(tongues, F.lit(True), each=300, most=36)) == 36
+    assert language.sample(tongues, F.lit(True)) == language.sample(tongues.repartition(3), F.lit(True))
+
+
+def test_language_clashes_and_long_texts(spark):
+    rows = [(i, ["the house and the dog ", "das haus und der hund "][i % 2] * (30_000 if i < 4 else 3), ["en", "de"][i % 2]) for i in range(40)]
+    docs = spark.createDataFrame([(*r, "en", 1, "und") for r in rows + rows[:9]], "doc_id long, text string, lang string, _lang string, _id int, `a.b` string")
+    assert all(r["lang_pred"] == ["en", "de"][r["doc_id"] % 2] for r in language.identify(docs).collect())
+    whole = np.frombuffer(("abc" * 2000).encode(), np.uint8)
+    offsets = np.array([0, 1, 1, 2500, 6000])
+    assert np.array_equal(language.presence(whole, offsets), language.presence(whole, offsets, piece=700))
+
+
 def test_matching_statistics():
     rng = random.Random(4)
     for _ in range(30):

@@ -19,23 +19,31 @@ _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[65:91] = True
 
 
-def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def presence(data: np.ndarray, offsets: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
     """One row per text: which n-grams occur, each order scaled to length 1, all to length 1.
 
     The product of two rows is the blended-spectrum presence kernel: the mean over the orders of
-    shared n-grams over the geometric mean of both texts' numbers of n-grams.
+    shared n-grams over the geometric mean of both texts' numbers of n-grams. A long text is read in pieces, so
+    memory beside the rows doesn't grow with it.
     """
-    low = _LOWER[data].astype(np.uint64)
     out = np.zeros((len(offsets) - 1, sum(ORDERS.values())), np.float32)
+    for lo in range(0, len(data), piece):
+        low = _LOWER[data[lo : lo + piece + max(ORDERS) - 1]]
+        text = np.searchsorted(offsets, np.arange(lo, min(lo + piece, len(data))), "right") - 1
+        room = offsets[text + 1] - np.arange(lo, lo + len(text))
+        code, at = np.zeros(len(low), np.uint64), 0
+        for n in range(1, max(ORDERS) + 1):
+            code = code[: len(low) - n + 1] << np.uint64(8) | low[n - 1 :]
+            if n in ORDERS:
+                here = np.flatnonzero(room[: len(code)] >= n)
+                out[text[here], (mix(code[here]) % np.uint64(ORDERS[n])).astype(np.int64) + at] = 1
+                at += ORDERS[n]
+    return _scaled(out)
+
+
+def _scaled(out: np.ndarray) -> np.ndarray:
     at = 0
-    for n, places in ORDERS.items():
-        code = np.zeros(max(0, len(low) - n + 1), np.uint64)
-        for k in range(n):
-            code = code << np.uint64(8) | low[k : k + len(code)]
-        place = (mix(code) % np.uint64(places)).astype(np.int64) + at
-        for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            if b - a >= n:
-                out[i, place[a : b - n + 1]] = 1
+    for places in ORDERS.values():
         part = out[:, at : at + places]
         part /= np.sqrt(np.maximum(part.sum(1, keepdims=True), 1) * len(ORDERS))
         at += places
@@ -51,49 +59,64 @@ class Model:
         return x @ self.weights
 
 
-def train(texts: list[str], languages: list[str], landmarks: int = 160, ridge: float = 0.1) -> Model:
-    """One-versus-rest kernel ridge regression on Nystroem landmarks.
+def train(marked: list[bytes], languages: list[str], landmarks: int = 160, ridge: float = 0.1) -> Model:
+    """One-versus-rest kernel ridge regression on Nystroem landmarks, from the packed presence bits of the texts.
 
-    Landmarks are taken in turn from the languages. With K the texts' kernel with the landmarks and M the
-    landmarks' own, the coefficients solve (K'K + ridge M) a = K'Y; as the kernel is a product of
-    presence rows, the landmarks' rows times a are weights by which a text is scored in one product.
+    Landmarks are taken in turn from the languages, two of each at least where there are two. With K the texts' kernel
+    with the landmarks and M the landmarks' own, the coefficients solve (K'K + ridge M) a = K'Y; as the kernel is a
+    product of presence rows, the landmarks' rows times a are weights by which a text is scored in one product. Texts
+    are unpacked a block at a time: beside the bits, memory holds the landmarks' rows and K.
     """
     names = sorted(set(languages))
-    raw = [t.encode() for t in texts]
-    x = presence(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64))
-    y = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
+    rows = lambda some: _scaled(np.unpackbits(np.frombuffer(b"".join(some), np.uint8).reshape(len(some), -1), axis=1).astype(np.float32))
     turns = {n: [i for i, name in enumerate(languages) if name == n] for n in names}
-    chosen = [i for k in range(max(map(len, turns.values()))) for n in names for i in turns[n][k : k + 1]][:landmarks]
-    marks = x[chosen].astype(np.float64)
-    k, m = x @ marks.T, marks @ marks.T
+    chosen = [i for k in range(max(map(len, turns.values()))) for n in names for i in turns[n][k : k + 1]][: max(landmarks, 2 * len(names))]
+    marks = rows([marked[i] for i in chosen])
+    k = np.concatenate([rows(marked[i : i + 64]) @ marks.T for i in range(0, len(marked), 64)]).astype(np.float64)
+    m = (marks @ marks.T).astype(np.float64)
     rare = 1 / np.sqrt(np.array([len(turns[n]) for n in languages]))[:, None]  # languages count alike
-    k, y = k * rare, y * rare
+    y = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0) * rare
+    k *= rare
     a = np.linalg.solve(k.T @ k + ridge * (m + 1e-6 * np.eye(len(chosen))), k.T @ y)
-    return Model(names, (marks.T @ a).astype(np.float32))
+    return Model(names, marks.T @ a.astype(np.float32))
 
 
-def sample(docs: DataFrame, usable: Column, each: int = 300, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """At most `each` (text, language) pairs per language, of texts up to `longest` characters, by a hash of the id.
+def sample(docs: DataFrame, usable: Column, each: int = 300, most: int = 4800, salts: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[bytes, str]]:
+    """(packed presence bits, language) of at most `each` texts per language, by a hash of id and text.
 
-    That bounds what the driver holds: `each` times `longest` characters per language.
+    Rows alike in id, text and language are one. The bits of whole texts are found by the tasks, so the driver holds 3.5 kB
+    a text, whatever its length. Where there are over `most` / `each` languages, each has so many fewer that
+    all have `most`, but two at least. The top of a language is taken from the tops of `salts` parts of it.
     """
-    some = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= longest)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    turn = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    ids = some.withColumn("_turn", turn).where(F.col("_turn") <= each).drop("_turn")
-    # at most `each` rows per language
-    taken = docs.where(usable).join(F.broadcast(ids), (F.col(id_col) == F.col("_id")) & (F.col(lang_col) == F.col("_lang")))
-    rows = taken.select("_id", F.col(text_col).alias("text"), "_lang").collect()
-    return [(r["text"], r["_lang"]) for r in sorted(rows, key=lambda r: (r["_lang"], r["_id"], r["text"])) if len(r["text"]) <= longest]
+    asked = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(id_col, text_col).alias("_turn"), F.col(text_col).cast("binary").alias("_text"))
+    languages = asked.select("_lang").distinct().count()
+    each = max(2, min(each, most // max(languages, 1)))
+    top = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_turn"))).where(F.col("_n") <= each).drop("_n")
+    turns = top(asked.select("_lang", "_turn").distinct().withColumn("_salt", F.pmod("_turn", F.lit(salts))), "_lang", "_salt")
+    turns = top(turns.drop("_salt"), "_lang")
+
+    def run(batches):
+        for batch in batches:
+            for a, b in pieces(np.diff(bytes_of(batch.column(0))[1]), 1 << 20):
+                for c in range(a, b, 64):
+                    n = min(64, b - c)
+                    bits = np.packbits(presence(*bytes_of(batch.column(0).slice(c, n))) > 0, axis=1)
+                    yield pa.RecordBatch.from_arrays([*(x.slice(c, n) for x in batch.columns[1:]), pa.array([r.tobytes() for r in bits], pa.binary())], ["_lang", "_turn", "_bits"])
+
+    taken = asked.join(turns, ["_lang", "_turn"], "left_semi").select("_text", "_lang", "_turn").mapInArrow(run, "_lang string, _turn long, _bits binary")
+    rows = taken.groupBy("_lang", "_turn").agg(F.first("_bits").alias("bits")).collect()  # `each` per language
+    return [(bytes(r["bits"]), r["_lang"]) for r in sorted(rows, key=lambda r: (r["_lang"], r["_turn"]))]
 
 
 def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """`keep`, lang_pred and score of each row, from the whole text alone.
 
     Null texts, texts without a letter, and all texts where there is no model are `und` with score 0. The
-    score is the winning regression value, from -1 to 1, moved to 0 to 1. Equal texts get equal results;
-    an empty table gives no rows; columns not in `keep` are ignored.
+    score is the winning regression value, from -1 to 1, moved to 0 to 1; of equal values the language first by name
+    wins. Equal texts get equal results; a very long text is read in pieces; an empty table gives no rows; columns
+    not in `keep` are ignored whatever their names.
     """
-    picked = docs.select(F.col(text_col).cast("binary").alias("_text"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)])
+    picked = docs.select(F.col(text_col).cast("binary").alias("_text"), *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)])
     schema = picked.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def lettered(text: bytes) -> bool:
@@ -125,7 +148,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
 def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, lang_pred, score: learnt from rows whose crc32 of the id as text, mod 3, is not 1.
 
-    Rows with null ids are neither learnt from nor held out.
+    Rows with null ids are neither learnt from nor held out; repeated rows count once in learning and are all
+    predicted; a table without usable labels gives `und` throughout; extra columns are ignored whatever their names.
     """
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
     pairs = sample(docs, fold != 1, id_col=id_col)
