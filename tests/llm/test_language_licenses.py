@@ -1,5 +1,6 @@
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -100,7 +101,7 @@ def test_matching_statistics():
         wanted = [max((n for n in range(1, i + 2) if any(ids[i + 1 - n : i + 1] == s[k : k + n] for s in sequences for k in range(len(s)))), default=0) for i in range(len(ids))]
         assert [n for _, n in got] == wanted
         for i, (state, n) in enumerate(got):
-            ends = {t: next(k for k in range(len(s)) if k + 1 >= n and s[k + 1 - n : k + 1] == ids[i + 1 - n : i + 1]) for t, s in enumerate(sequences) if any(s[k : k + n] == ids[i + 1 - n : i + 1] for k in range(len(s)))} if n else {}
+            ends = {t: [k for k in range(len(s)) if k + 1 >= n and s[k + 1 - n : k + 1] == ids[i + 1 - n : i + 1]] for t, s in enumerate(sequences) if any(s[k : k + n] == ids[i + 1 - n : i + 1] for k in range(len(s)))} if n else {}
             assert not n or automaton.ends[state] == ends
 
 
@@ -122,3 +123,57 @@ def test_scan(spark):
     assert "apache-2" in got[5]["labels"] and 0.8 < got[5]["spans"][0]["coverage"] < 1
     assert all(got[i]["labels"] == "" and got[i]["score"] == 0 for i in (2, 3, 6, 7, 9, 10, 11))
     assert licenses.scan(docs.limit(0), keep=["doc_id"]).count() == 0
+
+
+def plain_labels(scanner, templates, text):
+    """Labels whose best chain, over all maximal common runs of tokens and all their orders, covers enough."""
+    w, out = licenses.tokens(text), {}
+    for label, t in ((k, licenses.tokens(v)) for k, v in templates.items()):
+        runs = []
+        for i in range(len(w)):
+            for j in range(len(t)):
+                if w[i] == t[j] and (not i or not j or w[i - 1] != t[j - 1]):
+                    n = 1
+                    while i + n < len(w) and j + n < len(t) and w[i + n] == t[j + n]:
+                        n += 1
+                    if n >= scanner.least_match:
+                        runs.append((i, j, n))
+        best = []
+        for i, j, n in sorted(runs):
+            before = [b for (x, y, m), b in zip(sorted(runs), best) if 0 <= i - x - m <= scanner.most_gap and 0 <= j - y - m <= scanner.most_gap]
+            best.append(n + max(before, default=0))
+        out[label] = max(best, default=0) / len(t)
+    return {k for k, v in out.items() if v >= scanner.coverage}
+
+
+def test_labels_against_plain_chains(spark):
+    rng = random.Random(9)
+    # no two share a run, so no stretch stands for two templates; the last says one passage twice
+    templates = {n: " ".join(f"{n}{rng.randrange(30)}" for _ in range(40)) for n in "abc"}
+    passage = " ".join(f"d{i}" for i in range(12))
+    templates["d"] = f"d20 d21 d22 d23 {passage} d24 d25 d26 d27 {passage} d28 d29 d30 d31 d32"
+    scanner, texts = licenses.Scanner(templates, licenses.PHRASES), []
+    for _ in range(150):
+        w = templates[rng.choice("abcd")].split()
+        for _ in range(rng.randrange(7)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[], ["x"], [w[k], "a1"]])
+        texts.append(" ".join(["y"] * rng.randrange(5) + w + ["z"] * 3))
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(1000, "x " + templates["d"].replace("d23 d0", "d23 q d0").replace("d24", "q"))], "doc_id long, text string")
+    got = {r["doc_id"]: set(filter(None, r["labels"].split(","))) for r in licenses.scan(docs, keep=["doc_id"], templates=templates).collect()}
+    wanted = {i: plain_labels(scanner, templates, t) for i, t in enumerate(texts)}
+    assert sum(map(bool, wanted.values())) > 60 and not all(wanted.values())
+    assert {i: got[i] for i in wanted} == wanted and got[1000] == {"d"}
+
+
+def test_like_templates_and_many_notices(spark):
+    own = {k: v for k, v in licenses.TEMPLATES.items()}
+    rows = list(own.items()) + [("many", (own["isc"] + " end. ") * 20_000)]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in rows] + [rows[0] + (2,)], "doc_id string, text string, `n.words` int")
+    began = time.time()
+    found = licenses.scan(docs, keep=["doc_id", "n.words"]).collect()
+    assert time.time() - began < 60
+    got = {r["doc_id"]: r for r in found}
+    assert len(found) == len(rows) + 1 and all(k in got[k]["labels"].split(",") and got[k]["score"] > 0.99 for k in own)
+    assert all(set(got[k]["labels"].split(",")) <= {k, *got[k]["base_labels"].split(",")} for k in own)
+    assert got["many"]["labels"] == "isc" and len(got["many"]["spans"]) == 20_000

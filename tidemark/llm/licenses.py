@@ -23,6 +23,15 @@ TEMPLATES = {
     "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nd": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "cc-by-nc-sa": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "bsd-2": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "gpl-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "agpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "bsl-1": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
@@ -40,22 +49,22 @@ def tokens(text: str) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """All runs of tokens of several sequences; each state knows in which sequences it ends, and where first."""
+    """All runs of tokens of several sequences; each state knows where in which sequences it ends."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, list[int]]] = [{}]
         for number, sequence in enumerate(sequences):
             last = 0
             for place, token in enumerate(sequence):
                 last = self._extend(last, token)
-                self.ends[last].setdefault(number, place)
+                self.ends[last].setdefault(number, []).append(place)
         # what ends somewhere, its suffixes end there too
         for state in sorted(range(1, len(self.link)), key=lambda s: -self.length[s]):
-            for number, place in self.ends[state].items():
+            for number, places in self.ends[state].items():
                 above = self.ends[self.link[state]]
-                above[number] = min(place, above.get(number, place))
+                above[number] = sorted({*above.get(number, ()), *places})
 
     def _new(self, length: int, following: dict[int, int], link: int) -> int:
         self.next.append(following)
@@ -137,26 +146,63 @@ class Scanner:
         for i, now in enumerate([*self.automaton.statistics(ids.tolist()), (0, 0)]):
             state, length = before
             if length >= self.least_match and now[1] <= length:
-                found += [(t, end - length + 1, start + i - length, length) for t, end in self.automaton.ends[state].items()]
+                found += [(t, end - length + 1, start + i - length, length) for t, ends in self.automaton.ends[state].items() for end in ends]
             before = now
         return found
 
     def spans(self, found: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """label, first and last token, coverage: per template, matches in order chained over small gaps."""
-        out = []
+        """label, first and last token, coverage of each stretch that covers enough of a template.
+
+        Per template, matches in order of the text are chained over small gaps in text and template, each to the best
+        chain that ends shortly before it (or goes on along its diagonal); chains that ended more than most_gap before
+        are not looked at again. Of chains that share a match the one that covers most stays, and of stretches of
+        several templates that overlap by half or more the one that covers most tokens, then the larger part, then
+        the first by label.
+        """
+        best: list[tuple[int, float, str, int, int]] = []  # tokens covered, share, label, first and last token
         for t in sorted({m[0] for m in found}):
-            chains: list[list[int]] = []  # template end, text start, text end, covered
-            for _, place, at, length in sorted(m for m in found if m[0] == t):
-                fits = [c for c in chains if 0 <= at - c[2] <= self.most_gap and 0 <= place - c[0] <= self.most_gap]
-                fits += [c for c in chains if c not in fits and c[0] > place and at - place == c[2] - c[0] and at + length > c[2]]
-                if fits:
-                    best = max(fits, key=lambda c: c[3])
-                    fresh = min(length, at + length - best[2])
-                    best[0], best[2], best[3] = place + length, at + length, best[3] + fresh
-                else:
-                    chains.append([place + length, at, at + length, length])
-            out += [(self.labels[t], c[1], c[2] - 1, c[3] / self.lengths[t]) for c in chains if c[3] >= self.coverage * self.lengths[t]]
-        return out
+            matches = sorted((at, place, length) for x, place, at, length in found if x == t)
+            covered, before, live = [], [], []
+            for i, (at, place, length) in enumerate(matches):
+                live = [j for j in live if matches[j][0] + matches[j][2] + self.most_gap >= at]
+                score, link = length, -1
+                for j in live:
+                    at_j, place_j, length_j = matches[j]
+                    if at - place == at_j - place_j:  # one diagonal
+                        fresh = at + length - max(at, at_j + length_j)
+                    else:
+                        fresh = length if 0 <= at - at_j - length_j and 0 <= place - place_j - length_j <= self.most_gap else 0
+                    if fresh > 0 and covered[j] + fresh > score:
+                        score, link = covered[j] + fresh, j
+                covered.append(score)
+                before.append(link)
+                live.append(i)
+            used = [False] * len(matches)
+            for i in sorted(range(len(matches)), key=lambda i: (-covered[i], i)):
+                if covered[i] < self.coverage * self.lengths[t]:
+                    break
+                chain = [i]
+                while not used[chain[-1]] and before[chain[-1]] >= 0:
+                    chain.append(before[chain[-1]])
+                if not any(used[j] for j in chain):
+                    best.append((covered[i], min(1.0, covered[i] / self.lengths[t]), self.labels[t], matches[chain[-1]][0], matches[i][0] + matches[i][2] - 1))
+                for j in chain:
+                    used[j] = True
+        return self._apart(best)
+
+    def _apart(self, best: list[tuple[int, float, str, int, int]]) -> list[tuple[str, int, int, float]]:
+        """The stretches that no better one overlaps by half or more of the shorter."""
+        best.sort(key=lambda b: (b[3], b[4]))
+        lost, live = [False] * len(best), []
+        for i, (covered, share, label, first, last) in enumerate(best):
+            live = [j for j in live if best[j][4] >= first]
+            for j in live:
+                shared = min(last, best[j][4]) - first + 1
+                if 2 * shared >= min(last - first, best[j][4] - best[j][3]) + 1:
+                    worse = i if (-best[j][0], -best[j][1], best[j][2]) <= (-covered, -share, label) else j
+                    lost[worse] = True
+            live.append(i)
+        return [(label, first, last, share) for (_, share, label, first, last), gone in zip(best, lost) if not gone]
 
 
 def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, text_col: str = "text", **how) -> DataFrame:
@@ -165,11 +211,12 @@ def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] = TEMPLATES
     Base places are where a phrase's words stand one after the other; labels has base_labels and the labels
     of spans, stretches whose chained matches cover enough of a template. score is 1 where there is a
     base place, else the best coverage (0 without a span). Null text counts as empty; every row is judged by
-    itself; an empty table gives no rows; columns not in `keep` are ignored whatever their names.
+    itself, so repeated rows get equal results; an empty table gives no rows; columns not in `keep` are ignored
+    whatever their names. A text is scanned whole, in time and memory in proportion to its length.
 
     The templates go to every task with the function: they are a parameter, bounded by who writes it.
     """
-    picked = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)])
+    picked = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)])
     spans_type = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("coverage", pa.float64())]))
     extra = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label string, first long, last long, coverage double>>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[1:]), extra])
