@@ -49,6 +49,29 @@ def test_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_references_resolve_and_ids_stay(spark, tmp_path):
+    rows = [(i, f"u{i}", "same" if i % 3 else f"own {i} " * 700) for i in range(40)] + [(1, "u1", "same"), (3, "u3", "own 3 " * 700), (3, "v", "own 3 " * 700), (None, "u", "same"), (None, "u", "same")]
+    ids = []
+    for n, parts in enumerate((2, 5)):
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+        warc.write_archives(warc.mark_revisits(pages), f"file://{tmp_path}/{n}")
+        heads = [h for f in (tmp_path / str(n)).glob("part-*") for h, _ in warc.parse(f.read_bytes())]
+        named = [h["warc-record-id"] for h in heads]
+        assert len(named) == len(set(named)) and len({h.get("warc-segment-origin-id", h["warc-record-id"]) for h in heads}) == len(rows)
+        kinds = {h["warc-record-id"]: h["warc-type"] for h in heads}
+        referred = [h["warc-refers-to"] for h in heads if "warc-refers-to" in h]
+        assert len(referred) == sum(h["warc-type"] == "revisit" for h in heads) > 20 and {kinds[r] for r in referred} == {"response"}
+        assert {h["warc-segment-origin-id"] for h in heads if "warc-segment-origin-id" in h} <= {*named}
+        ids.append(sorted(named))
+    assert ids[0] == ids[1]
+
+
+def test_very_long_page(spark):
+    text = "".join(chr(97 + i % 26) for i in range(5_000_000))
+    got = warc.round_trip(spark.createDataFrame([(1, text, 2)], "page_id long, html string, `a.b` int")).collect()
+    assert len(got) == 1 and got[0]["payload_bytes"] == len(text) and got[0]["payload"].decode() == text
+
+
 def test_missing_segment_fails(spark, tmp_path):
     parts = warc.segments("urn:x-page:1:0-0", b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * 100, 40, WARC_Payload_Digest="sha1:X")
     (tmp_path / "part-0.warc").write_bytes(b"".join(p + b"\r\n" for p in parts[:-1]))

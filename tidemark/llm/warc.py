@@ -8,8 +8,7 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, partitions
@@ -90,39 +89,50 @@ def parse(blob: bytes):
 # ---------------------------------------------------------------- tables
 
 
+def _record_id(page: int | None, said: str, copy: int) -> str:
+    return f"urn:x-page:{'' if page is None else page}:{said}:{copy}"
+
+
 def mark_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
-    """page_id, url, payload and refers_to (null for responses) of each row.
+    """page_id, url, payload, refers_to (null for responses) and copy of each row.
 
-    Among payloads of at least `least_bytes` that are equal, the smallest id is the response. The ids are
-    reduced per SHA-1 before the join; a payload shared by very many pages is a skewed join that Spark splits.
+    Among payloads of at least `least_bytes` that are equal, the smallest id is the response. copy numbers the rows
+    alike in id and payload from 0. Ids are reduced per SHA-1 before the join; a payload shared by very many
+    pages is a skewed join that Spark splits; only payloads that one id has several times are numbered by a window.
     """
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("payload"))
     keyed = base.withColumn("_sha", F.unhex(F.sha1("payload")))
-    firsts = keyed.groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    pairs = keyed.groupBy("_sha", "page_id").agg(F.count("*").alias("_n"))
+    firsts = pairs.groupBy("_sha").agg(F.min("page_id").alias("_first"), F.sum("_n").alias("_all"), (F.max("_n") > 1).alias("_again")).where("_all > 1").drop("_all")
     other = F.col("page_id").isNull() | (F.col("page_id") > F.col("_first"))
     refers = F.when(other & F.col("_first").isNotNull() & (F.length("payload") >= least_bytes), F.col("_first"))
-    return keyed.join(firsts, "_sha", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    joined = keyed.join(firsts, "_sha", "left").withColumn("refers_to", refers)
+    one = joined.where("not coalesce(_again, false)").withColumn("copy", F.lit(0))
+    again = joined.where("_again").withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "_sha").orderBy("url")) - 1)
+    return one.union(again).select("page_id", "url", "payload", "refers_to", "copy")
 
 
 def write_archives(marked: DataFrame, path: str, segment_bytes: int = 4096, chunk_bytes: int = 1500, file_records: int = 20_000) -> None:
     """Writes one record per row (or one per segment) as gzipped archives of at most `file_records` records.
 
     The block is an HTTP response with chunked framing. A revisit keeps the header, with the full payload's
-    length and digest. Spark's text writer writes the bytes as they are and ends each record with its
-    line end, so the files are committed like any table's.
+    length and digest. A record's id is made of its page's id, the payload's digest and the number of the copy, so it is
+    the same in every run, and a revisit refers to the id of the response's record. Spark's text writer
+    writes the bytes as they are and ends each record with its line end, so the files are committed like any table's;
+    a file is one gzip member, without a warcinfo record.
     """
 
     def run(batches):
-        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             out = []
-            for page, url, payload, refers in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                record_id, row = f"urn:x-page:{'' if page is None else page}:{task}-{row}", row + 1
-                fields = {"WARC_Target_URI": re.sub(r"\s", "%20", url) if url else None, "WARC_Payload_Digest": f"sha1:{digest(payload)}", "Content_Type": "application/http;msgtype=response"}
+            for page, url, payload, refers, copy in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                said = digest(payload)
+                record_id = _record_id(page, said, copy)
+                fields = {"WARC_Target_URI": re.sub(r"\s", "%20", url) if url else None, "WARC_Payload_Digest": f"sha1:{said}", "Content_Type": "application/http;msgtype=response"}
                 if refers is not None:
                     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-                    out.append(record("revisit", record_id, http, WARC_Profile=_REVISIT, WARC_Refers_To=f"<urn:x-page:{refers}>", **fields))
+                    out.append(record("revisit", record_id, http, WARC_Profile=_REVISIT, WARC_Refers_To=f"<{_record_id(refers, said, 0)}>", **fields))
                 else:
                     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload, chunk_bytes)
                     out += segments(record_id, http, segment_bytes, **fields)
@@ -200,7 +210,8 @@ def round_trip(pages: DataFrame, path: str | None = None, least_bytes: int = 0,
 
     Null html is an empty payload. Rows with the smallest id of equal payloads are responses, also where
     that id is repeated; a null id counts as larger than any, and rows of a payload that has only null ids are
-    all responses. An empty table gives no rows; other columns are ignored whatever their names.
+    all responses. An empty table gives no rows; other columns are ignored whatever their names. A page must fit a
+    task a few times over, whatever its length: it is written in segments and put together again.
     """
     path = path or new_path(pages.sparkSession, "warc")
     write_archives(mark_revisits(pages, least_bytes), path, segment_bytes)
