@@ -7,18 +7,25 @@ from tidemark.llm import substrings
 
 
 def plain(rows, window=13):
+    """Sorted (doc_id, n_words, n_removed, kept_sha256) of the rows."""
     words = [re.findall("[^\x20\x09-\x0d]+", t or "") for _, t in rows]
     first = {}
     for (doc, _), w in zip(rows, words):
-        for i in range(len(w) - window + 1):
+        for i in range(len(w) - window + 1 if doc is not None else 0):
             key = tuple(w[i : i + window])
             first[key] = min(doc, first.get(key, doc))
-    out = {}
+    out = []
     for (doc, _), w in zip(rows, words):
-        gone = {k for i in range(len(w) - window + 1) if first[tuple(w[i : i + window])] < doc for k in range(i, i + window)}
+        gone = {k for i in range(len(w) - window + 1 if doc is not None else 0) if first[tuple(w[i : i + window])] < doc for k in range(i, i + window)}
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        out[doc] = (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
-    return out
+        out.append((doc, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=str)
+
+
+def got(docs, **how):
+    found = substrings.remove_repeats(docs, **how).collect()
+    assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in found)
+    return sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found), key=str)
 
 
 def corpus(seed):
@@ -48,13 +55,28 @@ def corpus(seed):
 def test_against_brute_force(spark, seed):
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, run string")
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.remove_repeats(docs).collect()}
-    assert got == plain(rows)
+    assert got(docs) == plain(rows)
+    assert got(docs, run_bytes=3000) == plain(rows)  # many runs
 
 
-def test_odd_rows(spark):
+def test_repeated_and_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(40))
-    docs = spark.createDataFrame([(2, text), (2, text), (1, text), (None, text), (None, text)], "doc_id long, text string")
-    got = sorted((str(r["doc_id"]), r["n_removed"]) for r in substrings.remove_repeats(docs).collect())
-    assert got == [("1", 0), ("2", 40), ("2", 40), ("None", 0), ("None", 0)]
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(2, text), (2, text), (1, text), (None, text), (None, text), (2, other), (3, other[:90] + " x " + text), (None, None), (-5, other[8:130])]
+    docs = spark.createDataFrame([(*r, "p") for r in rows], "doc_id long, text string, m string")
+    assert got(docs) == plain(rows)
+    assert dict.fromkeys(r[2] for r in got(docs) if r[0] == 2) == {32: None, 40: None}
     assert substrings.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_copies_edits_and_a_long_text(spark):
+    rng = random.Random(6)
+    base, rows = [f"b{rng.randrange(3000)}" for _ in range(900)], []
+    for i in range(120):
+        w = base[rng.randrange(300) : 900 - rng.randrange(300)]
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"e{i}"
+        rows.append((1000 - i, " ".join(w)))
+    rows.append((7, " ".join(f"x{i % 50_000}" for i in range(150_000))))
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, `a.b` int")
+    assert got(docs, run_bytes=50_000) == plain(rows)

@@ -1,19 +1,22 @@
 """Long repeated passages: a De Bruijn graph of word windows, compacted to paths, verified by coordinates.
 
-Edges are windows of `window` consecutive words, nodes the overlaps of neighbouring windows. Texts are dealt
-out once by a hash of the id into runs (some hundreds of documents, a few per task); that one exchange serves every
-step. What the runs tell of the whole corpus goes through two Spark shuffles of packed arrays, one row per
-run and bucket of hashes, and comes back to the runs the same way:
-
-1. which minimizers of windows occur in two documents or more (few windows are left after that);
-2. for the windows left: do they occur in two documents, and is the next window the same everywhere, and the
-   one before. Windows in two documents are the graph's edges; where both answers are yes the path doesn't branch.
-
-Each run then walks its texts and compacts the edges between branchings to one row per place of a path: the
-document, the first word, the number of words and a digest of those words. Places with equal digests hold the
-same words; the place with the smallest document is the source, and a join of places and sources
-gives the spans to remove. A window that repeats is in exactly one path, and a path that doesn't branch stands
-whole wherever one of its windows does, so the spans cover all of what the windows cover.
+Edges are windows of `window` consecutive words, nodes the overlaps of neighbouring windows. Texts are dealt out once,
+by a hash of id and text, into runs of some megabytes; that one exchange serves every step. A word's coordinate is
+its run and its number in the run. Between the runs' steps stand plain Spark rows:
+
+1. a row per minimizer and run: the minimizers that two documents may share (few windows are left after that);
+2. for those, a row per super-window: neighbouring windows that share a minimizer, once per run whatever its copies.
+   They are dealt by minimizer, so equal edges of all runs meet, and each finds its source: the coordinate of its
+   place in the document with the smallest id. Edges of a super-window whose sources follow one another too are compacted
+   to one row, and go back to their run;
+3. each run compacts further, over super-windows: a path is a maximal stretch of repeated edges that stand in a row here and
+   at their source, so it ends where the walk branches off from the source's. A path is a row: its place, its source's
+   coordinate, its length and a digest of its words;
+4. the sources' runs tell the digests of the words at the coordinates asked for, and a join of both on coordinate,
+   length and digest leaves the verified spans, which the runs cut out.
+
+So all exchanges have rows in proportion to the text, and a passage that very many documents share is a row per
+run at most until its places are known, and then a join that Spark can split.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, partitions, pieces, word_hashes, word_spans
+from .common import bytes_of, mix, partitions, word_hashes, word_spans
 
+RUN_BYTES = 2 << 20
 _SHORT = 6  # words of the grams that minimizers are chosen from
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_MOST = 32  # windows of a super-window
 
 
 def _rolling(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -39,300 +44,239 @@ def _rolling(hashes: np.ndarray, n: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _starts(*changing: np.ndarray) -> np.ndarray:
+    """Where any of the columns differs from the row before."""
+    new = np.ones(len(changing[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in changing])
+    return np.flatnonzero(new)
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... (n numbers) for each."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 class Words:
-    """The words of some texts: their bytes' places, hashes, and the windows that lie within one text."""
+    """The words of a run's texts, in order of id and text: their bytes' places and the windows that lie within one text."""
 
-    def __init__(self, texts: pa.Array, window: int):
-        self.data, offsets = bytes_of(texts)
+    def __init__(self, run: pa.Table, window: int):
+        ids, texts = run.column("doc_id").to_numpy(), run.column("text").to_pylist()
+        order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+        self.ids = ids[order]
+        self.data, offsets = bytes_of(pa.array([texts[i] for i in order], pa.large_binary()))
         self.starts, self.ends, self.first = word_spans(self.data, offsets)
         self.window = window
-        hashes = word_hashes(self.data, self.starts, self.ends)
-        self.next_word = hashes
-        self.code = _rolling(hashes, window)
-        self.text = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        self.text = np.repeat(np.arange(len(ids)), np.diff(self.first))
+
+    def hashed(self) -> "Words":
+        w, hashes = self.window, word_hashes(self.data, self.starts, self.ends)
+        self.code = _rolling(hashes, w)
         n = len(self.code)
-        self.inside = self.text[:n] == self.text[window - 1 :][:n] if n else np.zeros(0, bool)
-        least = _rolling(hashes, _SHORT)
-        width = window - _SHORT + 1
+        self.inside = self.text[:n] == self.text[w - 1 :][:n] if n else np.zeros(0, bool)
+        self.hashes = hashes
+        return self
+
+    def minimizers(self) -> np.ndarray:
+        """The smallest short gram of each window: windows that are equal have the same."""
+        least = _rolling(self.hashes, _SHORT)
+        width = self.window - _SHORT + 1
         for shift in (1, 2, 4):
-            if 2 * shift <= width:
-                least = np.minimum(least[: len(least) - shift], least[shift:])
-        rest = width - 8
-        if rest > 0:
+            least = np.minimum(least[: len(least) - shift], least[shift:])
+        if rest := width - 8:
             least = np.minimum(least[: len(least) - rest], least[rest:])
-        #: The smallest gram of each window: windows that are equal have the same.
-        self.minimizer = least[:n]
+        return least[: len(self.code)]
 
+    def digest(self, start: int, n: int) -> bytes:
+        """Of n words from the run's word `start` on, whatever stands between them."""
+        return hashlib.blake2b(b" ".join(self.data[self.starts[start] : self.ends[start + n - 1]].tobytes().split()), digest_size=16).digest()
 
-def _bucket(codes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((codes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
+def _table(ddl: str, *columns) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+    names = [x.split() for x in ddl.split(", ")]
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, names)] or [pa.array([], kinds[k]) for _, k in names]
+    return pa.table(arrays, [n for n, _ in names])
 
-def _split(codes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
-    """Bucket, from and to of each bucket in sorted codes (a bucket is a range of codes)."""
-    which = _bucket(codes, buckets)
-    cuts = np.flatnonzero(np.diff(which, prepend=-1))
-    return list(zip(which[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(codes)]))
 
+def _with(dealt: DataFrame, told: DataFrame, step, schema: str, by: str = "run") -> DataFrame:
+    """step(run's table, rows told to it) for each run that is told something."""
 
-def _pack40(codes: np.ndarray) -> bytes:
-    """Bits 8 to 47: what tells codes of a bucket apart, but for one pair in 2**40, which costs time only."""
-    return np.ascontiguousarray(codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:6]).tobytes()
+    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+        return step(left, right) if left.num_rows and right.num_rows else _table(schema)
 
+    return dealt.groupBy("run").cogroup(told.groupBy(by)).applyInArrow(apply, schema)
 
-def _unpack40(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(packed, np.uint8).reshape(-1, 5)
-    return out.view("<u8").reshape(-1)
 
+# ---------------------------------------------------------------- steps
 
-def _low40(codes: np.ndarray) -> np.ndarray:
-    return codes >> np.uint64(8) & np.uint64((1 << 40) - 1)
 
+def _candidates(dealt: DataFrame, window: int, n: int) -> DataFrame:
+    """run, m: the minimizers of a run that another run or another of its documents has too."""
+    schema = "run int, m long, several boolean"
 
-def _grouped(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key, the place of each key's first, and whether a key has two texts."""
-    order = np.argsort(keys, kind="stable")
-    keys, texts = keys[order], texts[order]
-    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0) if len(keys) else np.zeros(0, np.int64)
-    several = np.minimum.reduceat(texts, first) != np.maximum.reduceat(texts, first) if len(keys) else np.zeros(0, bool)
-    return order, first, several
+    def tell(run: pa.Table) -> pa.Table:
+        words = Words(run, window).hashed()
+        at = np.flatnonzero(words.inside)
+        if not len(at):
+            return _table(schema)
+        m, text = words.minimizers()[at], words.text[at]
+        once = _starts(m, text)  # once for windows in a row
+        m, doc = m[once], words.ids[text[once]]
+        order = np.argsort(m, kind="stable")
+        m, doc = m[order], doc[order]
+        first = _starts(m)
+        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        return _table(schema, np.full(len(first), run.column("run")[0].as_py()), m[first].view(np.int64), several)
+
+    told = dealt.groupBy("run").applyInArrow(tell, schema).repartition(n, "m")
+    alike = Window.partitionBy("m")
+    return told.withColumn("shared", (F.count("*").over(alike) > 1) | F.max("several").over(alike)).where("shared").select("run", "m")
+
+
+def _super_windows(dealt: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
+    """m, run, p (word number of the first window), doc (smallest with these words), last (largest), codes of the windows."""
+    schema = "m long, run int, p int, doc long, last long, codes array<long>"
+
+    def tell(run: pa.Table, told: pa.Table) -> pa.Table:
+        words = Words(run, window).hashed()
+        m = words.minimizers()
+        at = np.flatnonzero(words.inside)
+        at = at[np.isin(m[at], told.column("m").to_numpy().view(np.uint64))]
+        if not len(at):
+            return _table(schema)
+        first = _starts(at - np.arange(len(at)), m[at], words.text[at])
+        rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+        first = np.flatnonzero(rank % _MOST == 0)
+        n = np.diff(np.append(first, len(at)))
+        content = np.add.reduceat(mix(words.code[at] + mix(rank.astype(np.uint64))), first)
+        p = at[first]
+        doc = words.ids[words.text[p]]
+        order = np.lexsort((p, doc, content))
+        same = _starts(content[order])
+        one = order[same]
+        codes = words.code[_ranges(p[one], n[one])].view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[one])]), pa.int32()), pa.array(codes))
+        return _table(schema, m[p[one]].view(np.int64), np.full(len(one), run.column("run")[0].as_py()), p[one], doc[one], np.maximum.reduceat(doc[order], same), lists)
+
+    return _with(dealt, candidates, tell, schema)
+
+
+def _sources(supers: DataFrame, n: int) -> DataFrame:
+    """run, p, doc0, run0, shift, bits: the edges of a super-window that also stand in an earlier document.
+
+    Edge i, from word p + i on, has its source at word p + i - shift of run0 where bit i is set.
+    """
+    edges = supers.repartition(n, "m").select("m", "run", "p", "doc", "last", F.posexplode("codes").alias("i", "code"))
+    source = F.min(F.struct("doc", "run", (F.col("p") + F.col("i")).alias("at"))).over(Window.partitionBy("m", "code"))
+    placed = edges.withColumn("source", source).where("last > source.doc")
+    shift = (F.col("p") + F.col("i") - F.col("source.at")).alias("shift")
+    same = placed.groupBy("m", "run", "p", F.col("source.doc").alias("doc0"), F.col("source.run").alias("run0"), shift)
+    return same.agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits")).drop("m")
+
+
+_PATHS = "run int, t int, start int, n int, run0 int, at0 int, digest binary"
+
+
+def _paths(dealt: DataFrame, sources: DataFrame, window: int) -> DataFrame:
+    """One row per place of a path that an earlier document has: text t of the run, its word `start`, n words."""
+
+    def place(run: pa.Table, told: pa.Table) -> pa.Table:
+        words = Words(run, window).hashed()
+        p, doc0, run0, shift, bits = (told.column(c).to_numpy() for c in ("p", "doc0", "run0", "shift", "bits"))
+        which, i = np.nonzero(bits[:, None] >> np.arange(_MOST) & 1)
+        at = p[which].astype(np.int64) + i
+        order = np.argsort(words.code[at], kind="stable")
+        codes, which, at0 = words.code[at][order], which[order], (at - shift[which])[order]
+        windows = np.flatnonzero(words.inside)
+        near = np.minimum(np.searchsorted(codes, words.code[windows]), len(codes) - 1)
+        known = codes[near] == words.code[windows]
+        at, near = windows[known], near[known]
+        earlier = doc0[which[near]] < words.ids[words.text[at]]
+        at, near = at[earlier], near[earlier]
+        if not len(at):
+            return _table(_PATHS)
+        text, from_ = words.text[at], at0[near]
+        first = _starts(at - np.arange(len(at)), text, run0[which[near]], from_ - at)
+        n = np.diff(np.append(first, len(at))) + window - 1
+        digests = [words.digest(s, k) for s, k in zip(at[first].tolist(), n.tolist())]
+        t = text[first]
+        return _table(_PATHS, np.full(len(first), run.column("run")[0].as_py()), t, at[first] - words.first[t], n, run0[which[near[first]]], from_[first], digests)
 
+    return _with(dealt, sources, place, _PATHS)
 
-_PACKED = "run int, bucket int, codes binary, more binary"
 
+def _verified(dealt: DataFrame, paths: DataFrame, window: int) -> DataFrame:
+    """run, t, start, n of the paths whose source has the same words."""
+    schema = "run0 int, at0 int, n int, digest binary"
 
-def _rows(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:
-    run, bucket, codes, more = zip(*rows) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(run, pa.int32()), pa.array(bucket, pa.int32()), pa.array(codes, pa.binary()), pa.array(more, pa.binary())], ["run", "bucket", "codes", "more"])
+    def tell(run: pa.Table, told: pa.Table) -> pa.Table:
+        words = Words(run, window)
+        at, n = told.column("at0").to_pylist(), told.column("n").to_pylist()
+        return _table(schema, told.column("run0").combine_chunks(), at, n, [words.digest(s, k) for s, k in zip(at, n)])
 
+    asked = paths.select("run0", "at0", "n").distinct()
+    return paths.join(_with(dealt, asked, tell, schema, by="run0"), ["run0", "at0", "n", "digest"]).select("run", "t", "start", "n")
 
-def _binary(table: pa.Table, name: str) -> pa.Array:
-    column = table.column(name).combine_chunks()
-    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-    return column.cast(pa.large_binary())
 
+_CUT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
 
-def _by_run(dealt: DataFrame, replies: DataFrame, step, schema: str) -> DataFrame:
-    """step(run, ids, texts, replies as (bucket, codes, more) in bucket order) for each run, with what was found out for it."""
 
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.Table.from_batches([], schema=_arrow(schema))
-        told = sorted(zip(right.column("bucket").to_pylist(), right.column("codes").to_pylist(), right.column("more").to_pylist()), key=lambda x: x[0])
-        batch = step(left.column("run")[0].as_py(), left.column("doc_id"), _binary(left, "text"), told)
-        return pa.Table.from_batches([batch])
-
-    return dealt.groupBy("run").cogroup(replies.groupBy("run")).applyInArrow(apply, schema)
-
-
-def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
-    return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
-
-
-# ---------------------------------------------------------------- minimizers in two documents
-
-
-def _shared_minimizers(dealt: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Per run and bucket: its minimizers that another run or another of its documents has too."""
-
-    def tell(batches):
-        kept: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        texts = 0
-        for batch in (b.slice(i, j - i) for b in batches for i, j in pieces(np.diff(bytes_of(b.column("text"))[1]), 4 << 20)):
-            words = Words(batch.column("text"), window)
-            new = words.inside.copy()  # once for windows in a row
-            new[1:] &= ~words.inside[:-1] | (words.minimizer[1:] != words.minimizer[:-1]) | (words.text[1 : len(new)] != words.text[: len(new) - 1])
-            at = np.flatnonzero(new)
-            runs, text = batch.column("run").to_numpy(), words.text[at]
-            for run in np.unique(runs).tolist():
-                mine = runs[text] == run
-                kept.setdefault(run, []).append((words.minimizer[at[mine]], text[mine] + texts))
-            texts += batch.num_rows
-        for run, parts in kept.items():
-            keys, text = (np.concatenate(x) for x in zip(*parts))
-            order, first, several = _grouped(keys, text)
-            codes = keys[order][first]
-            yield _rows([(run, b, _pack40(codes[i:j]), np.packbits(several[i:j]).tobytes()) for b, i, j in _split(codes, buckets)])
-
-    def answer(table: pa.Table) -> pa.Table:
-        packed = [_unpack40(x) for x in table.column("codes").to_pylist()]
-        several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8))[: len(p)] for m, p in zip(table.column("more").to_pylist(), packed)]).astype(bool)
-        every = np.concatenate(packed)
-        codes, which, times = np.unique(every, return_inverse=True, return_counts=True)
-        shared = times > 1
-        shared[which[several]] = True
-        keep, ends, rows = shared[which], np.cumsum([len(p) for p in packed]), []
-        for run, bucket, p, end in zip(table.column("run").to_pylist(), table.column("bucket").to_pylist(), packed, ends.tolist()):
-            mine = p[keep[end - len(p) : end]]
-            if len(mine):
-                rows.append((run, bucket, np.ascontiguousarray(mine.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes(), b""))
-        return pa.Table.from_batches([_rows(rows)])
-
-    return dealt.mapInArrow(tell, _PACKED).groupBy("bucket").applyInArrow(answer, _PACKED)
-
-
-# ---------------------------------------------------------------- edges and branchings
-
-
-def _edges(words: Words, told: list) -> np.ndarray:
-    """Windows whose minimizer the replies name."""
-    if not told or not len(words.code):
-        return np.zeros(len(words.code), bool)
-    # the low bits alone, whatever the bucket: some windows more than need be
-    codes = np.unique(np.concatenate([_unpack40(c) for _, c, _ in told]))
-    low = _low40(words.minimizer)
-    at = np.minimum(np.searchsorted(codes, low), len(codes) - 1)
-    return words.inside & (codes[at] == low)
-
-
-def _neighbours(words: Words, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What follows and precedes each edge: 31 bits of the other word's hash, 0 where no edge does."""
-    n, w = len(edge), words.window
-    mark = (words.next_word >> np.uint64(33)).astype(np.uint32) | np.uint32(1)
-    after, before = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-    pair = edge[:-1] & edge[1:] & (words.text[: n - 1] == words.text[1:n])
-    at = np.flatnonzero(pair)
-    after[at] = mark[at + w]
-    before[at + 1] = mark[at]
-    return after, before
-
-
-def _edge_answers(dealt: DataFrame, replies: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Per run and bucket: its edges in order of their codes; more: bit 0 in two documents, 1 one successor, 2 one predecessor."""
-
-    def tell(run: int, _ids, texts: pa.Array, told: list) -> pa.RecordBatch:
-        words = Words(texts, window)
-        edge = _edges(words, told)
-        at = np.flatnonzero(edge)
-        if not len(at):
-            return _rows([])
-        after, before = _neighbours(words, edge)
-        order, first, several = _grouped(words.code[at], words.text[at])
-        codes = words.code[at][order][first]
-        ends = []
-        for side in (after[at][order], before[at][order]):
-            low, high = np.minimum.reduceat(side, first), np.maximum.reduceat(side, first)
-            ends.append(np.where(low == high, low, np.uint32(2)))  # a mark is odd or 0
-        more = np.stack(ends, 1)
-        return _rows([(run, b, codes[i:j].astype("<u8").tobytes(), more[i:j].tobytes() + np.packbits(several[i:j]).tobytes()) for b, i, j in _split(codes, buckets)])
-
-    def answer(table: pa.Table) -> pa.Table:
-        packed = [np.frombuffer(x, "<u8") for x in table.column("codes").to_pylist()]
-        told = table.column("more").to_pylist()
-        sides = np.concatenate([np.frombuffer(m, np.uint32, 2 * len(p)).reshape(-1, 2) for m, p in zip(told, packed)])
-        several = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8, offset=8 * len(p)))[: len(p)] for m, p in zip(told, packed)]).astype(bool)
-        every = np.concatenate(packed)
-        order = np.argsort(every, kind="stable")
-        first = np.flatnonzero(np.diff(every[order], prepend=~every[order][:1]) != 0)
-        size = np.diff(np.append(first, len(order)))
-        flags = ((size > 1) | np.logical_or.reduceat(several[order], first)).astype(np.uint8)
-        for bit, side in ((2, sides[:, 0][order]), (4, sides[:, 1][order])):
-            low, high = np.minimum.reduceat(side, first), np.maximum.reduceat(side, first)
-            flags |= np.where((low == high) & (low != 2), bit, 0).astype(np.uint8)
-        back = np.empty(len(every), np.uint8)
-        back[order] = np.repeat(flags, size)
-        ends = np.cumsum([len(p) for p in packed]).tolist()
-        return pa.Table.from_batches([_rows([(r, b, back[e - len(p) : e].tobytes(), b"") for r, b, p, e in zip(table.column("run").to_pylist(), table.column("bucket").to_pylist(), packed, ends)])])
-
-    return _by_run(dealt, replies, tell, _PACKED).groupBy("bucket").applyInArrow(answer, _PACKED)
-
-
-# ---------------------------------------------------------------- paths
-
-
-_PLACES = "run int, doc_id long, start int, n_words int, digest binary"
-
-
-def _place_paths(dealt: DataFrame, minimizers: DataFrame, answers: DataFrame, window: int) -> DataFrame:
-    """One row per place of a path: maximal stretches of repeated edges without a branching inside."""
-    # both kinds of replies come to a run under one key: minimizers first
-    both = minimizers.selectExpr("run", "bucket", "codes", "more").union(answers.selectExpr("run", "bucket - 2000000000 as bucket", "codes", "more"))
-
-    def place(run: int, ids, texts: pa.Array, told: list) -> pa.RecordBatch:
-        flags_of, named = [c for b, c, _ in told if b < 0], [x for x in told if x[0] >= 0]
-        empty = pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _arrow(_PLACES)], schema=_arrow(_PLACES))
-        if not flags_of:
-            return empty
-        words = Words(texts, window)
-        at = np.flatnonzero(_edges(words, named))
-        codes, which = np.unique(words.code[at], return_inverse=True)
-        told_flags = np.frombuffer(b"".join(flags_of), np.uint8)
-        if len(told_flags) != len(codes):
-            raise ValueError("the replies are not for this run's windows")
-        flags = told_flags[which]
-        at, flags = at[(flags & 1) > 0], flags[(flags & 1) > 0]
-        if not len(at):
-            return empty
-        joined = np.zeros(len(at), bool)  # to the edge before
-        joined[1:] = (np.diff(at) == 1) & (words.text[at[1:]] == words.text[at[:-1]]) & ((flags[:-1] & 2) > 0) & ((flags[1:] & 4) > 0)
-        begin = np.flatnonzero(~joined)
-        finish = np.append(begin[1:], len(at)) - 1
-        start, last = at[begin], at[finish] + window - 1
-        data, digests = words.data.tobytes(), []
-        for a, b in zip(words.starts[start].tolist(), words.ends[last].tolist()):
-            digests.append(hashlib.blake2b(b" ".join(data[a:b].split()), digest_size=16).digest())
-        text = words.text[start]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(start), run, np.int32)), ids.combine_chunks().take(pa.array(text)) if isinstance(ids, pa.ChunkedArray) else ids.take(pa.array(text)), pa.array((start - words.first[text]).astype(np.int32)), pa.array((last - start + 1).astype(np.int32)), pa.array(digests, pa.binary())],
-            schema=_arrow(_PLACES),
-        )
-
-    return _by_run(dealt, both, place, _PLACES)
-
-
-def _cut(dealt: DataFrame, spans: DataFrame) -> DataFrame:
+def _rows(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows)) or [()] * 5
+    return _table(_CUT, *columns[:3], pa.array(columns[3], pa.binary()).cast(pa.string()), columns[4])
+
+
+def _row(doc: int | None, words: list[bytes], gone: np.ndarray | None = None) -> tuple:
+    left = words if gone is None else [w for w, g in zip(words, gone.tolist()) if not g]
+    kept = b" ".join(left)
+    return doc, len(words), len(words) - len(left), kept, hashlib.sha256(kept).hexdigest()
+
+
+def _cut(dealt: DataFrame, spans: DataFrame, window: int) -> DataFrame:
     """Texts without the spans, and their counts."""
-    schema = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        spans_of: dict[int | None, list[tuple[int, int]]] = {}
-        for doc, start, n in zip(*(right.column(c).to_pylist() for c in ("doc_id", "start", "n_words"))):
-            spans_of.setdefault(doc, []).append((start, n))
-        rows = []
-        for doc, text in zip(left.column("doc_id").to_pylist(), left.column("text").to_pylist()):
-            words = text.split()
-            n = len(words)
-            if doc in spans_of:
-                gone = np.zeros(n + 1, np.int32)
-                for start, length in spans_of[doc]:
-                    gone[min(start, n)] += 1
-                    gone[min(start + length, n)] -= 1
-                words = [w for w, g in zip(words, np.cumsum(gone[:-1]).tolist()) if not g]
-            kept = b" ".join(words)
-            rows.append((doc, n, n - len(words), kept, hashlib.sha256(kept).hexdigest()))
-        columns = list(zip(*rows)) or [()] * 5
-        kept = pa.array(columns[3], pa.binary()).cast(pa.string())
-        return pa.Table.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), kept, pa.array(columns[4], pa.string())], schema=_arrow(schema))
-
-    return dealt.groupBy("run").cogroup(spans.groupBy("run")).applyInArrow(apply, schema)
-
-
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        if not left.num_rows:
+            return _table(_CUT)
+        words = Words(left, window)
+        gone = np.zeros(len(words.starts) + 1, np.int64)
+        at = words.first[right.column("t").to_numpy()] + right.column("start").to_numpy()
+        np.add.at(gone, at, 1)
+        np.add.at(gone, at + right.column("n").to_numpy(), -1)
+        gone, raw, rows = np.cumsum(gone[:-1]) > 0, words.data.tobytes(), []
+        for t, (a, b) in enumerate(zip(words.first.tolist(), words.first[1:].tolist())):
+            text = raw[words.starts[a] : words.ends[b - 1]].split() if b > a else []
+            rows.append(_row(int(words.ids[t]), text, gone[a:b] if gone[a:b].any() else None))
+        return _rows(rows)
+
+    return dealt.groupBy("run").cogroup(spans.groupBy("run")).applyInArrow(apply, _CUT)
+
+
+def _unnamed(batches):
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            yield from _rows([_row(None, t.split()) for t in batch.column("text").slice(k, 256).to_pylist()]).to_batches()
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", run_bytes: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, kept (what is left, words joined by one space) and kept_sha256 of each row.
 
     A word goes if a window of `window` words covers it whose words also stand in a document with a smaller id.
-    Null text has no words. Rows with equal ids count as one document: none is another's source, and each loses,
-    by word number, what any of them loses. Rows with null ids lose nothing and are no source. Texts shorter than
-    a window lose nothing; an empty table gives no rows; other columns are ignored whatever their names. A window
-    is told by a 64-bit hash, its neighbours by 31 bits, and what is removed by a 128-bit digest of the words at both
-    places: a collision can't remove words that don't repeat.
+    Null text has no words. Rows with equal ids are parts of one document: none is another's source, and each loses
+    what repeats in it. Rows with null ids lose nothing and are no source. Texts shorter than a window lose nothing; an
+    empty table gives no rows; other columns are ignored whatever their names. A very long text is a run of its own and
+    must fit a task (some 30 bytes of memory per byte). Edges are told apart by a 64-bit hash and what is removed is
+    verified by a 128-bit digest of the words at both places: a collision can leave a repeat, never remove what doesn't repeat.
     """
     if not _SHORT + 7 <= window <= _SHORT + 15:
         raise ValueError("the minimizers are laid out for windows of 13 to 21 words")
     n = partitions(docs.sparkSession)
-    runs = 2 * n  # more than one per task, as hashing deals them unevenly; each tells one row per bucket, one bucket per task
-    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    dealt = dealt.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int")).repartition(n, "run")
-    minimizers = _shared_minimizers(dealt, window, n)
-    answers = _edge_answers(dealt, minimizers, window, n)
-    # dealt by both columns, so that a path in very many documents is spread; the grouping and the join both start here
-    places = _place_paths(dealt, minimizers, answers, window).where("doc_id is not null").repartition(n, "digest", "run")
-    # all columns are named, so that both sides need the same exchange and Spark makes it once
-    sources = places.groupBy("digest").agg(F.min(F.struct("doc_id", "start", "n_words", "run")).alias("source"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # dealt anew, so that the join has exchanges of its own on both sides and Spark can split a path in very many documents
-    sources = sources.repartition(n, "source")
-    spans = places.join(sources, "digest").where(F.col("doc_id") > F.col("source.doc_id")).select("run", "doc_id", "start", "n_words")
-    return _cut(dealt, spans)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), text.alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    runs = max(n, -(-size // (run_bytes or RUN_BYTES)))
+    dealt = rows.where("doc_id is not null").withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(runs)).cast("int")).repartition(n, "run")
+    supers = _super_windows(dealt, _candidates(dealt, window, n), window)
+    paths = _paths(dealt, _sources(supers, n), window)
+    found = _cut(dealt, _verified(dealt, paths, window), window)
+    return found.union(rows.where("doc_id is null").select("text").mapInArrow(_unnamed, _CUT))
