@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, mix, pieces
+from .common import bytes_of, materialise, mix, pieces
 
 #: Length of the byte n-grams and the number of hashed places for each.
 ORDERS = {2: 1 << 12, 3: 1 << 13, 4: 1 << 14}
@@ -81,19 +81,21 @@ def train(marked: list[bytes], languages: list[str], landmarks: int = 160, ridge
     return Model(names, marks.T @ a.astype(np.float32))
 
 
-def sample(docs: DataFrame, usable: Column, each: int = 300, most: int = 4800, salts: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[bytes, str]]:
+def sample(docs: DataFrame, usable: Column, each: int = 300, most: int = 4800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[bytes, str]]:
     """(packed presence bits, language) of at most `each` texts per language, by a hash of id and text.
 
     Rows alike in id, text and language are one. The bits of whole texts are found by the tasks, so the driver holds 3.5 kB
     a text, whatever its length. Where there are over `most` / `each` languages, each has so many fewer that
-    all have `most`, but two at least. The top of a language is taken from the tops of `salts` parts of it.
+    all have `most`, but two at least. Of a language, some four times as many as are needed meet in one place.
     """
     asked = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(id_col, text_col).alias("_turn"), F.col(text_col).cast("binary").alias("_text"))
-    languages = asked.select("_lang").distinct().count()
-    each = max(2, min(each, most // max(languages, 1)))
-    top = lambda df, *by: df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_turn"))).where(F.col("_n") <= each).drop("_n")
-    turns = top(asked.select("_lang", "_turn").distinct().withColumn("_salt", F.pmod("_turn", F.lit(salts))), "_lang", "_salt")
-    turns = top(turns.drop("_salt"), "_lang")
+    distinct = asked.select("_lang", "_turn").distinct()
+    counts = distinct.groupBy("_lang").agg(F.count("*").alias("_all"))
+    each = max(2, min(each, most // max(counts.count(), 1)))
+    share = F.pmod("_turn", F.lit(1 << 30)) / (1 << 30)
+    first = distinct.join(counts, "_lang").where(share * F.col("_all") < 4 * each + 16)
+    turns = first.withColumn("_n", F.row_number().over(Window.partitionBy("_lang").orderBy(share, "_turn"))).where(F.col("_n") <= each).select("_lang", "_turn")
+    turns = materialise(turns, "turns")  # so that Spark knows its size and joins without an exchange of the texts
 
     def run(batches):
         for batch in batches:
