@@ -62,7 +62,16 @@ def linked(spark, values, **how):
 def test_links_join_what_brute_force_joins(spark):
     values = planted()
     assert linked(spark, values) == groups(values)
-    assert linked(spark, values, whole_bucket=1) == groups(values)  # all buckets by masks
+    assert linked(spark, values, bucket=16) == groups(values)
+
+
+def test_a_bucket_that_must_be_split_again_and_again(spark):
+    rng = random.Random(8)
+    # one chain of segments in common, and many values within few bits of each other
+    base = rng.getrandbits(64)
+    values = {base ^ (rng.getrandbits(14) << rng.choice([0, 30, 44])) for _ in range(900)} | {base ^ (1 << 63) ^ (1 << a) ^ (1 << b) for a in range(25) for b in range(a)}
+    values = sorted(values)
+    assert linked(spark, values, bucket=16) == groups(values) == linked(spark, values)
 
 
 def test_components_of_long_paths(spark):

@@ -8,9 +8,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_row_id
+from .common import materialise, mix, with_row_id
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -94,34 +95,35 @@ def near_pairs_in(fps: np.ndarray, first: int, parts: int, most: int) -> list[tu
     return links
 
 
-def near_links(values: DataFrame, most: int = 2, parts: int = 5, whole_bucket: int = 2048) -> DataFrame:
+def near_links(values: DataFrame, most: int = 2, parts: int = 5, bucket: int = 2048) -> DataFrame:
     """a, b: links among the distinct longs `fp` of `values` that join what is at most `most` bits apart.
 
     Pigeonring: with 64 bits in `parts` segments on a ring, two values within `most` bits have a segment
     from which every chain of n segments differs in at most n * most / parts bits. So the segments
-    while that bound is below 1 are equal: they are the key. Keys with one value are dropped. In buckets
-    up to `whole_bucket` values the chain and the distance are checked in one task, which returns a
-    spanning forest. Larger buckets are not compared pair by pair: each value is keyed by the bucket and
-    itself with `most` of the other bits masked, in every choice; values that meet under a mask are all within
-    `most` bits, and each is linked to the smallest. That is exact, and linear in the bucket.
+    while that bound is below 1 are equal: they are the key. Keys with one value are dropped. The key gets longer until
+    a bucket has `bucket` values at most: the bits that are still free are cut into `most` + 1 segments, of which a
+    pair within `most` bits has one alike, and each value goes on under each of them. So keys follow the data, and
+    `bucket` values of b free bits take log(b) such steps at most, each `most` + 1 rows a value. In a bucket the
+    chain and the distance are checked in one task, which returns a spanning forest.
     """
     if not 0 < most < parts:
         raise ValueError("a chain of equal segments needs fewer differences than segments")
+    if bucket < 16:
+        raise ValueError("a bucket must hold all values that differ in the last few bits")
     segments = _segments(parts)
     equal = -(-parts // most) - 1  # the longest chain whose budget is below 1
     fp = F.col("fp")
     keys = []
     for k in range(parts):
-        key, used = F.lit(k).cast("long"), 0
+        key, used, fixed = F.lit(k).cast("long"), 0, 0
         for n in range(equal):
             shift, width = segments[(k + n) % parts]
             key, used = F.shiftleft(key, width).bitwiseOR(_field(fp, shift, width)), used + width
+            fixed |= ((1 << width) - 1) << shift
         if used > 58:
             raise ValueError("the key doesn't fit a long")
-        keys.append(F.struct(F.lit(k).alias("first"), key.alias("key")))
-    keyed = values.select("fp", F.explode(F.array(*keys)).alias("_k")).select("fp", "_k.first", "_k.key")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(keyed.join(shared, "key"), "buckets")
+        keys.append(F.struct(F.lit(k).alias("first"), F.lit(_signed(fixed)).alias("fixed"), key.alias("key")))
+    keyed = values.select("fp", F.explode(F.array(*keys)).alias("_k")).select("fp", "_k.first", "_k.fixed", "_k.key")
 
     def compare(batches):
         for batch in batches:
@@ -131,33 +133,34 @@ def near_links(values: DataFrame, most: int = 2, parts: int = 5, whole_bucket: i
             pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
-    small = met.where(F.col("n") <= whole_bucket).groupBy("key").agg(F.first("first").alias("first"), F.collect_list("fp").alias("fps"))
-    links = small.select("first", "fps").mapInArrow(compare, "a long, b long")
-
-    def masked(batches):
+    def longer(batches):
+        """Each value under each segment of its free bits."""
         for batch in batches:
-            firsts, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first in np.unique(firsts):
-                some, fixed = fps[firsts == first].view(np.uint64), {(int(first) + n) % parts for n in range(equal)}
-                free = [s + b for i, (s, w) in enumerate(segments) if i not in fixed for b in range(w)]
-                masks = _masks(free, most)
-                for k in range(0, len(some), 256):
-                    part = some[k : k + 256]
-                    seen = (part[:, None] & ~masks[None, :]).reshape(-1)
-                    which = np.tile(np.arange(len(masks), dtype=np.int32), len(part))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part, len(masks)).view(np.int64)), pa.array(seen.view(np.int64)), pa.array(which + np.int32(first) * 100_000)], ["fp", "seen", "mask"])
-
-    spread = met.where(F.col("n") > whole_bucket).select("first", "fp").mapInArrow(masked, "fp long, seen long, mask int")
-    least = spread.groupBy("seen", "mask").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    starred = spread.join(least, ["seen", "mask"]).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
-    return links.union(starred)
-
-
-def _masks(bits: list[int], most: int) -> np.ndarray:
-    """All choices of `most` of the bits."""
-    from itertools import combinations
-
-    return np.array([sum(1 << b for b in chosen) for chosen in combinations(bits, most)], np.uint64)
+            fps, first, fixed, key = (batch.column(k).to_numpy() for k in range(4))
+            for mask in np.unique(fixed).tolist():
+                at = np.flatnonzero(fixed == mask)
+                free = [b for b in range(64) if not mask >> b & 1]
+                for j in range(most + 1):
+                    segment = sum(1 << b for b in free[j * len(free) // (most + 1) : (j + 1) * len(free) // (most + 1)])
+                    if segment:
+                        value = mix(key[at].view(np.uint64) + mix((fps[at].view(np.uint64) & np.uint64(segment)) + np.uint64(j + 1) * _STEP))
+                        yield pa.RecordBatch.from_arrays([pa.array(fps[at]), pa.array(first[at]), pa.array(np.full(len(at), _signed(mask & (1 << 64) - 1 | segment))), pa.array(value.view(np.int64))], ["fp", "first", "fixed", "key"])
+
+    links = None
+    while True:
+        shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        met = materialise(keyed.join(shared, "key"), "buckets")
+        held = met.where(F.col("n") <= bucket).groupBy("key").agg(F.first("first").alias("first"), F.collect_list("fp").alias("fps"))
+        found = held.select("first", "fps").mapInArrow(compare, "a long, b long")
+        links = found if links is None else links.union(found)
+        large = met.where(F.col("n") > bucket)
+        if large.isEmpty():
+            return links
+        keyed = large.select("fp", "first", "fixed", "key").mapInArrow(longer, "fp long, first int, fixed long, key long")
+
+
+def _signed(bits: int) -> int:
+    return bits - (1 << 64) if bits >> 63 else bits
 
 
 # ---------------------------------------------------------------- components
@@ -198,7 +201,8 @@ def near_duplicates(docs: DataFrame, most: int = 2, words_each: int = 3, keep: l
     Equal fingerprints meet before anything else, so copies are one value whatever their number; only values
     are compared. Null and empty texts have fingerprint 0, linked like any other; rows with equal ids
     are one node; rows with null ids take their fingerprint's component, null if no row
-    in it has an id; an empty table gives no rows; other columns are ignored whatever their names.
+    in it has an id; an empty table gives no rows; other columns are ignored whatever their names. A very long
+    text is hashed whole, in some 40 bytes of memory per word.
     """
     marked = materialise(with_fingerprints(docs, words_each, keep, id_col, text_col), "fingerprints")
     values = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "values")
