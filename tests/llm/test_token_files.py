@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -32,14 +33,36 @@ TEXTS = ["a  b", " a", "a ", "x \n y", "\n", "a\nb c", "<|endoftext|> hi", "it '
 @settings(max_examples=150, deadline=None)
 def test_pieces_are_encoded_as_the_whole(text):
     e = tf._encoder(PATH)
-    assert e([text])[0] == e.whole(text)
+    assert e(pa.array([text]))[0].as_py() == e.whole(text)
+
+
+def test_batches_and_end_ids():
+    e = tf.Encoder(PATH)
+    texts = [t or "" for t in TEXTS] * 2
+    assert [x.as_py() for x in e(pa.array(texts), 7)] == [e.whole(t) + b"\7\0" for t in texts]
+    assert [x.as_py() for x in e(pa.array(texts).slice(3, 4))] == [e.whole(t) for t in texts[3:7]]
+    assert len(e(pa.array([], pa.string()))) == 0
+
+
+def test_other_tokenizers_get_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer, models
+
+    e = tf.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [t or "" for t in TEXTS] + ["Two words, and THREE"]
+    assert not e.plain and [x.as_py() for x in e(pa.array(texts))] == [e.whole(t) for t in texts]
+    large = Tokenizer(models.WordLevel({"[UNK]": 0, **{f"w{i}": i for i in range(1, 70_000)}}, "[UNK]"))
+    large.save(str(tmp_path / "large.json"))
+    docs = spark.createDataFrame([(1, "w69999"), (2, "w5"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids_crc32"] for r in tf.token_files(docs, str(tmp_path / "large.json")).collect()}
+    crc = lambda *ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert got == {1: crc(69999, 0), 2: crc(5, 0), 3: crc(0)}
 
 
 def test_cache_stays_bounded():
     e = tf.Encoder(PATH, cached=50)
     texts = [" ".join(f"q{i}z{k}" for k in range(30)) for i in range(8)]
-    assert [e([t])[0] for t in texts] == [e.whole(t) for t in texts]
-    assert len(e.known) <= 50 + 30
+    assert [e(pa.array([t]))[0].as_py() for t in texts] == [e.whole(t) for t in texts]
+    assert len(e.known) <= 50 + 4 * 30  # and a text's pieces with their parts
 
 
 def test_files_round_trip(spark):

@@ -13,6 +13,7 @@ task retries and commits work as for any table, on any file system; its line end
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from array import array
@@ -21,16 +22,16 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, materialise, new_path, partitions
+from .common import bytes_of, materialise, new_path, partitions, pieces
 
 MAGIC = b"TKF1"
 HEAD = struct.Struct("<4sIIII")
 FRAME_IDS = 1 << 18
 FILE_FRAMES = 64
-VOCABULARY = 1 << 16
 
 
 # ---------------------------------------------------------------- coding
@@ -115,55 +116,114 @@ class Encoder:
 
     The byte-level pre-tokenizer always starts a token at a space that stands alone between two other
     characters, so the pieces between such spaces can be encoded one by one. Texts with doubled spaces,
-    other white space beside a space, or a special token's string go to the library whole.
+    other white space beside a space, or a special token's string go to the library whole, and so does
+    every text if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str, cached: int = 1_200_000):
         self.tokenizer, self.cached, self.known = _tokenizer(path), cached, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.kind = id_kind(self.tokenizer)
+        self.code = {2: "H", 4: "I"}[self.kind.itemsize]
+        self.plain = _byte_level(json.loads(self.tokenizer.to_str()))
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def divisible(self, text: str) -> bool:
-        if not text or text[0] == " " or text[-1] == " " or any(x in text for x in self.special):
+        if not self.plain or not text or text[0] == " " or text[-1] == " " or any(x in text for x in self.special):
             return False
         if any(x in text for x in _BESIDE) or "\0" in text:
             return False
         return (text.isascii() and not any(x in text for x in _RARE)) or not _BESIDE_ANY.search(text)
 
-    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+    def learn(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces not known yet. ASCII pieces are put together from the pre-tokenizer's parts, as a word
         comes with many endings; those with a line end hardly come again and are not remembered."""
         if len(self.known) > self.cached:  # frequent pieces came early
             self.known = dict(islice(self.known.items(), self.cached // 2))
-        parts = {x: _PARTS.findall(x) if x.isascii() else [x] for x in pieces}
-        new = list({p for ps in parts.values() for p in ps if p not in self.known})
+        known = self.known
+        parts = [_PARTS.findall(x) if x.isascii() else [x] for x in pieces]
+        new = {p for ps in parts for p in ps if p not in known}
         # one part of printable ASCII is one word of the model, whose byte alphabet writes the space as a letter
-        words = [p for p in new if p.isascii() and p[0] != "\n" and p.isprintable() and not p.isspace()]
-        split = self.tokenizer.model.tokenize
-        self.known.update((p, array("H", [t.id for t in split(p.replace(" ", "\u0120"))]).tobytes()) for p in words)
-        new = [p for p in new if p not in self.known]
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            self.known.update((x, array("H", e.ids).tobytes()) for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-        out = {x: b"".join([self.known[p] for p in ps]) for x, ps in parts.items()}
-        self.known.update((x, ids) for x, ids in out.items() if "\n" not in x)
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        # the pieces of a text but its first stand after a space
-        cut = [t.replace(" ", "\0 ").split("\0") if self.divisible(t) else None for t in texts]
-        found = [p and list(map(self.known.get, p)) for p in cut]
-        get = self.learn({x for p, f in zip(cut, found) if f and None in f for x, y in zip(p, f) if y is None}).__getitem__
-        out = []
-        for t, p, f in zip(texts, cut, found):
-            if f is None:
-                out.append(self.whole(t))
+        split, code, rest = self.tokenizer.model.tokenize, self.code, []
+        for p in new:
+            if p.isascii() and p[0] != "\n" and p.isprintable() and not p.isspace():
+                known[p] = array(code, [t.id for t in split(p.replace(" ", "\u0120"))]).tobytes()
             else:
-                out.append(b"".join(f if None not in f else [get(x) if y is None else y for x, y in zip(p, f)]))
+                rest.append(p)
+        for k in range(0, len(rest), 4096):
+            some = rest[k : k + 4096]
+            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                known[x] = array(code, e.ids).tobytes()
+        out = [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in parts]
+        known.update((x, ids) for x, ids in zip(pieces, out) if "\n" not in x)
         return out
 
+    def pieces_of(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            fresh = [i for i, f in enumerate(found) if f is None]
+            for i, ids in zip(fresh, self.learn([pieces[i] for i in fresh])):
+                found[i] = ids
+        return found
+
+    def __call__(self, texts: pa.Array, end: int | None = None) -> pa.Array:
+        """The ids of each text (strings without nulls), with the end id after them."""
+        if not len(texts):
+            return pa.array([], pa.binary())
+        lists = pc.split_pattern(texts, " ")
+        begin, words = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
+        coded = words.dictionary_encode()
+        own = [None if self.divisible(t) else t for t in texts.to_pylist()]
+        apart = np.array([t is None for t in own])
+        first, size = begin[:-1], np.diff(begin)
+        follows = np.repeat(apart, size)
+        follows[first] = False
+        number = coded.indices.to_numpy().astype(np.int64)
+        used = np.flatnonzero(np.bincount(number[follows], minlength=len(coded.dictionary)))
+        table = self.pieces_of([" " + w for w in coded.dictionary.take(pa.array(used)).to_pylist()])
+        place = np.zeros(len(coded.dictionary), np.int64)
+        place[used] = np.arange(len(used))
+        # a text's first word stands after no space
+        heads = [w if a else "" for w, a in zip(words.take(pa.array(first)).to_pylist(), apart.tolist())]
+        entry = place[number]
+        entry[first] = len(table) + np.arange(len(heads))
+        table += self.pieces_of(heads)
+        wholes = np.flatnonzero(~apart)  # one entry stands for the text
+        entry[first[wholes]] = len(table) + np.arange(len(wholes))
+        table += [self.whole(own[i]) for i in wholes.tolist()]
+        stays = follows.copy()
+        stays[first] = True
+        entry, text = entry[stays], np.repeat(np.arange(len(texts)), size)[stays]
+        length = np.array([len(x) for x in table], np.int64) // self.kind.itemsize
+        ids, from_ = np.frombuffer(b"".join(table), self.kind), np.cumsum(length) - length
+        count = np.bincount(text, length[entry], len(texts)).astype(np.int64)
+        ends = np.cumsum(count + (end is not None))
+        out = np.zeros(int(ends[-1]), self.kind)
+        n = length[entry]
+        total = int(n.sum())
+        into = np.arange(total)
+        if end is not None:
+            out[ends - 1] = end
+            into = into + np.repeat(np.arange(len(texts)), count)
+        out[into] = ids[np.repeat(from_[entry] - (np.cumsum(n) - n), n) + np.arange(total)]
+        offsets = np.concatenate([[0], ends]) * self.kind.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out.tobytes())])
+
+
+def id_kind(tokenizer) -> np.dtype:
+    """Two bytes an id where the vocabulary allows it, else four."""
+    return np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+
+
+def _byte_level(how: dict) -> bool:
+    """Whether a tokenizer's description is that of plain byte-level BPE, which parts texts as Encoder takes for granted."""
+    before, model = how.get("pre_tokenizer") or {}, how.get("model") or {}
+    plain = how.get("normalizer") is None and how.get("truncation") is None and how.get("padding") is None
+    plain = plain and before.get("type") == "ByteLevel" and before.get("add_prefix_space") is False and before.get("use_regex", True)
+    return bool(plain and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")))
+
 
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> Encoder:
@@ -171,29 +231,26 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (little-endian unsigned 16-bit, end_id last) of each row; null text has only end_id."""
-    if not 0 <= end_id < VOCABULARY:
-        raise ValueError("ids are kept in 16 bits here")
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
+    """doc_id and ids (little-endian unsigned, of id_kind, end_id last) of each row; null text has only end_id."""
 
     def run(batches):
-        encoder, end = _encoder(tokenizer), np.array([end_id], "<u2").tobytes()
+        encoder = _encoder(tokenizer)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
-                ids = [x + end for x in encoder([t or "" for t in some.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for a, b in pieces(np.diff(bytes_of(batch.column(1))[1]), batch_bytes):
+                some = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([some.column(0), encoder(some.column(1), end_id)], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def frequency_ranks(tokens: DataFrame) -> DataFrame:
-    """id, n, rank of every id in use: rank 0 is the most frequent, ties by id. At most VOCABULARY rows."""
+def frequency_ranks(tokens: DataFrame, vocabulary: int, kind: np.dtype) -> DataFrame:
+    """id, n, rank of every id in use: rank 0 is the most frequent, ties by id. At most `vocabulary` rows."""
 
     def run(batches):
-        total = np.zeros(VOCABULARY, np.int64)
+        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            total += np.bincount(bytes_of(batch.column(0))[0].view("<u2"), minlength=VOCABULARY)
+            total += np.bincount(bytes_of(batch.column(0))[0].view(kind), minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["id", "n"])
 
@@ -205,12 +262,15 @@ def frequency_ranks(tokens: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- files
 
 
-def write_files(tokens: DataFrame, path: str) -> None:
-    """Writes `path`/ranks and `path`/frames in ascending doc_id (nulls first) over the files' names."""
+def write_files(tokens: DataFrame, path: str, vocabulary: int, kind: np.dtype) -> None:
+    """Writes `path`/ranks and `path`/frames in ascending doc_id (nulls first) over the files' names.
+
+    tokens must be read from files: rows of one id are dealt out by their first ids, a hash of all and their place.
+    """
     spark = tokens.sparkSession
-    frequency_ranks(tokens).write.parquet(f"{path}/ranks")
-    ranks = np.zeros(VOCABULARY, np.uint32)
-    for r in spark.read.parquet(f"{path}/ranks").collect():  # at most VOCABULARY rows
+    frequency_ranks(tokens, vocabulary, kind).write.parquet(f"{path}/ranks")
+    ranks = np.zeros(vocabulary, np.uint32)
+    for r in spark.read.parquet(f"{path}/ranks").collect():  # at most `vocabulary` rows
         ranks[r["id"]] = r["rank"]
     null = np.iinfo(np.int64).min
 
@@ -218,21 +278,23 @@ def write_files(tokens: DataFrame, path: str) -> None:
         held, size = [], 0
 
         def close():
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u2")
-            counts = np.array([len(x) // 2 for _, x in held], np.int64)
+            ids = np.frombuffer(b"".join(x for _, x in held), kind)
+            counts = np.array([len(x) // kind.itemsize for _, x in held], np.int64)
             return pa.RecordBatch.from_arrays([pa.array([frame(np.array([d for d, _ in held], np.int64), counts, ranks[ids])], pa.binary())], ["frame"])
 
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.append((null if doc is None else doc, ids))
-                size += len(ids) // 2
+                size += len(ids) // kind.itemsize
                 if size >= FRAME_IDS:
                     yield close()
                     held, size = [], 0
         if held:
             yield close()
 
-    ordered = tokens.repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.substring("ids", 1, 64), F.xxhash64("ids"), F.col("_place")]
+    placed = tokens.withColumn("_place", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).drop("_place")
     ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_FRAMES).text(f"{path}/frames")
 
 
@@ -241,8 +303,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     import zlib
 
     null = np.iinfo(np.int64).min
-    id_of = np.zeros(VOCABULARY, np.uint32)
-    for r in spark.read.parquet(f"{path}/ranks").collect():  # at most VOCABULARY rows
+    rows = spark.read.parquet(f"{path}/ranks").collect()  # a row per id of the vocabulary at most
+    id_of = np.zeros(len(rows), np.uint32)
+    for r in rows:
         id_of[r["rank"]] = r["id"]
 
     def run(batches):
@@ -273,10 +336,15 @@ def token_files(docs: DataFrame, tokenizer: str, path: str | None = None, end_id
 
     One row per document row: doc_id, start (ids of all documents before it), n_tokens (with end_id),
     ids_crc32 (over the ids as little-endian u32) and file. Null or empty text is end_id alone; rows with
-    equal ids stand together, in order of their tokens; null ids come first; a table without rows
-    gives no rows; other columns are ignored whatever their names.
+    equal ids stand together, in order of their first 32 ids and of a hash of all, and may lie in several files; null
+    ids come first; a table without rows gives no rows; other columns are ignored whatever their names. A very long
+    text is encoded whole and must fit a task some 20 times over; its frame is as long as it needs.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "token-files")
-    write_files(materialise(tokenize(docs, tokenizer, end_id, id_col, text_col), "tokens"), path)
+    held = _tokenizer(tokenizer)
+    vocabulary = max(held.get_vocab_size(with_added_tokens=True), end_id + 1, 1 + max(held.get_added_tokens_decoder(), default=0))
+    if end_id >= 1 << 8 * id_kind(held).itemsize:
+        raise ValueError("the end id is not in the range of the tokenizer's ids")
+    write_files(materialise(tokenize(docs, tokenizer, end_id, id_col, text_col), "tokens"), path, vocabulary, id_kind(held))
     return read_files(spark, path)
