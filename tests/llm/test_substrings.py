@@ -57,6 +57,7 @@ def test_against_brute_force(spark, seed):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, run string")
     assert got(docs) == plain(rows)
     assert got(docs, run_bytes=3000) == plain(rows)  # many runs
+    assert got(docs, run_bytes=3000, hot=3) == plain(rows)
 
 
 def test_repeated_and_null_ids(spark):

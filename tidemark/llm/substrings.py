@@ -6,7 +6,8 @@ its run and its number in the run. Between the runs' steps stand plain Spark row
 
 1. a row per minimizer and run: the minimizers that two documents may share (few windows are left after that);
 2. for those, a row per super-window: neighbouring windows that share a minimizer, once per run whatever its copies.
-   They are dealt by minimizer, so equal edges of all runs meet, and each finds its source: the coordinate of its
+   They are dealt by minimizer (by the window itself where very many different ones share a minimizer), so equal edges
+   of all runs meet, and each finds its source: the coordinate of its
    place in the document with the smallest id. Edges of a super-window whose sources follow one another too are compacted
    to one row, and go back to their run;
 3. each run compacts further, over super-windows: a path is a maximal stretch of repeated edges that stand in a row here and
@@ -110,9 +111,13 @@ def _with(dealt: DataFrame, told: DataFrame, step, schema: str, by: str = "run")
 # ---------------------------------------------------------------- steps
 
 
-def _candidates(dealt: DataFrame, window: int, n: int) -> DataFrame:
-    """run, m: the minimizers of a run that another run or another of its documents has too."""
-    schema = "run int, m long, several boolean"
+def _candidates(dealt: DataFrame, window: int, n: int, hot: int) -> DataFrame:
+    """run, m, hot: the minimizers of a run that another run or another of its documents has too.
+
+    hot tells whether, over all runs, more than `hot` different stretches of windows share it: a common line in
+    ever other surroundings.
+    """
+    schema = "run int, m long, several boolean, contents long"
 
     def tell(run: pa.Table) -> pa.Table:
         words = Words(run, window).hashed()
@@ -121,29 +126,38 @@ def _candidates(dealt: DataFrame, window: int, n: int) -> DataFrame:
             return _table(schema)
         m, text = words.minimizers()[at], words.text[at]
         once = _starts(m, text)  # once for windows in a row
+        content = np.add.reduceat(mix(words.code[at]), once)
         m, doc = m[once], words.ids[text[once]]
-        order = np.argsort(m, kind="stable")
+        order = np.lexsort((content, m))
         m, doc = m[order], doc[order]
         first = _starts(m)
         several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        return _table(schema, np.full(len(first), run.column("run")[0].as_py()), m[first].view(np.int64), several)
+        fresh = np.zeros(len(m), np.int64)
+        fresh[_starts(m, content[order])] = 1
+        return _table(schema, np.full(len(first), run.column("run")[0].as_py()), m[first].view(np.int64), several, np.add.reduceat(fresh, first))
 
     told = dealt.groupBy("run").applyInArrow(tell, schema).repartition(n, "m")
     alike = Window.partitionBy("m")
-    return told.withColumn("shared", (F.count("*").over(alike) > 1) | F.max("several").over(alike)).where("shared").select("run", "m")
+    over = told.select("run", "m", ((F.count("*").over(alike) > 1) | F.max("several").over(alike)).alias("shared"), (F.sum("contents").over(alike) > hot).alias("hot"))
+    return over.where("shared").select("run", "m", "hot")
 
 
 def _super_windows(dealt: DataFrame, candidates: DataFrame, window: int) -> DataFrame:
-    """m, run, p (word number of the first window), doc (smallest with these words), last (largest), codes of the windows."""
+    """m, run, p (word number of the first window), doc (smallest with these words), last (largest), codes of the windows.
+
+    m is what equal windows have in common: their minimizer or, where that is hot, a code of their own.
+    """
     schema = "m long, run int, p int, doc long, last long, codes array<long>"
 
     def tell(run: pa.Table, told: pa.Table) -> pa.Table:
         words = Words(run, window).hashed()
-        m = words.minimizers()
+        m, named = words.minimizers().copy(), told.column("m").to_numpy().view(np.uint64)
         at = np.flatnonzero(words.inside)
-        at = at[np.isin(m[at], told.column("m").to_numpy().view(np.uint64))]
+        at = at[np.isin(m[at], named)]
         if not len(at):
             return _table(schema)
+        hot = np.isin(m[at], named[told.column("hot").to_numpy()])
+        m[at[hot]] = mix(words.code[at[hot]])
         first = _starts(at - np.arange(len(at)), m[at], words.text[at])
         rank = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
         first = np.flatnonzero(rank % _MOST == 0)
@@ -258,7 +272,7 @@ def _unnamed(batches):
             yield from _rows([_row(None, t.split()) for t in batch.column("text").slice(k, 256).to_pylist()]).to_batches()
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", run_bytes: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", run_bytes: int | None = None, hot: int = 1000) -> DataFrame:
     """doc_id, n_words, n_removed, kept (what is left, words joined by one space) and kept_sha256 of each row.
 
     A word goes if a window of `window` words covers it whose words also stand in a document with a smaller id.
@@ -276,7 +290,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     runs = max(n, -(-size // (run_bytes or RUN_BYTES)))
     dealt = rows.where("doc_id is not null").withColumn("run", F.pmod(F.xxhash64("doc_id", "text"), F.lit(runs)).cast("int")).repartition(n, "run")
-    supers = _super_windows(dealt, _candidates(dealt, window, n), window)
+    supers = _super_windows(dealt, _candidates(dealt, window, n, hot), window)
     paths = _paths(dealt, _sources(supers, n), window)
     found = _cut(dealt, _verified(dealt, paths, window), window)
     return found.union(rows.where("doc_id is null").select("text").mapInArrow(_unnamed, _CUT))
