@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import pytest
 from tidemark.llm import quality
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -44,6 +45,26 @@ def test_verdict_separates_planted_junk(spark):
     assert kept == set(range(len(good)))
 
 
+def test_labelled_documents(spark):
+    sf = "/root/testdata/sf0.01"
+    judged = quality.score_quality(spark.read.parquet(f"{sf}/documents.parquet"), keep=["doc_id"]).where("not base_failed")
+    told = judged.join(spark.read.parquet(f"{sf}/labels.parquet").withColumnRenamed("quality", "good"), "doc_id").select("good", "kept").collect()
+    bad, good = [r["kept"] for r in told if not r["good"]], [r["kept"] for r in told if r["good"]]
+    assert len(bad) > 10 and sum(bad) <= 0.1 * len(bad) and len(good) > 100 and all(good)
+
+
+def test_clashing_names_repeated_rows_and_a_long_text(spark):
+    long = "\n".join(" ".join(f"w{i * 31 % 12007}x{k}" for k in range(12)) + "." for i in range(12_000))
+    rows = [(1, long, 5, 6), (1, long, 5, 6), (2, None, 1, 1), (3, " ".join(f"v{k}" for k in range(60)) + ".", 2, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, n_words int")
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and sorted(r["a.b"] for r in kept.collect()) == [2, 5, 5]
+    judged = quality.score_quality(docs, keep=["doc_id", "a.b"]).collect()
+    assert {(r["doc_id"], r["n_words"], r["n_repeat_words"], r["n_dup_lines"]) for r in judged} == {(1, 144_000, features(long)[4], features(long)[3]), (2, 0, 0, 0), (3, 60, 0, 0)}
+    with pytest.raises(ValueError):
+        quality.score_quality(docs, keep=["n_words"])
+
+
 def test_em_matches_a_plain_version(spark):
     import math
     import random

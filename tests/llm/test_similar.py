@@ -45,6 +45,19 @@ def planted():
     return rows + [(len(rows) + k, t) for k, t in enumerate([None, "", " \n", "one", "ONE", "one two"])]
 
 
+def test_simhash_candidates_are_verified(spark):
+    long = [f"w{i}" for i in range(2000)]
+    texts = [" ".join(long), " ".join(long[:1000] + ["edit"] + long[1000:]), " ".join(long[::-1]), "one two three four five", "one two three four five", "one two"]
+    data = [t.encode() for t in texts]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "node long, _text binary")
+    marked = similar.with_minima(rows, 5, ["node"]).collect()
+    assert marked[0]["fp"] != marked[2]["fp"] and (marked[0]["fp"] ^ marked[1]["fp"]).bit_count() <= 2 and marked[3]["fp"] == marked[4]["fp"]
+    # even with one fingerprint for all, only what is similar is linked
+    values = similar.with_minima(rows, 5, ["node"]).where("node <> 4").selectExpr("node", "n", "cast(0 as bigint) as fp", "keys", "sketch")
+    links = {(r["a"], r["b"]) for r in similar.similar_links(values, rows).collect()}
+    assert links == {(0, 1)}
+
+
 @pytest.mark.parametrize("source", ["planted", "tiny"])
 def test_stage_against_all_pairs(spark, source, monkeypatch):
     if source == "tiny":

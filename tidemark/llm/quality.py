@@ -118,7 +118,7 @@ def fit(votes: DataFrame, rules: list[str], steps: int = 12, settled: float = 1e
 def _judge(docs: DataFrame, keep: list[str], text_col: str, least: float) -> DataFrame:
     """_keep0, _keep1, ... and all that is found out; the features are written once, fit and verdicts read them."""
     rules = default_rules()
-    base = docs.select(*[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_text"))
+    base = docs.select(*[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("_text"))
     votes = materialise(text_features(base, "_text").drop("_text").withColumns(rules), "votes")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     based = votes.withColumn("base_failed", failed)
@@ -133,8 +133,10 @@ def score_quality(docs: DataFrame, keep: list[str], text_col: str = "text", leas
     base_failed: under 20 words, or over 30 % of the words in 8-word windows found twice. kept: not
     base_failed and quality of at least `least`. Null and empty texts fail; rows are judged one by one, so
     repeated rows get equal verdicts; an empty table gives no rows; columns not in `keep` are ignored, and
-    those in it must not have the names of the columns added.
+    those in it must not have the names of the columns added (ValueError). Whole texts are judged, however long.
     """
+    if clash := {*keep} & {*FEATURES, *default_rules(), "quality", "base_failed", "kept"}:
+        raise ValueError(f"columns of these names are added: {sorted(clash)}")
     judged = _judge(docs, keep, text_col, least)
     return judged.select(*[F.col(f"_keep{i}").alias(c) for i, c in enumerate(keep)], *FEATURES, *default_rules(), "quality", "base_failed", "kept")
 

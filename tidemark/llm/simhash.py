@@ -29,8 +29,12 @@ def fingerprint(text: bytes, words_each: int = 3, seed: int = 42) -> int:
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: len(words) - words_each] + 1).tolist()]
     hash_of = xxhash.xxh64_intdigest
-    hashes = np.array([hash_of(joined[a:b], seed) for a, b in zip(starts, ends[words_each - 1 :].tolist())], ">u8")
-    lanes = hashes.view(np.uint8).reshape(-1, 8)
+    return majority(np.array([hash_of(joined[a:b], seed) for a, b in zip(starts, ends[words_each - 1 :].tolist())], np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    lanes = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)
     if len(hashes) < 64:
         ones = np.unpackbits(lanes, axis=1).sum(0, dtype=np.int64)
     else:  # count byte values first, then the bits of 256 values

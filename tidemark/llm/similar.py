@@ -1,4 +1,8 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash candidates, each link verified on the whole sets."""
+"""Near copies by Jaccard similarity of word shingles: SimHash and MinHash candidates, each link verified on the whole sets.
+
+SimHash alone doesn't reach a similarity of 0.8: such texts differ in some ten of 64 bits, where no chain of segments is
+left to be equal. So what SimHash's pigeonring finds within a few bits is joined by MinHash bands for the rest.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bytes_of, materialise, mix, pieces, with_row_id, word_hashes, word_spans
-from .simhash import components
+from .simhash import components, majority, near_links
 
 BANDS, ROWS = 28, 5
 SLACK = 0.17  # five standard deviations of a similarity of 0.8 estimated from BANDS * ROWS minima
@@ -42,10 +46,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words_each: int = 5) -> tupl
 
 
 def with_minima(rows: DataFrame, words_each: int, keep: list[str]) -> DataFrame:
-    """`keep`, n (distinct shingles), content (digest of their set), keys (one per band) and sketch (16 bits of each
-    minimum) of each row; `rows` has _text as binary."""
+    """`keep`, n (distinct shingles), content (digest of their set), fp (SimHash of all shingles), keys (one per band) and
+    sketch (16 bits of each minimum) of each row; `rows` has _text as binary."""
     picked = rows.select("_text", *keep)
-    schema = picked.drop("_text").withColumns({"n": F.lit(0).cast("long"), "content": F.lit(b""), "keys": F.array(F.lit(0).cast("long")), "sketch": F.lit(b"")}).schema
+    schema = picked.drop("_text").withColumns({"n": F.lit(0).cast("long"), "content": F.lit(b""), "fp": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long")), "sketch": F.lit(b"")}).schema
 
     def run(batches):
         for batch in batches:
@@ -63,9 +67,10 @@ def with_minima(rows: DataFrame, words_each: int, keep: list[str]) -> DataFrame:
                 sets = [np.unique(found[x:y]) for x, y in zip(into, into[1:])]
                 n = pa.array([len(s) for s in sets], pa.int64())
                 content = pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary())
+                fps = pa.array(np.array([majority(found[x:y]) for x, y in zip(into, into[1:])], np.uint64).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
                 sketch = pa.array([s.tobytes() for s in (mix(least) >> np.uint64(48)).astype(np.uint16)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], n, content, lists, sketch], [*part.schema.names[1:], "n", "content", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], n, content, fps, lists, sketch], [*part.schema.names[1:], "n", "content", "fp", "keys", "sketch"])
 
     return picked.mapInArrow(run, schema)
 
@@ -92,15 +97,21 @@ def verified(pairs: DataFrame, texts: DataFrame, words_each: int, least: float)
 def similar_links(values: DataFrame, texts: DataFrame, words_each: int = 5, least: float = 0.8) -> DataFrame:
     """a, b: links with a similarity of `least` or more that join what any such pairs sharing a band join.
 
-    values has node, n, keys, sketch, each set of shingles once. First every member of a bucket is held against
-    the bucket's first and last, so that a large group of near copies costs rows in proportion to it. Pairs of a bucket
-    that are in different components after that are all compared by sketch, in blocks, and verified where it allows `least`.
+    values has node, n, fp, keys, sketch, each set of shingles once. First come the pairs that SimHash links and, of every
+    bucket, each member with the first and the last, so that a large group of near copies costs rows in proportion to
+    it. Pairs of a bucket that are in different components after that are all compared by sketch, in blocks, and verified
+    where it allows `least`.
     """
+    named = values.where("n > 0").groupBy("fp").agg(F.min("node").alias("head"))
+    named = materialise(named, "fingerprints")
+    same = values.where("n > 0").select("fp", "node").join(named, "fp").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    ends = lambda side: named.select(F.col("fp").alias(side), F.col("head").alias(f"_{side}"))
+    near = same.union(near_links(named.select("fp")).join(ends("a"), "a").join(ends("b"), "b").select("_a", "_b"))
     keyed = materialise(values.where("n > 0").select("node", F.explode("keys").alias("key")), "keys")
     ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n_bucket")).where("lo < hi")
     met = materialise(keyed.join(ends, "key"), "buckets")
     size = values.select("node", "n")
-    stars = met.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b")
+    stars = met.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).union(near).where("a <> b")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     fits = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
     stars = stars.join(size.withColumnRenamed("node", "a"), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").where(fits).select("a", "b")
@@ -136,15 +147,16 @@ def deduplicate(docs: DataFrame, words_each: int = 5, least: float = 0.8, id_col
     """docs with one row of each component of texts with a similarity of `least` or more: that with the smallest id (of
     equal ids, the first read).
 
-    Texts with equal sets of shingles meet by a digest; the others by MinHash bands (a pair at 0.8 shares none
-    once in 65,000) and are linked only where the whole sets are that similar. Null texts and texts without words are one
-    set. The columns stay as they are. Rows without an id count last.
+    Texts with equal sets of shingles meet by a digest; the others by SimHash within 2 bits or by MinHash bands (a pair
+    at 0.8 shares none once in 65,000) and are linked only where the whole sets are that similar. Null texts and texts
+    without words are one set. The columns stay as they are. Rows without an id count last. A very long text must fit
+    a task some 40 times over.
     """
     rows = with_row_id(docs)
     slim = rows.select("_row", F.col(f"_doc.{id_col}").alias("_id"), F.coalesce(F.col(f"_doc.{text_col}"), F.lit("")).cast("binary").alias("_text"))
     marked = with_minima(slim, words_each, ["_row", "_id"])
     best = F.min(F.struct(F.col("_id").isNull().alias("late"), "_id", "_row"))
-    values = materialise(marked.groupBy("content").agg(F.min("_row").alias("node"), best.alias("best"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "values")
+    values = materialise(marked.groupBy("content").agg(F.min("_row").alias("node"), best.alias("best"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "values")
     links = similar_links(values, slim.select(F.col("_row").alias("node"), "_text"), words_each, least)
     named = values.select("node", "best").join(components(links), "node", "left")
     stays = named.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("best")["_row"].alias("_row"))
