@@ -17,7 +17,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle similarity of 0.8 or more."""
+    """One document of each component of five-word shingle similarity of 0.8 or more: SimHash, and MinHash beyond its bits."""
     return similar.deduplicate(docs)
 
 
@@ -40,7 +40,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", keep_quality),
-    ("near-dedup", drop_near_duplicates),
+    ("simhash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("mixing to target weights", mix_to_targets),
     ("token files", write_tokens),
