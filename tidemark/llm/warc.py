@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions
+from .common import materialise, new_path
 
 _DATE = "2024-01-01T00:00:00Z"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -98,19 +98,21 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id
 
     Among payloads of at least `least_bytes` that are equal, the smallest id is the response. copy numbers the rows
     alike in id and payload from 0. Ids are reduced per SHA-1 before the join; a payload shared by very many
-    pages is a skewed join that Spark splits; only payloads that one id has several times are numbered by a window.
+    pages is a skewed join that Spark splits. Rows that are repeated are few as a rule: they are told by a small written
+    table, so that the others go without a window.
     """
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     base = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), url.alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("payload"))
     keyed = base.withColumn("_sha", F.unhex(F.sha1("payload")))
     pairs = keyed.groupBy("_sha", "page_id").agg(F.count("*").alias("_n"))
-    firsts = pairs.groupBy("_sha").agg(F.min("page_id").alias("_first"), F.sum("_n").alias("_all"), (F.max("_n") > 1).alias("_again")).where("_all > 1").drop("_all")
+    firsts = pairs.groupBy("_sha").agg(F.min("page_id").alias("_first"), F.sum("_n").alias("_all")).where("_all > 1").drop("_all")
+    again = materialise(pairs.where("_n > 1").select(F.col("_sha").alias("_s"), F.col("page_id").alias("_p")), "repeated-pages")
+    alike = (F.col("_sha") == F.col("_s")) & F.col("page_id").eqNullSafe(F.col("_p"))
+    one = keyed.join(again, alike, "left_anti").withColumn("copy", F.lit(0))
+    more = keyed.join(again, alike, "left_semi").withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "_sha").orderBy("url")) - 1)
     other = F.col("page_id").isNull() | (F.col("page_id") > F.col("_first"))
     refers = F.when(other & F.col("_first").isNotNull() & (F.length("payload") >= least_bytes), F.col("_first"))
-    joined = keyed.join(firsts, "_sha", "left").withColumn("refers_to", refers)
-    one = joined.where("not coalesce(_again, false)").withColumn("copy", F.lit(0))
-    again = joined.where("_again").withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "_sha").orderBy("url")) - 1)
-    return one.union(again).select("page_id", "url", "payload", "refers_to", "copy")
+    return one.union(more).join(firsts, "_sha", "left").select("page_id", "url", "payload", refers.alias("refers_to"), "copy")
 
 
 def write_archives(marked: DataFrame, path: str, segment_bytes: int = 4096, chunk_bytes: int = 1500, file_records: int = 20_000) -> None:
