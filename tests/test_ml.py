@@ -13,7 +13,7 @@ def table(spark):
 
 
 def test_models(spark, table, tmp_path):
-    train, test = ml.split(table)
+    train, test = ml.split(table, bucket=(F.col("transaction_id") * 7919 + 42) % 100)
     assert train.count() + test.count() == table.count()
     train = ml.weighted(train).cache()
     forest, linear = ml.fit(train, ml.random_forest(10, 4)), ml.fit(train, ml.logistic_regression())
@@ -34,3 +34,11 @@ def test_one_class_has_no_auc(spark, table):
     model = ml.fit(none, ml.random_forest(3, 2))
     out = ml.metrics("rf", model.transform(none))
     assert out["auc"] is None and out["f1"] == 1.0
+
+
+def test_split_takes_any_key(spark):
+    for rows in (spark.range(5000).selectExpr("id * 1000000007 * 1000 as k"), spark.range(5000).selectExpr("concat('t', id) as k")):
+        train, test = ml.split(rows, key="k")
+        assert train.count() + test.count() == 5000 and 3800 < train.count() < 4200
+        again, _ = ml.split(rows.repartition(7), key="k")
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, train.collect()))

@@ -43,3 +43,18 @@ def test_rare_flags_and_empty_tables(spark):
     empty = quality.judged(rows.limit(0), ids("customer_id"), ids("merchant_id"), ids("device_id"), now)
     d = quality.dashboard(empty).first()
     assert d["total_bronze_records"] == 0 and d["orphan_key_count"] == 0 and d["quarantine_rate"] is None
+
+
+def test_timestamps_written_as_text(spark):
+    rows = spark.createDataFrame([(1, "2024-01-05 10:00:00", "2024-01-09 10:00:00"), (2, "soon", None)], "transaction_id long, transaction_ts string, ingestion_ts string")
+    got = quality.standardize(rows)
+    assert dict(got.dtypes)["transaction_ts"] == dict(got.dtypes)["ingestion_ts"] == "timestamp"
+    first, second = got.orderBy("transaction_id").collect()
+    assert str(first["event_date"]) == "2024-01-05" and first["ingestion_ts"] > first["transaction_ts"]
+    assert second["transaction_ts"] is None and second["event_date"] is None
+
+
+def test_stored_dashboard_of_an_empty_quarantine(judged):
+    good = judged.where("quarantine_reason is null")
+    d = quality.dashboard_of(quality.summary(good), quality.quarantine(good)).first()
+    assert d["orphan_key_count"] == 0 and d["total_bronze_records"] == good.count() and d["quarantined_records"] == 0

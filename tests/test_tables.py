@@ -16,6 +16,8 @@ def test_sinks(spark, tmp_path):
     tables.overwrite(df, path, ["p"])
     tables.overwrite(df.where("id < 50"), path, ["p"])
     assert spark.read.parquet(path).count() == 50
+    one = spark.read.parquet(path).where("p = 1")
+    assert one.count() == 17 and all("/p=1/" in r[0] for r in one.select(F.input_file_name()).distinct().collect())
     tables.overwrite_clustered(df, f"{path}2", ["id"], 4)
     tables.compact(spark, f"{path}2", f"{path}3", ["p"], 2)
     assert spark.read.parquet(f"{path}3").count() == 100

@@ -7,11 +7,12 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = 42
-CATEGORICAL = ["merchant_risk_level", "payment_type", "device_type", "customer_segment", "transaction_country"]
+# The candidates for the model's inputs; those that a table lacks are left out.
+CATEGORICAL = ["merchant_risk_level", "amount_bucket", "transaction_country", "customer_segment", "transaction_channel"]
 NOT_ENCODED = {"transaction_country"}
 NUMERIC = ["amount", "txn_count_1h", "txn_count_24h", "txn_count_7d", "avg_amount_7d", "avg_amount_30d", "amount_vs_avg_ratio", "distinct_countries_7d", "high_risk_merchant_ratio_30d", "distinct_merchants_30d", "distinct_devices_30d", "risky_device_ratio_30d", "nighttime_txn_ratio_30d", "declined_txn_ratio_7d", "risk_signal_count"]
 BOOLEAN = ["is_nighttime_transaction", "is_cross_border", "is_international_transaction", "card_present_flag", "is_card_not_present", "rooted_device_flag", "emulator_flag"]
@@ -26,9 +27,10 @@ def prepare(features: DataFrame, label: str = "fraud_label") -> DataFrame:
     return rows.withColumns({**made, label: F.col(label).cast("double")})
 
 
-def split(rows: DataFrame, train_percent: int = 80, key: str = "transaction_id") -> tuple[DataFrame, DataFrame]:
-    """Train and test by a hash of the key: the same rows whatever the layout of the table."""
-    part = F.pmod(F.col(key) * 7919 + 42, F.lit(100))
+def split(rows: DataFrame, train_percent: int = 80, key: str = "transaction_id", bucket: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Train and test by a hash of the key, of any type: the same rows whatever the layout of the table. bucket, 0 to 99,
+    takes the hash's place where another engine must find the same rows."""
+    part = F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(100)) if bucket is None else bucket
     return rows.where(part < train_percent), rows.where(part >= train_percent)
 
 

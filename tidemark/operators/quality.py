@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import amount_bucket, as_int, is_night, null_as_false, safe_rate
+from ..functions.expressions import amount_bucket, as_int, column_or, is_night, null_as_false, safe_rate
 
 CURRENCIES = ("USD", "EUR", "GBP", "CHF", "CAD", "AUD")
 STATUSES = ("APPROVED", "DECLINED", "PENDING")
@@ -18,7 +18,10 @@ FLAGS = [f"is_{r}" for r in ("null_customer", "null_merchant", "null_device", "n
 
 
 def standardize(bronze: DataFrame) -> DataFrame:
-    """Trimmed upper-case codes, timestamps as such, event_date from the transaction's time."""
+    """Trimmed upper-case codes, timestamps as such (those written as text are read, null where they can't be),
+    event_date from the transaction's time."""
+    kinds = dict(bronze.dtypes)
+    bronze = bronze.withColumns({c: F.col(c).try_cast("timestamp") for c in ("transaction_ts", "ingestion_ts") if kinds.get(c) == "string"})
     codes = [c for c in ("currency", "transaction_status", "transaction_country", "transaction_channel", "payment_type") if c in bronze.columns]
     return bronze.withColumns({**{c: F.upper(F.trim(c)) for c in codes}, "event_date": F.to_date("transaction_ts")})
 
@@ -79,12 +82,20 @@ def quarantine(rows: DataFrame, at: Column = None) -> DataFrame:
     return rows.where(F.col("quarantine_reason").isNotNull()).drop("dedup_rn").withColumn("quarantine_ts", F.current_timestamp() if at is None else at)
 
 
-def summary(rows: DataFrame) -> DataFrame:
-    """One row: totals and the count of every flag, in one pass."""
+def _totals() -> list[Column]:
     n = lambda cond: F.coalesce(F.sum(as_int(cond)), F.lit(0)).cast("long")
     bad = F.col("quarantine_reason").isNotNull()
     counts = [n(F.col(f)).alias(f.removeprefix("is_") + "_count") for f in FLAGS]
-    return rows.agg(F.count("*").alias("total_bronze_records"), n(F.col("dedup_rn") > 1).alias("duplicate_records"), n(bad).alias("quarantined_records"), n(~bad & (F.col("dedup_rn") == 1)).alias("clean_records"), *counts)
+    return [F.count("*").alias("total_bronze_records"), n(F.col("dedup_rn") > 1).alias("duplicate_records"), n(bad).alias("quarantined_records"), n(~bad & (F.col("dedup_rn") == 1)).alias("clean_records"), *counts]
+
+
+def _reasons() -> list[Column]:
+    return [F.count_if(F.col("quarantine_reason") == r).alias(r) for r in REASONS]
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """One row: totals and the count of every flag, in one pass."""
+    return rows.agg(*_totals())
 
 
 def reason_counts(rows: DataFrame) -> DataFrame:
@@ -94,19 +105,32 @@ def reason_counts(rows: DataFrame) -> DataFrame:
 def reason_pivot(rows: DataFrame) -> DataFrame:
     """One row, a column per reason: the reasons are given, so nothing is scanned to find them, and an empty
     quarantine gives zeros instead of no row."""
-    bad = rows.where(F.col("quarantine_reason").isNotNull())
-    return bad.agg(*[F.count_if(F.col("quarantine_reason") == r).alias(r) for r in REASONS])
+    return rows.where(F.col("quarantine_reason").isNotNull()).agg(*_reasons())
 
 
-def dashboard(rows: DataFrame) -> DataFrame:
-    """The data-quality mart: one row from summary and reason_pivot."""
-    both = summary(rows).join(reason_pivot(rows))
+def occurring_reasons(quarantined: DataFrame) -> DataFrame:
+    """One row with a column per reason that occurs; no columns but the first for an empty quarantine."""
+    return quarantined.groupBy(F.lit(1).alias("one")).pivot("quarantine_reason").agg(F.count(F.lit(1)))
+
+
+def _dashboard(both: DataFrame) -> DataFrame:
+    orphans = [column_or(both.columns, f"orphan_{n}", 0) for n in ("customer", "merchant", "device")]
     return both.select(
         "total_bronze_records", "clean_records", "quarantined_records", safe_rate(F.col("quarantined_records"), F.col("total_bronze_records")).alias("quarantine_rate"), F.col("duplicate_records").alias("duplicate_count"),
-        "invalid_amount_count", "invalid_currency_count", (F.col("orphan_customer") + F.col("orphan_merchant") + F.col("orphan_device")).alias("orphan_key_count"), "late_arriving_count",
+        "invalid_amount_count", "invalid_currency_count", sum((F.coalesce(o, F.lit(0)) for o in orphans), F.lit(0)).cast("long").alias("orphan_key_count"), "late_arriving_count",
     )
 
 
+def dashboard(rows: DataFrame) -> DataFrame:
+    """The data-quality mart: totals and reasons in one pass over the judged rows."""
+    return _dashboard(rows.agg(*_totals(), *_reasons()))
+
+
+def dashboard_of(summary_row: DataFrame, quarantined: DataFrame) -> DataFrame:
+    """The same from stored tables: the summary's one row beside the one row of reasons that occur; others count 0."""
+    return _dashboard(summary_row.join(occurring_reasons(quarantined), how="left"))
+
+
 def sample_per_issue(rows: DataFrame, label: str = "data_quality_issue_type", key: str = "transaction_id") -> DataFrame:
     """The row with the smallest key (then arrival) of each label, without a shuffle of whole rows' windows."""
     picked = rows.groupBy(label).agg(F.min_by(F.struct("*"), F.struct(key, "ingestion_ts")).alias("row"))

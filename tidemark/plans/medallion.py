@@ -17,7 +17,7 @@ def silver(spark: SparkSession, bronze: DataFrame, dims: dict[str, DataFrame], o
     overwrite(quality.clean(judged), f"{out}/clean", ["event_date"])
     overwrite(quality.quarantine(judged, as_of), f"{out}/quarantine")
     overwrite(quality.summary(judged), f"{out}/summary")
-    overwrite(quality.dashboard(judged), f"{out}/dashboard")
+    overwrite(quality.dashboard_of(spark.read.parquet(f"{out}/summary"), spark.read.parquet(f"{out}/quarantine")), f"{out}/dashboard")
     clean = spark.read.parquet(f"{out}/clean")
     overwrite(enrich.with_signals(enrich.enrich(clean, *known)), f"{out}/enriched", ["event_date"])
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -160,6 +158,15 @@ def dq_dashboard(spark, d):
     return quality.dashboard(_judged(spark, d))
 
 
+@query(_oracle["dq_dashboard"])
+def dq_dashboard_stored(spark, d):
+    """From written summary and quarantine tables, as the gold layer finds them."""
+    judged, path = _judged(spark, d), _scratch(spark)
+    tables.overwrite(quality.summary(judged), f"{path}/summary")
+    tables.overwrite(quality.quarantine(judged, F.lit(AS_OF)), f"{path}/quarantine")
+    return quality.dashboard_of(spark.read.parquet(f"{path}/summary"), spark.read.parquet(f"{path}/quarantine"))
+
+
 _LATEST = "row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_extendedprice DESC) AS dedup_rn, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) > 1 AS is_duplicate_candidate"
 
 
@@ -259,7 +266,7 @@ _FEATURE_SQL = {
 
 
 def _features_sql(names: list[str]) -> str:
-    return f"WITH {fx.EVENTS_SQL} SELECT transaction_id, {', '.join(f'{_FEATURE_SQL[n]} AS {n}' for n in names)} FROM tx"
+    return f"WITH {fx.EVENTS_SQL} SELECT transaction_id, {', '.join(f'{_FEATURE_SQL[n]} AS {n}' if n in _FEATURE_SQL else n for n in names)} FROM tx"
 
 
 def _behaviour(spark, d, names) -> DataFrame:
@@ -299,7 +306,7 @@ def feat_full(spark, d):
     return _behaviour(spark, d, _ALL)
 
 
-_CHECKED = ["txn_count_24h", "avg_amount_30d", "max_amount_30d", "distinct_merchants_30d", "cross_border_txn_ratio_30d"]
+_CHECKED = ["amount", *_ALL]
 
 
 @query(f"WITH f AS ({_features_sql(_CHECKED)}) " + " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, {_R(f'avg({c})', 4)} AS mean, {_R(f'stddev_samp({c})', 4)} AS stddev FROM f" for c in _CHECKED))
@@ -342,11 +349,25 @@ def class_weights(spark, d):
 
 @query(f"WITH {_LABELLED} SELECT (doc_id * 7919 + 42) % 100 < 80 AS train, fraud_label, count(*) AS n FROM labelled GROUP BY ALL")
 def hash_split_counts(spark, d):
-    train, test = ml.split(_labelled(spark, d), key="doc_id")
+    train, test = ml.split(_labelled(spark, d), key="doc_id", bucket=(F.col("doc_id") * 7919 + 42) % 100)
     marked = train.withColumn("train", F.lit(True)).unionByName(test.withColumn("train", F.lit(False)))
     return marked.groupBy("train", "fraud_label").agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id, toxic AS fraud_label FROM labels")
+def labels_present(spark, d):
+    """The branch of the optional labels where the table is there."""
+    tables.load(spark, d, "labels").select("doc_id", F.col("toxic").alias("fraud_label")).createOrReplaceTempView("tidemark_labels")
+    return tables.load_or_empty(spark, "tidemark_labels", "doc_id long, fraud_label int")
+
+
+@query(f"WITH {fx.STAR_SQL} SELECT transaction_id, amount, CAST(transaction_id % 3 = 0 AS INTEGER) AS suspected_fraud_flag FROM fact")
+def suspected_by_label(spark, d):
+    """Where a label is there, it is the flag."""
+    fact = _fact(spark, d).drop("suspected_fraud_flag").withColumn("fraud_label", F.col("transaction_id") % 3 == 0)
+    return enrich.with_suspected(fact).select("transaction_id", "amount", "suspected_fraud_flag")
+
+
 # ---------------------------------------------------------------- retrieval and investigation
 
 _COS = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0))"
@@ -420,8 +441,23 @@ def policy_constraints(spark, d):
     return tables.violations(chunks, "chunk_id", ["document_name", "chunk_text"])
 
 
-@query()
+_TX = {"transaction_id": "transaction_id", "amount": "amount", "transaction_hour": "transaction_hour", "is_cross_border": "is_cross_border", "transaction_country": "transaction_country"}
+_CUSTOMER = {"customer_id": "customer_id", "home_country": "n_name", "customer_segment": "c_mktsegment", "risk_tier": "CASE WHEN c_acctbal < 0 THEN 'HIGH' WHEN c_acctbal < 5000 THEN 'MEDIUM' ELSE 'LOW' END"}
+
+
+@query(
+    f"WITH {fx.EVENTS_SQL}, found AS (SELECT * FROM tx LEFT JOIN customer ON customer_id = c_custkey + 1 LEFT JOIN nation ON c_nationkey = n_nationkey) SELECT transaction_id, '"
+    + (retrieval.INSTRUCTIONS + "\n\nEVIDENCE:\n").replace("'", "''")
+    + "' || CAST(to_json({" + ", ".join(f"'{k}': {v}" for k, v in _TX.items() if k != "amount") + "}) AS VARCHAR) || '\n' AS prompt, CAST(to_json({" + ", ".join(f"'{k}': {v}" for k, v in _CUSTOMER.items()) + "}) AS VARCHAR) AS customer FROM found WHERE c_custkey IS NOT NULL"
+)
 def prompt_evidence(spark, d):
+    """Prompts with the transaction as evidence, and the customer's record as JSON, for every known customer's transactions."""
+    found = retrieval.entities(fx.event_transactions(spark, d), *_dims(spark, d)).where("customer is not null")
+    return found.select("transaction_id", retrieval.prompt(F.struct(*[k for k in _TX if k != "amount"])).alias("prompt"), F.to_json(F.struct(*[F.col(f"customer.{k}") for k in _CUSTOMER])).alias("customer"))
+
+
+@query()
+def prompt_entities(spark, d):
     found = retrieval.entities(fx.event_transactions(spark, d), *_dims(spark, d))
     return found.select("transaction_id", retrieval.prompt(F.struct("transaction_id", "amount", "customer", "merchant", "device")).alias("prompt"))
 
@@ -434,6 +470,32 @@ def investigation(spark, d):
     return spark.createDataFrame([(r["transaction_id"], r["found"], r["answer"]) for r in ran], "transaction_id string, found boolean, answer string")
 
 
+@query("SELECT 3 AS audited, CAST(2 AS BIGINT) AS refused, false AS failed_append_stops, false AS failed_append_adds")
+def audit_append(spark, d):
+    """Investigations appended to an audit table; one more append fails, is logged and stops nothing."""
+    tx, dims, path = fx.event_transactions(spark, d), _dims(spark, d), _scratch(spark)
+    for i in (0, -1, "x"):
+        investigate.investigate(i, tx, *dims, audit_path=path)
+    stopped, logged = False, []
+    try:
+        tables.append_or_log(spark.range(1), path, investigate.AUDIT, logged.append)
+    except Exception:  # noqa: BLE001
+        stopped = True
+    audit = spark.read.parquet(path)
+    counted = audit.agg(F.count("*").cast("int").alias("audited"), F.count_if(F.col("answer") == retrieval.REFUSAL).alias("refused"))
+    return counted.select("audited", "refused", F.lit(stopped or len(logged) != 1).alias("failed_append_stops"), (F.col("audited") > 3).alias("failed_append_adds"))
+
+
+@query(
+    "SELECT * FROM (SELECT 'not_null_toxic' AS \"constraint\", count(*) FILTER (WHERE toxic IS NULL) AS rows FROM documents LEFT JOIN labels USING (doc_id) UNION ALL "
+    "SELECT 'not_null_text', count(*) FILTER (WHERE text IS NULL) FROM documents UNION ALL SELECT 'primary_key_lang', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM documents GROUP BY lang) WHERE n > 1)"
+)
+def constraint_violations(spark, d):
+    """Constraints that don't hold: labels are partial, languages repeat."""
+    rows = tables.load(spark, d, "documents").join(tables.load(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return tables.violations(rows, "lang", ["toxic", "text"])
+
+
 # ---------------------------------------------------------------- generation
 
 _SIZES = generate.Sizes(customers=5_000, merchants=2_000, devices=5_000, transactions=50_000)
@@ -461,6 +523,33 @@ def gen_bronze_dirty(spark, d):
     return generate.bronze_dirty(generate.fact_transactions(spark, _SIZES))
 
 
+@query("SELECT 50000 AS n, true AS keys_in_range, true AS amounts_in_range, true AS mega_share, true AS payment_follows_channel, true AS category_of_merchant, true AS statuses, true AS dates_in_range, true AS invalid_currency_share")
+def gen_fact_invariants(spark, d):
+    """What must hold for any generated fact table, in one pass."""
+    fact, dim = generate.fact_transactions(spark, _SIZES), generate.dim_merchant(spark, _SIZES)
+    named = fact.join(dim.select("merchant_id", F.col("merchant_category").alias("_category")), "merchant_id", "left")
+    c, near = F.col, lambda cond, share, by: F.abs(F.avg(cond.cast("double")) - share) < by
+    follows = F.create_map(*[x for k, v in generate.PAYMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, dict.fromkeys(v))))])
+    return named.agg(
+        F.count("*").cast("int").alias("n"),
+        F.bool_and(c("customer_id").between(1, _SIZES.customers) & c("merchant_id").between(1, _SIZES.merchants) & c("device_id").between(1, _SIZES.devices)).alias("keys_in_range"),
+        F.bool_and(F.when(c("transaction_channel") == "ATM", c("amount").between(20, 500)).otherwise(c("amount").between(1, 10_000))).alias("amounts_in_range"),
+        near(c("merchant_id") <= 50, 0.1 + 0.9 * 50 / _SIZES.merchants, 0.01).alias("mega_share"), F.bool_and(F.array_contains(follows[c("transaction_channel")], c("payment_type"))).alias("payment_follows_channel"),
+        F.bool_and(c("merchant_category") == c("_category")).alias("category_of_merchant"), (near(c("transaction_status") == "APPROVED", 0.96, 0.01) & near(c("transaction_status") == "DECLINED", 0.03, 0.01)).alias("statuses"),
+        F.bool_and(c("event_date").between("2024-01-01", "2025-12-31")).alias("dates_in_range"), near(~c("currency").isin(*quality.CURRENCIES), 5 / 16, 0.02).alias("invalid_currency_share"),
+    )
+
+
+@query("SELECT 5000 AS customers, true AS net_worth_by_income, 2000 AS merchants, 50 AS mega, true AS risk_by_category, true AS online_by_category, 5000 AS devices, true AS rooted_share")
+def gen_dims_invariants(spark, d):
+    c = F.col
+    risky = c("merchant_category").isin(*generate.HIGH_RISK, *generate.MEDIUM_RISK)
+    customers = generate.dim_customer(spark, _SIZES).agg(F.count_distinct("customer_id").cast("int").alias("customers"), F.bool_and(c("is_high_net_worth") == c("annual_income_band").isin("100-250K", "250K+")).alias("net_worth_by_income"))
+    merchants = generate.dim_merchant(spark, _SIZES).agg(F.count_distinct("merchant_id").cast("int").alias("merchants"), F.count_if(c("merchant_size") == "MEGA").cast("int").alias("mega"), F.bool_and((c("merchant_risk_level") == "LOW") == ~risky).alias("risk_by_category"), F.bool_and(c("online_only_flag") == risky).alias("online_by_category"))
+    devices = generate.dim_device(spark, _SIZES).agg(F.count_distinct("device_id").cast("int").alias("devices"), (F.abs(F.avg(c("rooted_device_flag").cast("double")) - 0.02) < 0.01).alias("rooted_share"))
+    return customers.join(merchants).join(devices)
+
+
 # ---------------------------------------------------------------- learning
 
 
@@ -471,7 +560,7 @@ def _trained(spark, d):
     train, test = ml.split(ml.prepare(features.feature_table(tx, labels)))
     train = ml.weighted(train).persist()
     try:
-        return ml.fit(train, ml.random_forest(trees=20, depth=5)), ml.fit(train, ml.logistic_regression()), test
+        return ml.fit(train, ml.random_forest()), ml.fit(train, ml.logistic_regression()), test
     finally:
         train.unpersist()
 
@@ -500,12 +589,67 @@ def ml_importance(spark, d):
     return ml.importance(spark, forest, forest.transform(test))
 
 
+_PREPARED = [c for c in ml.BOOLEAN if c not in ("card_present_flag", "is_card_not_present", "rooted_device_flag", "emulator_flag", "is_international_transaction")]
+
+
+@query(f"WITH {fx.EVENTS_SQL} SELECT transaction_id, amount, CAST(event_id_odd AS DOUBLE) AS fraud_label, 'UNKNOWN' AS merchant_risk_level, {', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in _PREPARED)} FROM (SELECT *, transaction_id % 2 AS event_id_odd FROM tx)")
+def ml_prepared(spark, d):
+    """Flags as numbers, unknown categories named; rows without label, ids or amount are left out."""
+    tx = fx.event_transactions(spark, d).withColumns({"merchant_risk_level": F.lit(None).cast("string"), "fraud_label": F.col("transaction_id") % 2})
+    bad = tx.withColumn("amount", F.lit(None).cast("double")).unionByName(tx.withColumn("fraud_label", F.lit(None).cast("long"))).unionByName(tx.withColumn("customer_id", F.lit(None).cast("long")))
+    return ml.prepare(tx.unionByName(bad)).select("transaction_id", "amount", "fraud_label", "merchant_risk_level", *_PREPARED)
+
+
+@query(f"WITH {_LABELLED} SELECT doc_id, fraud_label, {_R('CAST(count(*) OVER () AS DOUBLE) / (2 * count(*) OVER (PARTITION BY fraud_label))', 6)} AS class_weight FROM labelled")
+def ml_weighted(spark, d):
+    return ml.weighted(_labelled(spark, d)).select("doc_id", "fraud_label", exact_round(F.col("class_weight"), 6).alias("class_weight"))
+
+
+def _fixed_scores(spark, d) -> DataFrame:
+    """Scores by arithmetic, so that any engine can judge them."""
+    score = F.col("event_id") * 7919 % 101 / 101.0
+    label = (F.col("event_id") * 31 % 10 + F.floor(score * 6) > 9).cast("double")
+    return tables.load(spark, d, "events").select(label.alias("fraud_label"), score.alias("rawPrediction"), (score > 0.6).cast("double").alias("prediction"))
+
+
+_SCORED = """scored AS (SELECT CAST(event_id * 31 % 10 + floor(event_id * 7919 % 101 / 101.0 * 6) > 9 AS INTEGER) AS y, event_id * 7919 % 101 AS s, CAST(event_id * 7919 % 101 / 101.0 > 0.6 AS INTEGER) AS p FROM events)"""
+
+
+@query(f"""WITH {_SCORED}, steps AS (SELECT s, sum(y) AS pos, sum(1 - y) AS neg FROM scored GROUP BY s),
+run AS (SELECT s, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS all_pos, sum(neg) OVER () AS all_neg FROM steps WINDOW w AS (ORDER BY s DESC)),
+points AS (SELECT s, tp / all_pos AS recall, fp / all_neg AS fall, tp / (tp + fp) AS precise FROM run),
+linked AS (SELECT *, lag(recall, 1, 0.0) OVER w AS r0, lag(fall, 1, 0.0) OVER w AS f0, coalesce(lag(precise) OVER w, precise) AS p0 FROM points WINDOW w AS (ORDER BY s DESC)),
+areas AS (SELECT sum((fall - f0) * (recall + r0) / 2) AS auc, sum((recall - r0) * (precise + p0) / 2) AS auprc FROM linked),
+classes AS (SELECT k, count(*) FILTER (WHERE y = k) AS n, count(*) FILTER (WHERE p = k) AS said, count(*) FILTER (WHERE y = k AND p = k) AS hit, count(*) AS total FROM scored, (VALUES (0), (1)) t(k) GROUP BY k),
+rates AS (SELECT n / total AS w, hit / said AS pr, hit / n AS re FROM classes)
+SELECT 'fixed' AS model_name, {_R('(SELECT auc FROM areas)', 6)} AS auc, {_R('(SELECT auprc FROM areas)', 6)} AS auprc, {_R('sum(w * pr)', 6)} AS "precision", {_R('sum(w * re)', 6)} AS recall, {_R('sum(w * 2 * pr * re / (pr + re))', 6)} AS f1 FROM rates""")
+def ml_metrics_fixed(spark, d):
+    found = ml.metrics_table(spark, [ml.metrics("fixed", _fixed_scores(spark, d))])
+    return found.select("model_name", *[exact_round(F.col(c), 6).alias(c) for c in ("auc", "auprc", "precision", "recall", "f1")])
+
+
+@query(f"WITH {_SCORED} SELECT CAST(y AS DOUBLE) AS fraud_label, count(*) FILTER (WHERE p = 0) AS predicted_0, count(*) FILTER (WHERE p = 1) AS predicted_1 FROM scored GROUP BY y")
+def ml_confusion_fixed(spark, d):
+    return ml.confusion(_fixed_scores(spark, d), "fraud_label", "prediction")
+
+
+@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS changed FROM events WHERE user_id IS NOT NULL")
+def ml_saved_model(spark, d):
+    """Scores of a saved and loaded model beside those before."""
+    tx = fx.event_transactions(spark, d).withColumn("fraud_label", (F.col("amount") > 150).cast("int"))
+    rows, path = ml.weighted(ml.prepare(tx)), _scratch(spark)
+    model = ml.fit(rows, ml.logistic_regression())
+    ml.save(model, path)
+    kept = ["transaction_id", F.col("probability").cast("string").alias("p")]
+    first, again = model.transform(rows).select(*kept), ml.load(path).transform(rows).select("transaction_id", F.col("probability").cast("string").alias("q"))
+    return first.join(again, "transaction_id").agg(F.count("*").alias("n"), F.count_if(F.col("p") != F.col("q")).alias("changed"))
+
+
 # ---------------------------------------------------------------- sinks
 
 
 def _scratch(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{base.rstrip('/')}/sinks-{uuid.uuid4().hex}"
+    return tables.scratch_path(spark, "sinks")
 
 
 _EVENTS = "event_id, user_id, event_type, value"
@@ -517,26 +661,50 @@ def sink_overwrite(spark, d):
     return spark.read.parquet(path)
 
 
-@query(f"SELECT {_EVENTS}, CAST(ts AS DATE) AS event_date FROM events WHERE CAST(ts AS DATE) = DATE '2024-01-05'")
+@query(f"SELECT {_EVENTS}, CAST(ts AS DATE) AS event_date FROM events")
 def sink_partitioned(spark, d):
     tables.overwrite(tables.load(spark, d, "events").select(*_EVENTS.split(", "), F.to_date("ts").alias("event_date")), path := _scratch(spark), ["event_date"])
-    return spark.read.parquet(path).where("event_date = DATE '2024-01-05'")
+    return spark.read.parquet(path)
 
 
-@query(f"SELECT {_EVENTS} FROM events WHERE user_id BETWEEN 3 AND 5")
+@query(f"SELECT {_EVENTS} FROM events")
 def sink_clustered(spark, d):
     tables.overwrite_clustered(tables.load(spark, d, "events").select(*_EVENTS.split(", ")), path := _scratch(spark), ["user_id", "event_id"])
-    return spark.read.parquet(path).where("user_id BETWEEN 3 AND 5")
+    return spark.read.parquet(path)
 
 
-@query("SELECT event_id, value FROM events UNION ALL SELECT event_id, value FROM events WHERE event_id < 10")
+@query("SELECT event_id, value FROM events UNION ALL SELECT event_id, value FROM events")
 def sink_append(spark, d):
     rows, path = tables.load(spark, d, "events").select("event_id", "value"), _scratch(spark)
     tables.append(rows, path, rows.schema)
-    tables.append(rows.where("event_id < 10"), path, rows.schema)
+    tables.append(rows, path, rows.schema)
     return spark.read.parquet(path)
 
 
+@query(f"SELECT {_EVENTS} FROM events")
+def sink_compacted(spark, d):
+    """Many small files rewritten as a few, clustered."""
+    path = _scratch(spark)
+    tables.overwrite(tables.load(spark, d, "events").select(*_EVENTS.split(", ")).repartition(16), f"{path}/small")
+    tables.compact(spark, f"{path}/small", f"{path}/compact", ["user_id", "event_id"], 2)
+    return spark.read.parquet(f"{path}/compact")
+
+
+@query("SELECT true AS current, 'root' AS first_word, 4 AS lines_of_schema, 3 AS rows_shown")
+def namespace_and_preview(spark, d):
+    """A namespace is made and used; a preview has the schema and the first rows."""
+    before = spark.catalog.currentDatabase()
+    try:
+        tables.create_namespace(spark, "tidemark_preview")
+        current = spark.catalog.currentDatabase() == "tidemark_preview"
+    finally:
+        spark.catalog.setCurrentDatabase(before)
+        spark.sql("DROP DATABASE IF EXISTS tidemark_preview")
+    lines = tables.preview(tables.load(spark, d, "nation"), 3, ["n_nationkey"]).strip().split("\n")
+    schema = [x for x in lines if x.startswith((" |--", "root"))]
+    return spark.createDataFrame([(current, lines[0], len(schema), len([x for x in lines if x.startswith("Row(")]))], "current boolean, first_word string, lines_of_schema int, rows_shown int")
+
+
 @query("SELECT CAST(NULL AS BIGINT) AS transaction_id, CAST(NULL AS INTEGER) AS fraud_label WHERE false")
 def optional_table(spark, d):
     return tables.load_or_empty(spark, "no_such_labels", "transaction_id long, fraud_label int")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -14,6 +18,16 @@ def id_range(spark: SparkSession, n: int, column: str, parts: int | None = None)
     return spark.range(1, n + 1, 1, parts).withColumnRenamed("id", column)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share: spark.checkpoint.dir or, on one machine only, one of our own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def load(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{base}/{name}.parquet")
 
@@ -25,10 +39,14 @@ def load_or_empty(spark: SparkSession, table: str, ddl: str) -> DataFrame:
 
 def load_path_or_empty(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """A Parquet table, or an empty one of that schema where the path doesn't exist."""
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if file.getFileSystem(spark._jsc.hadoopConfiguration()).exists(file):
-        return spark.read.schema(ddl).parquet(path)
-    return spark.createDataFrame([], ddl)
+    try:
+        found = spark.read.schema(ddl).parquet(path)
+        found.schema  # a missing path shows when the plan is analysed
+        return found
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl)
 
 
 def literal_rows(spark: SparkSession, rows: list[dict], schema: StructType | str) -> DataFrame:
@@ -95,4 +113,4 @@ def create_namespace(spark: SparkSession, name: str) -> None:
 def preview(df: DataFrame, n: int = 20, order: list[Column] = ()) -> str:
     """Schema and the first n rows as text."""
     df = df.orderBy(*order) if order else df
-    return df._jdf.schema().treeString() + "\n".join(map(str, df.limit(n).collect()))
+    return df.schema.treeString() + "\n".join(map(str, df.limit(n).collect()))
