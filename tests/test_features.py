@@ -41,3 +41,15 @@ def test_ranges(spark):
 def test_one_shuffle(spark):
     plan = features.behaviour(fx.event_transactions(spark, TINY))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_customers_dealt_by_month_have_the_same_features(spark):
+    import random
+
+    rng = random.Random(3)
+    day = 86_400
+    rows = [(i, 1 if rng.random() < 0.8 else rng.randrange(2, 5), rng.choice([rng.randrange(200 * day), 30 * day * rng.randrange(6) + rng.choice([-1, 0, 1])]), float(rng.randrange(1, 500))) for i in range(1, 400)]
+    df = small(spark, [(i, c, max(s, 0), a) for i, c, s, a in rows] + [(900, 1, None, 1.0), (901, None, 5, 1.0), (902, None, 9, 1.0)])
+    whole, dealt = features.behaviour(df), features.behaviour(df, by_month=True)
+    assert whole.columns == dealt.columns
+    assert sorted(map(str, whole.collect())) == sorted(map(str, dealt.collect()))

@@ -22,15 +22,22 @@ def with_label(rows: DataFrame, labels: DataFrame, key: str = "transaction_id",
     return rows.join(labels.select(key, label), key, "left").withColumn(label, F.coalesce(label, F.lit(0)))
 
 
-def behaviour(rows: DataFrame) -> DataFrame:
+def behaviour(rows: DataFrame, by_month: bool = False) -> DataFrame:
     """rows with a known time and all features.
 
     A frame of N seconds is [t - N, t - 1] in whole seconds: neither the row nor others in its second are seen. Rows
     without a time are left out (they would see each other and themselves). All raw windows stand in one select
     over one partitioning and order: one shuffle, one sort.
+
+    by_month is for tables where one customer has a large share of the rows: no frame is longer than 30 days, so a
+    customer's rows are dealt by spans of 30 days, each also to the next span, where it is only looked back upon. That
+    shuffles twice the rows and gives the same result, and a customer is spread over as many tasks as it has spans.
     """
     timed = rows.where(F.col("transaction_ts").isNotNull()).withColumn("_s", epoch_seconds(F.col("transaction_ts")))
-    w = Window.partitionBy("customer_id").orderBy("_s")
+    span, keys = F.floor(F.col("_s") / MONTH), ["customer_id"]
+    if by_month:
+        timed, keys = timed.withColumn("_span", F.explode(F.array(span, span + 1))), ["customer_id", "_span"]
+    w = Window.partitionBy(*keys).orderBy("_s")
     past = lambda seconds: w.rangeBetween(-seconds, -1)
     n = lambda s: F.count("transaction_id").over(past(s))
     sums = {"_cross": "is_cross_border", "_risky_merchant": "is_high_risk_merchant", "_risky_device": "is_risky_device", "_night": "is_nighttime_transaction"}
@@ -44,6 +51,7 @@ def behaviour(rows: DataFrame) -> DataFrame:
         *[F.sum(as_int(flag)).over(past(MONTH)).alias(name) for name, flag in sums.items()],
         F.sum(F.when(F.col("transaction_status") == "DECLINED", 1).otherwise(0)).over(past(WEEK)).alias("_declined"),
     )
+    raw = raw.where(F.col("_span") == span).drop("_span") if by_month else raw
     ratio = lambda a, b: exact_round(safe_ratio(F.col(a).cast("double"), F.col(b).cast("double")), 4)
     done = raw.withColumns(
         {

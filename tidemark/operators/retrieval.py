@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,15 +44,15 @@ def query_text(columns: list[str], high_amount: float = 10_000) -> Column:
     )
 
 
-def cosine(a: Column, b: Column) -> Column:
+def cosine(a: Column, query: list[float]) -> Column:
+    """Cosine with a given vector, whose norm is found once and not per row."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return dot(a, F.array(*map(F.lit, query))) / (F.sqrt(dot(a, a)) * F.lit(math.sqrt(sum(float(x) * float(x) for x in query))))
 
 
 def top_k(index: DataFrame, query: list[float], k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest by cosine, exact: one scan, k rows kept per task. Ties by key."""
-    score = F.round(cosine(F.col(vector), F.array(*map(F.lit, query))), 6)
-    return index.select("*", score.alias("score")).orderBy(F.desc("score"), key).limit(k)
+    return index.select("*", F.round(cosine(F.col(vector), query), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def text_top_k(chunks: DataFrame, query: str, k: int = 5, text: str = "chunk_text", key: str = "chunk_id") -> DataFrame:

@@ -306,6 +306,12 @@ def feat_full(spark, d):
     return _behaviour(spark, d, _ALL)
 
 
+@query(_features_sql(_ALL))
+def feat_full_by_month(spark, d):
+    """The same with each customer's rows dealt by spans of 30 days."""
+    return features.behaviour(fx.event_transactions(spark, d), by_month=True).select("transaction_id", *_ALL)
+
+
 _CHECKED = ["amount", *_ALL]
 
 
