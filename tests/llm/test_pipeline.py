@@ -115,7 +115,7 @@ def planted():
         a = rng.randrange(15)
         rows.append((200 + i, prose(40) + (quote if i < 4 else quote[a : a + 20] if i < 8 else quote[a : a + 4]) + prose(40)))
     out = [(i, text(w)) for i, w in rows]
-    out += [(300 + i, text([w + "$$#" for w in prose(70)])) for i in range(8)] + [(310 + i, text(prose(9))) for i in range(5)] + [(320, None), (321, ""), (322, text(prose(10)) * 12)]
+    out += [(300 + i, "\n".join(" ".join(f"{rng.randrange(10**6)}$$#" for _ in range(9)) for _ in range(9))) for i in range(8)] + [(310 + i, text(prose(9))) for i in range(5)] + [(320, None), (321, ""), (322, text(prose(10)) * 12)]
     rng.shuffle(out)
     return [(i, t, ["web", "books", "code", None][i % 4 if i % 3 else 0]) for i, t in out], items
 
