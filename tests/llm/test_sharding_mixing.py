@@ -67,3 +67,15 @@ def test_mix_reaches_targets(spark):
     mixed = mixing.mix_sources(docs(spark, rows))
     assert mixed.columns == ["doc_id", "text", "source", "n_words"] and mixed.count() == sum(r["copies"] for r in got)
     assert mixing.plan_mix(docs(spark, rows).limit(0)).count() == 0
+
+
+def test_long_texts_repeated_rows_and_clashing_names(spark):
+    rows = [(i, "word " * (400_000 if i == 3 else 5), "a", "x", 1) for i in range(40)] + [(5, "word " * 5, "a", "x", 1)] * 7
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` string, shard int")
+    placed = sharding.shard_by_bytes(frame).collect()
+    assert len(placed) == 47 and sum(r["size"] for r in placed) == sum(len(t) + 1 for _, t, *_ in rows) and max(r["size"] for r in placed) == 2_000_001
+    plan = mixing.plan_mix(frame).collect()
+    assert len(plan) == 47 and max(r["size"] for r in plan) == 400_000 and all(r["target"] == r["source_size"] for r in plan)
+    assert mixing.mix_sources(frame).columns == frame.columns
+    one = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
+    assert [(r["size"], r["target"], r["taken"]) for r in mixing.plan_mix(one).collect()] == [(0, 0.0, 0)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, prefix_sums, with_row_id
@@ -17,17 +17,18 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     a target stops at `cap` times its source's size and the excess goes to the others by weight. The end
     of that resharing is target = min(level * weight, cap * size) for one level: with sources in order
     of cap/weight, the level is set by the first source that the remaining sum doesn't lift above its cap.
+    Windows here are over one row per source.
     """
     sources = sized.groupBy(*_SOURCE).agg(F.sum("size").alias("source_size"))
-    ranked = prefix_sums(sources, [F.col(c) for c in _SOURCE], {"_rank": F.lit(1).cast("long")})
-    weighed = ranked.withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("long"))
-    capped = weighed.withColumn("_cap", F.col("source_size") * cap)
+    rank = F.row_number().over(Window.orderBy(*_SOURCE)) - 1
+    weighed = sources.withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("long")).withColumn("_cap", F.col("source_size") * cap)
     ratio = F.col("_cap") / F.col("_weight")
-    filled = prefix_sums(capped.withColumn("_ratio", ratio), [F.col(c) for c in ("_ratio", *_SOURCE)], {"_caps": F.col("_cap"), "_weights": F.col("_weight")})
-    whole, weighing = filled.agg(F.sum("source_size")).scalar(), filled.agg(F.sum("_weight")).scalar()
-    levels = filled.withColumn("_level", (whole - F.col("_caps")) / (weighing - F.col("_weights")))
-    level = levels.where("_level <= _ratio").agg(F.min_by("_level", F.struct("_ratio", *_SOURCE))).scalar()
-    target = F.least(F.coalesce(level * F.col("_weight"), F.col("_cap").cast("double")), F.col("_cap").cast("double"))
+    earlier = Window.orderBy(ratio, *_SOURCE).rowsBetween(Window.unboundedPreceding, -1)
+    over, every = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)), Window.partitionBy()
+    level = (over("source_size", every) - over("_cap", earlier)) / (over("_weight", every) - over("_weight", earlier))
+    filled = weighed.withColumns({"_level": level, "_ratio": ratio})
+    first = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", *_SOURCE, "_level"))).over(every)
+    target = F.least(F.coalesce(first["_level"] * F.col("_weight"), F.col("_cap").cast("double")), F.col("_cap").cast("double"))
     return filled.select(*_SOURCE, "source_size", target.alias("target"))
 
 
@@ -39,10 +40,11 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3
     copies start at one offset per source (drawn from a hash of `seed` and the source), and a document
     is emitted once per whole number that the sum passes: the floor or the ceiling of its expectation.
     Null text has size 0; null source is a source of its own, weighed last; a source without words has
-    target 0 and takes nothing. Rows with equal size, id and text are alike. An empty table gives no rows.
+    target 0 and takes nothing. Rows with equal size, id and text are alike. An empty table gives no rows; other
+    columns are ignored whatever their names; words are counted over whole texts, however long.
     """
     sized = docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(f"`{id_col}`").alias("doc_id"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.col(source_col).isNull().alias("_unnamed"),
         F.coalesce(F.col(source_col), F.lit("")).alias("_source"),

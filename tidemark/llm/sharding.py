@@ -16,7 +16,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     than one document at either end. slot counts the rows of a shard from 0. Null text has no bytes
     and so size 1; rows with equal ids stand in order of checksum and size, and rows equal in all three
     are alike, so any order of them gives the same result; an empty table gives no rows; other columns
-    are ignored whatever their names.
+    are ignored whatever their names. A very long text is measured and never cut: its shard is longer by it.
     """
     sized = docs.select(
         F.col(id_col).alias("doc_id"),
