@@ -97,10 +97,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words_each: int, least: float)
 def similar_links(values: DataFrame, texts: DataFrame, words_each: int = 5, least: float = 0.8) -> DataFrame:
     """a, b: links with a similarity of `least` or more that join what any such pairs sharing a band join.
 
-    values has node, n, fp, keys, sketch, each set of shingles once. First come the pairs that SimHash links and, of every
-    bucket, each member with the first and the last, so that a large group of near copies costs rows in proportion to
-    it. Pairs of a bucket that are in different components after that are all compared by sketch, in blocks, and verified
-    where it allows `least`.
+    values has node, n, fp, keys, sketch, each set of shingles once. First come the pairs that SimHash links and each
+    value with four of the firsts and lasts of its buckets, so that a large group of near copies costs rows in
+    proportion to it. Pairs of a bucket that are in different components after that are all compared by sketch, in
+    blocks, and verified where it allows `least`.
     """
     named = values.where("n > 0").groupBy("fp").agg(F.min("node").alias("head"))
     named = materialise(named, "fingerprints")
@@ -108,22 +108,33 @@ def similar_links(values: DataFrame, texts: DataFrame, words_each: int = 5, leas
     ends = lambda side: named.select(F.col("fp").alias(side), F.col("head").alias(f"_{side}"))
     near = same.union(near_links(named.select("fp")).join(ends("a"), "a").join(ends("b"), "b").select("_a", "_b"))
     keyed = materialise(values.where("n > 0").select("node", F.explode("keys").alias("key")), "keys")
-    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("n_bucket")).where("lo < hi")
+    ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     met = materialise(keyed.join(ends, "key"), "buckets")
     size = values.select("node", "n")
-    stars = met.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).union(near).where("a <> b")
+    # of all buckets' firsts and lasts, four for each member: so many rows however many buckets it is in
+    turn = lambda c: F.struct(F.xxhash64(c).alias("turn"), F.col(c).alias("node"))
+    picked = met.groupBy("node").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min(turn("lo"))["node"].alias("some"), F.max(turn("hi"))["node"].alias("other"))
+    stars = picked.select(F.col("node").alias("a"), F.explode(F.array("lo", "hi", "some", "other")).alias("b")).union(near).where("a <> b")
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     fits = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
     stars = stars.join(size.withColumnRenamed("node", "a"), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").where(fits).select("a", "b")
     links = verified(materialise(stars, "stars"), texts, words_each, least)
 
     named = components(links)
-    marked = materialise(met.join(named, "node", "left").select("node", "key", "n_bucket", F.coalesce("component", "node").alias("component")), "marked")
-    mixed = marked.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
-    blocks = F.ceil(F.col("n_bucket") / BLOCK)
-    mine = F.pmod(F.xxhash64("node"), blocks)
-    cells = marked.join(mixed, "key").withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    cells = cells.select("node", "component", F.struct("key", F.least(mine, "_other").alias("i"), F.greatest(mine, "_other").alias("j")).alias("cell"))
+    marked = materialise(met.join(named, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component")), "marked")
+    # of a bucket with several components, the largest needs no comparing inside: its members are dealt in blocks, the others
+    # in blocks of their own, and each block of the others meets all blocks
+    parts = marked.groupBy("key", "component").agg(F.count("*").alias("n_part"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n_part", "component")).alias("most"), F.sum("n_part").alias("n_all"), F.count("*").alias("n_parts")).where("n_parts > 1")
+    mixed = mixed.select("key", F.col("most.component").alias("main"), F.ceil(F.col("most.n_part") / BLOCK).alias("n_main"), F.ceil((F.col("n_all") - F.col("most.n_part")) / BLOCK).alias("n_rest"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    mine = lambda n: F.pmod(F.xxhash64("node"), n)
+    with_main = lambda i, j: F.struct(F.lit(0).alias("kind"), i.alias("i"), j.alias("j"))
+    of_main = F.transform(upto(F.col("n_rest")), lambda j: with_main(mine(F.col("n_main")), j))
+    of_rest = F.transform(upto(F.col("n_main")), lambda i: with_main(i, mine(F.col("n_rest"))))
+    own = F.transform(upto(F.col("n_rest")), lambda j: F.struct(F.lit(1).alias("kind"), F.least(j, mine(F.col("n_rest"))).alias("i"), F.greatest(j, mine(F.col("n_rest"))).alias("j")))
+    dealt = marked.join(mixed, "key").select("node", "component", "key", F.explode(F.when(F.col("component") == F.col("main"), of_main).otherwise(F.concat(of_rest, own))).alias("at"))
+    cells = dealt.select("node", "component", F.struct("key", "at").alias("cell"))
     held = cells.join(values.select("node", "n", "sketch"), "node").groupBy("cell").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("all"))
 
     def compare(batches):
