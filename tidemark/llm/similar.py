@@ -17,7 +17,7 @@ from .simhash import components, majority, near_links
 
 BANDS, ROWS = 28, 5
 SLACK = 0.17  # five standard deviations of a similarity of 0.8 estimated from BANDS * ROWS minima
-BLOCK = 2048
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -75,8 +75,8 @@ def with_minima(rows: DataFrame, words_each: int, keep: list[str]) -> DataFrame:
     return picked.mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words_each: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole shingle sets have a Jaccard similarity of `least` or more; texts has node, _text."""
+def shingle_sets(texts: DataFrame, nodes: DataFrame, words_each: int) -> DataFrame:
+    """node, set (sorted) of the texts of these nodes; texts has node, _text."""
 
     def run(batches):
         for batch in batches:
@@ -85,8 +85,12 @@ def verified(pairs: DataFrame, texts: DataFrame, words_each: int, least: float)
                 sets = [np.unique(found[x:y]).view(np.int64) for x, y in zip(into, into[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialise(texts.join(nodes, "node", "left_semi").select("node", "_text").mapInArrow(run, "node long, set array<long>"), "sets")
+    return materialise(texts.join(nodes, "node", "left_semi").select("node", "_text").mapInArrow(run, "node long, set array<long>"), "sets")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words_each: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole shingle sets have a Jaccard similarity of `least` or more; texts has node, _text."""
+    sets = shingle_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words_each)
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     # in whole numbers: common / union >= least
@@ -94,13 +98,34 @@ def verified(pairs: DataFrame, texts: DataFrame, words_each: int, least: float)
     return materialise(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "similar")
 
 
+def forest(node: np.ndarray, component: np.ndarray, main: int | None, sketch: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links of a similarity of `least` that join components, one for each joining; with `main`, only between that component and others."""
+    n, out = np.array([len(x) for x in sets]), []
+    label, inside = np.unique(component, return_inverse=True)[1], None if main is None else component == main
+    for i in range(len(node) - 1):
+        fits = (label[i + 1 :] != label[i]) & (np.minimum(n[i + 1 :], n[i]) >= least * np.maximum(n[i + 1 :], n[i]) - 1e-9)
+        rest = i + 1 + np.flatnonzero(fits if inside is None else fits & (inside[i + 1 :] != inside[i]))
+        if not len(rest):
+            continue
+        alike = (sketch[rest] == sketch[i]).mean(1)
+        rest = rest[np.argsort(-alike, kind="stable")][: int((alike >= least - SLACK).sum())]
+        while len(rest):
+            j = rest[0]
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common * 1000 >= round(least * 1000) * (n[i] + n[j] - common):
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+                label[label == label[j]] = label[i]
+            rest = rest[1:][label[rest[1:]] != label[i]]
+    return out
+
+
 def similar_links(values: DataFrame, texts: DataFrame, words_each: int = 5, least: float = 0.8) -> DataFrame:
     """a, b: links with a similarity of `least` or more that join what any such pairs sharing a band join.
 
     values has node, n, fp, keys, sketch, each set of shingles once. First come the pairs that SimHash links and each
     value with four of the firsts and lasts of its buckets, so that a large group of near copies costs rows in
-    proportion to it. Pairs of a bucket that are in different components after that are all compared by sketch, in
-    blocks, and verified where it allows `least`.
+    proportion to it. Pairs of a bucket that are in different components after that are all compared, in blocks: by
+    sketch and, where that allows `least`, by their whole sets. A block tells only links that join components.
     """
     named = values.where("n > 0").groupBy("fp").agg(F.min("node").alias("head"))
     named = materialise(named, "fingerprints")
@@ -122,36 +147,38 @@ def similar_links(values: DataFrame, texts: DataFrame, words_each: int = 5, leas
 
     named = components(links)
     marked = materialise(met.join(named, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component")), "marked")
-    # of a bucket with several components, the largest needs no comparing inside: its members are dealt in blocks, the others
-    # in blocks of their own, and each block of the others meets all blocks
+    # Buckets with several components whose largest is the same are one group. Its largest component needs no comparing
+    # inside: its members are dealt in blocks, the others in blocks of their own, and each block of the others meets all.
     parts = marked.groupBy("key", "component").agg(F.count("*").alias("n_part"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n_part", "component")).alias("most"), F.sum("n_part").alias("n_all"), F.count("*").alias("n_parts")).where("n_parts > 1")
-    mixed = mixed.select("key", F.col("most.component").alias("main"), F.ceil(F.col("most.n_part") / BLOCK).alias("n_main"), F.ceil((F.col("n_all") - F.col("most.n_part")) / BLOCK).alias("n_rest"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n_part", "component"))["component"].alias("main"), F.count("*").alias("n_parts")).where("n_parts > 1")
+    grouped = materialise(marked.join(mixed, "key").select("node", "component", "main").distinct().join(size, "node"), "grouped")
+    inside = F.col("component") == F.col("main")
+    blocks = lambda cond: F.ceil(F.greatest(F.count_if(cond) / BLOCK, F.sum(F.when(cond, F.col("n")).otherwise(0)) / BLOCK_SHINGLES))
+    counted = grouped.groupBy("main").agg(blocks(inside).alias("n_main"), blocks(~inside).alias("n_rest"))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     mine = lambda n: F.pmod(F.xxhash64("node"), n)
-    with_main = lambda i, j: F.struct(F.lit(0).alias("kind"), i.alias("i"), j.alias("j"))
-    of_main = F.transform(upto(F.col("n_rest")), lambda j: with_main(mine(F.col("n_main")), j))
-    of_rest = F.transform(upto(F.col("n_main")), lambda i: with_main(i, mine(F.col("n_rest"))))
-    own = F.transform(upto(F.col("n_rest")), lambda j: F.struct(F.lit(1).alias("kind"), F.least(j, mine(F.col("n_rest"))).alias("i"), F.greatest(j, mine(F.col("n_rest"))).alias("j")))
-    dealt = marked.join(mixed, "key").select("node", "component", "key", F.explode(F.when(F.col("component") == F.col("main"), of_main).otherwise(F.concat(of_rest, own))).alias("at"))
-    cells = dealt.select("node", "component", F.struct("key", "at").alias("cell"))
-    held = cells.join(values.select("node", "n", "sketch"), "node").groupBy("cell").agg(F.collect_list(F.struct("node", "component", "n", "sketch")).alias("all"))
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    of_main = F.transform(upto(F.col("n_rest")), lambda j: cell(0, mine(F.col("n_main")), j))
+    of_rest = F.transform(upto(F.col("n_main")), lambda i: cell(0, i, mine(F.col("n_rest"))))
+    own = F.transform(upto(F.col("n_rest")), lambda j: cell(1, F.least(j, mine(F.col("n_rest"))), F.greatest(j, mine(F.col("n_rest")))))
+    dealt = grouped.join(counted, "main").select("node", "component", "main", F.explode(F.when(inside, of_main).otherwise(F.concat(of_rest, own))).alias("at"))
+    sets = shingle_sets(texts, grouped.select("node").distinct(), words_each).join(values.select("node", "sketch"), "node")
+    held = dealt.join(sets, "node").groupBy("main", "at").agg(F.collect_list(F.struct("node", "component", "sketch", "set")).alias("all"))
 
     def compare(batches):
         for batch in batches:
-            for every in batch.column(0):
+            for main, kind, every in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 flat = every.values
-                node, component, n = (flat.field(k).to_numpy() for k in range(3))
-                sketch = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint16).reshape(len(node), -1)
-                for i in range(len(node) - 1):
-                    rest = i + 1 + np.flatnonzero((component[i + 1 :] != component[i]) & (np.minimum(n[i + 1 :], n[i]) >= least * np.maximum(n[i + 1 :], n[i]) - 1e-9))
-                    near = rest[(sketch[rest] == sketch[i]).mean(1) >= least - SLACK] if len(rest) else rest
-                    if len(near):
-                        a, b = np.minimum(node[near], node[i]), np.maximum(node[near], node[i])
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    pairs = materialise(held.select("all").mapInArrow(compare, "a long, b long").distinct(), "pairs")
-    return links.union(verified(pairs, texts, words_each, least))
+                node, component = (flat.field(k).to_numpy() for k in range(2))
+                order = np.argsort(node, kind="stable")
+                sketch = np.frombuffer(b"".join(flat.field(2).to_pylist()), np.uint16).reshape(len(node), -1)
+                lists = flat.field(3)
+                ends, data = lists.offsets.to_numpy(), lists.values.to_numpy()
+                sets = [data[ends[k] : ends[k + 1]] for k in order.tolist()]
+                links = np.array(forest(node[order], component[order], main if kind == 0 else None, sketch[order], sets, least), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+    return links.union(held.select("main", "at.kind", "all").mapInArrow(compare, "a long, b long"))
 
 
 def deduplicate(docs: DataFrame, words_each: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
