@@ -88,9 +88,8 @@ def shingle_sets(texts: DataFrame, nodes: DataFrame, words_each: int) -> DataFra
     return materialise(texts.join(nodes, "node", "left_semi").select("node", "_text").mapInArrow(run, "node long, set array<long>"), "sets")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words_each: int, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole shingle sets have a Jaccard similarity of `least` or more; texts has node, _text."""
-    sets = shingle_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), words_each)
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of `least` or more."""
     left, right = sets.select(F.col("node").alias("a"), F.col("set").alias("x")), sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     # in whole numbers: common / union >= least
@@ -132,7 +131,7 @@ def similar_links(values: DataFrame, texts: DataFrame, words_each: int = 5, leas
     same = values.where("n > 0").select("fp", "node").join(named, "fp").select(F.col("node").alias("a"), F.col("head").alias("b"))
     ends = lambda side: named.select(F.col("fp").alias(side), F.col("head").alias(f"_{side}"))
     near = same.union(near_links(named.select("fp")).join(ends("a"), "a").join(ends("b"), "b").select("_a", "_b"))
-    keyed = materialise(values.where("n > 0").select("node", F.explode("keys").alias("key")), "keys")
+    keyed = values.where("n > 0").select("node", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
     met = materialise(keyed.join(ends, "key"), "buckets")
     size = values.select("node", "n")
@@ -143,7 +142,10 @@ def similar_links(values: DataFrame, texts: DataFrame, words_each: int = 5, leas
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     fits = F.least("n", "m") >= F.lit(least) * F.greatest("n", "m") - 1e-9
     stars = stars.join(size.withColumnRenamed("node", "a"), "a").join(size.select(F.col("node").alias("b"), F.col("n").alias("m")), "b").where(fits).select("a", "b")
-    links = verified(materialise(stars, "stars"), texts, words_each, least)
+    stars = materialise(stars, "stars")
+    # once, for every value that meets another
+    sets = shingle_sets(texts, met.select("node").union(stars.select(F.explode(F.array("a", "b")))).distinct(), words_each)
+    links = verified(stars, sets, least)
 
     named = components(links)
     marked = materialise(met.join(named, "node", "left").select("node", "key", F.coalesce("component", "node").alias("component")), "marked")
@@ -162,8 +164,7 @@ def similar_links(values: DataFrame, texts: DataFrame, words_each: int = 5, leas
     of_rest = F.transform(upto(F.col("n_main")), lambda i: cell(0, i, mine(F.col("n_rest"))))
     own = F.transform(upto(F.col("n_rest")), lambda j: cell(1, F.least(j, mine(F.col("n_rest"))), F.greatest(j, mine(F.col("n_rest")))))
     dealt = grouped.join(counted, "main").select("node", "component", "main", F.explode(F.when(inside, of_main).otherwise(F.concat(of_rest, own))).alias("at"))
-    sets = shingle_sets(texts, grouped.select("node").distinct(), words_each).join(values.select("node", "sketch"), "node")
-    held = dealt.join(sets, "node").groupBy("main", "at").agg(F.collect_list(F.struct("node", "component", "sketch", "set")).alias("all"))
+    held = dealt.join(values.select("node", "sketch"), "node").join(sets, "node").groupBy("main", "at").agg(F.collect_list(F.struct("node", "component", "sketch", "set")).alias("all"))
 
     def compare(batches):
         for batch in batches:
