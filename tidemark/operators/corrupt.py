@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The labels of the defects and their shares.
 ISSUES = ["null_customer", "null_merchant", "null_device", "null_amount", "negative_amount", "invalid_currency", "future_timestamp", "orphan_customer", "orphan_merchant", "late_event", "zero_amount", "invalid_status", "suspicious_default", "null_country"]
 
 #: Shares of 10,000 in the generated data, in the order of ISSUES.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import as_int, null_as_false
 
+# The risk signals.
 SIGNALS = ["is_cross_border", "is_high_risk_merchant", "is_risky_device", "is_card_not_present", "is_international_transaction", "is_nighttime_transaction"]
 
 

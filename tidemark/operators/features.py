@@ -9,6 +9,7 @@ from ..functions.expressions import as_int, epoch_seconds, exact_round, safe_rat
 
 HOUR, DAY, WEEK, MONTH = 3600, 86_400, 7 * 86_400, 30 * 86_400
 
+# The columns of the feature table.
 COUNTS = ["txn_count_1h", "txn_count_24h", "txn_count_7d"]
 SPEND = ["avg_amount_7d", "avg_amount_30d", "max_amount_30d", "amount_vs_avg_ratio"]
 DISTINCT = ["distinct_countries_7d", "distinct_merchants_30d", "distinct_devices_30d"]

@@ -32,6 +32,7 @@ def by_category(fact: DataFrame) -> DataFrame:
     return mart(fact, ["merchant_category"])
 
 
+# The columns of the marts.
 MERCHANT = ["merchant_id", "merchant_name", "merchant_category", "merchant_country", "merchant_risk_level"]
 
 
@@ -64,6 +65,7 @@ def daily(fact: DataFrame) -> DataFrame:
     return mart(fact.withColumnRenamed("event_date", "transaction_date"), ["transaction_date"]).orderBy("transaction_date")
 
 
+# The columns of the detail table.
 BI_COLUMNS = ["transaction_id", "event_date", "transaction_hour", "transaction_country", "home_country", *MERCHANT, "device_id", "device_type", "rooted_device_flag", "emulator_flag", "customer_segment", "amount", "amount_bucket", "is_cross_border", "is_high_risk_merchant", "is_risky_device", "is_card_not_present", "is_international_transaction", "is_nighttime_transaction", "risk_signal_count", "suspected_fraud_flag"]
 
 

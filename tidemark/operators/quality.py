@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import amount_bucket, as_int, column_or, is_night, null_as_false, safe_rate
 
+# What is valid, and the names of reasons and flags.
 CURRENCIES = ("USD", "EUR", "GBP", "CHF", "CAD", "AUD")
 STATUSES = ("APPROVED", "DECLINED", "PENDING")
 NO_CUSTOMER, NO_MERCHANT = 0, -1
