@@ -37,6 +37,20 @@ def test_prefix_sums(spark):
         assert [r["rank"] for r in sorted((r for r in by if r["g"] == g), key=lambda r: r["x"])] == list(range(sum(r["g"] == g for r in by)))
 
 
+def test_only_the_result_stays(spark):
+    made = []
+
+    def make():
+        made.append(common.materialise(spark.range(9), "way"))
+        return made[0].where("id > 3")
+
+    before = common.materialise(spark.range(2), "before")
+    held = common.only_result(spark, "result", make)
+    assert held.count() == 5 and before.count() == 2
+    files = [f for f in os.listdir(common.shared_dir(spark).removeprefix("file://")) if f.split("-")[0] in ("way", "result")]
+    assert [f.split("-")[0] for f in files] == ["result"]
+
+
 def test_shared_folder(spark):
     held = common.materialise(spark.range(5), "t")
     assert held.count() == 5

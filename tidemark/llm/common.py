@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,14 +36,31 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Deletes what this application has written to the shared folder; results that were not saved are gone."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
+
+
+def only_result(spark: SparkSession, label: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """make()'s rows, written; the tables that were written on the way to them are deleted."""
+    before = len(_written)
+    found = make()
+    way = _written[before:]
+    held = materialise(found, label)
+    for path in way:
+        _delete(spark, path)
+    _written[before:] = []
+    return held
 
 
 def partitions(spark: SparkSession) -> int:

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, materialise, mix, pieces, with_row_id, word_hashes, word_spans
+from .common import bytes_of, materialise, mix, only_result, pieces, with_row_id, word_hashes, word_spans
 from .simhash import components, majority, near_links
 
 BANDS, ROWS = 28, 5
@@ -196,7 +196,8 @@ def deduplicate(docs: DataFrame, words_each: int = 5, least: float = 0.8, id_col
     marked = with_minima(slim, words_each, ["_row", "_id"])
     best = F.min(F.struct(F.col("_id").isNull().alias("late"), "_id", "_row"))
     values = materialise(marked.groupBy("content").agg(F.min("_row").alias("node"), best.alias("best"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "values")
-    links = similar_links(values, slim.select(F.col("_row").alias("node"), "_text"), words_each, least)
-    named = values.select("node", "best").join(components(links), "node", "left")
+    texts = slim.select(F.col("_row").alias("node"), "_text")
+    found = only_result(docs.sparkSession, "components", lambda: components(similar_links(values, texts, words_each, least)))
+    named = values.select("node", "best").join(found, "node", "left")
     stays = named.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("best")["_row"].alias("_row"))
     return rows.join(stays.select("_row"), "_row", "left_semi").select("_doc.*")
