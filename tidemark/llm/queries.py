@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licenses, mixing, quality, sharding, simhash, substrings, token_files, warc
+from . import bpe_trie, collocations, decontaminate, language, licenses, merkle, mixing, quality, sharding, simhash, substrings, token_files, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,26 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir), keep=["doc_id"]).drop("spans")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = bpe_trie.decode(bpe_trie.encode(_documents(spark, sf_dir), path), path)
+    digest = lambda text: F.sha2(text, 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(_documents(spark, sf_dir))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substrings, op2_sharding, op3_mixing, op4_warc, op5_decontaminate, op6_quality, op7_token_files, op8_simhash, op9_language, op10_licenses)}
+    own = (op1_substrings, op2_sharding, op3_mixing, op4_warc, op5_decontaminate, op6_quality, op7_token_files, op8_simhash, op9_language, op10_licenses, op11_bpe, op12_merkle, op13_collocations)
+    return {f.__name__: f for f in own}
 
 
 _OP2_SQL = """
@@ -101,5 +119,47 @@ FROM firsts
 """
 
 
+
+def _op12_sql(levels: int = 14, upper: int = 8) -> str:
+    """Each level of the trees as a table; enough of them for 3 ** levels rows of a source and 3 ** upper sources."""
+    field = lambda v: f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen(CAST({v} AS VARCHAR)) || ':' || {v} END"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+    rounds = _OP2_SQL.split("WITH ")[1].split(",\nsized")[0]
+    up = lambda name, k: f"{name}{k + 1} AS (SELECT tree, idx // 3 AS idx, sha256(string_agg(d, '' ORDER BY idx)) AS d, (n + 2) // 3 AS n FROM {name}{k} WHERE n > 1 GROUP BY tree, idx // 3, n)"
+    run = "OVER (PARTITION BY tree, idx // 3 ORDER BY idx)"
+    beside = lambda name, k: f"{name}s{k} AS (SELECT tree, idx, coalesce(lag(d, 2) {run}, '') || coalesce(lag(d, 1) {run}, '') AS l, coalesce(lead(d, 1) {run}, '') || coalesce(lead(d, 2) {run}, '') AS r FROM {name}{k} WHERE n > 1)"
+    step = lambda name, k, a, b: f"{b} AS (SELECT f.doc_id, f.tree, f.idx // 3 AS idx, f.leaf, CASE WHEN s.l IS NULL THEN f.cur ELSE sha256(s.l || f.cur || s.r) END AS cur, f.proof || coalesce(s.l || s.r, '') AS proof FROM {a} f LEFT JOIN {name}s{k} s ON s.tree = f.tree AND s.idx = f.idx)"
+    parts = [rounds, f"based AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, {leaf('text')} AS leaf, CASE WHEN {crc} % 2 = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS bent FROM documents, rounds)"]
+    parts += ["placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM based)", "u0 AS (SELECT tree, idx, leaf AS d, n FROM placed)"]
+    parts += [up("u", k) for k in range(levels)]
+    parts += ["subroots AS (" + " UNION ALL ".join(f"SELECT tree, d FROM u{k} WHERE n = 1" for k in range(levels + 1)) + ")", "numbered AS (SELECT tree AS own, row_number() OVER (ORDER BY tree) - 1 AS idx, d, count(*) OVER () AS n FROM subroots)", "v0 AS (SELECT '' AS tree, idx, d, n FROM numbered)"]
+    parts += [up("v", k) for k in range(upper)] + ["root AS (" + " UNION ALL ".join(f"SELECT d FROM v{k} WHERE n = 1" for k in range(upper + 1)) + ")"]
+    parts += [beside("u", k) for k in range(levels)] + [beside("v", k) for k in range(upper)] + ["f0 AS (SELECT doc_id, tree, idx, leaf, bent AS cur, '' AS proof FROM placed)"]
+    parts += [step("u", k, f"f{k}", f"f{k + 1}") for k in range(levels)] + [f"g0 AS (SELECT f.doc_id, '' AS tree, m.idx, f.leaf, f.cur, f.proof FROM f{levels} f JOIN numbered m ON m.own = f.tree)", f"owned AS (SELECT f.doc_id, f.leaf AS own_leaf, m.d AS subroot FROM f{levels} f JOIN numbered m ON m.own = f.tree)"]
+    parts += [step("v", k, f"g{k}", f"g{k + 1}") for k in range(upper)]
+    return "WITH " + ",\n".join(parts) + f"\nSELECT g.doc_id, g.leaf, o.subroot, root.d AS root, sha256(g.proof) AS proof_sha256, g.cur AS folded_root, g.cur = root.d AS verified FROM g{upper} g JOIN owned o ON o.doc_id = g.doc_id AND o.own_leaf = g.leaf, root"
+
+
+_OP13_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+parted AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM parted GROUP BY lang),
+phrases AS (SELECT lang, unnest(flatten(list_transform([1, 2, 3, 4, 5], lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS phrase FROM parted),
+f AS (SELECT lang, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM phrases GROUP BY lang, phrase HAVING count(*) >= 100),
+cuts AS (SELECT lang, phrase, f AS a, w, unnest(range(1, len(w))) AS k FROM f WHERE len(w) > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, t.n, CAST(CAST(1000 AS HUGEINT) * c.a * t.n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+worst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS rn FROM scored) WHERE rn = 1),
+inner_ AS (SELECT lang, f, unnest(flatten(list_transform(range(2, len(w)), lambda m: list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))))) AS phrase FROM f WHERE len(w) > 2),
+covered AS (SELECT lang, phrase, max(f) AS most FROM inner_ GROUP BY lang, phrase),
+ranked AS (
+  SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, s.n, s.score
+  FROM worst s LEFT JOIN covered v ON v.lang = s.lang AND v.phrase = s.phrase WHERE v.most IS NULL OR 100 * v.most < 100 * s.a)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": _OP2_SQL, "op3_mixing": _OP3_SQL, "op4_warc": _OP4_SQL}
+    return {"op2_sharding": _OP2_SQL, "op3_mixing": _OP3_SQL, "op4_warc": _OP4_SQL, "op12_merkle": _op12_sql(), "op13_collocations": _OP13_SQL}
