@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
+from array import array
 from functools import lru_cache
 from itertools import islice
 
@@ -30,6 +32,10 @@ NEVER = 1 << 40
 _SETTLED = re.compile("[\x00-ͷЀ-ԯḀ-ỿ‐-‧‰-⁞₠-₿←-⏿─-➿]*")
 
 
+#: Where, moreover, lower case does not depend on what stands beside a letter.
+_LATIN = re.compile("[\x00-\u024f\u2010-\u2027]*")
+
+
 class Merges:
     """The merges of a BPE model, and which tokens may stand beside each other."""
 
@@ -92,43 +98,53 @@ class Trie:
 
     def __init__(self, merges: Merges):
         self.merges, end = merges, merges.suffix
-        self.inner = {t: i for t, i in merges.vocab.items() if not end or not t.endswith(end)}
-        self.last = {t.removesuffix(end): i for t, i in merges.vocab.items() if t.endswith(end)} if end else self.inner
+        # a token whose own text is encoded otherwise never stands in an encoding
+        used = {t: i for t, i in merges.vocab.items() if merges.whole(i)}
+        self.inner = {t: i for t, i in used.items() if not end or not t.endswith(end)}
+        self.last = {t.removesuffix(end): i for t, i in used.items() if t.endswith(end)} if end else self.inner
         self.size = {i: len(t) for table in (self.inner, self.last) for t, i in table.items()}
-        self.lengths = [{}, {}]
-        for lengths, table in zip(self.lengths, (self.inner, self.last)):
-            for t in table:
-                lengths.setdefault(t[-2:], set()).add(len(t))
-            for k, v in lengths.items():
-                lengths[k] = sorted(v, reverse=True)
+        self.longer = [self._lengths(self.inner), self._lengths(self.last)]
+
+    @staticmethod
+    def _lengths(table: dict[str, int]) -> dict[str, list[int]]:
+        """By their last four characters, how long the tokens of four characters or more are, longest first."""
+        found: dict[str, set[int]] = {}
+        for t in table:
+            if len(t) >= 4:
+                found.setdefault(t[-4:], set()).add(len(t))
+        return {k: sorted(v, reverse=True) for k, v in found.items()}
 
     def state(self, word: str, end: int, path: list[int], final: bool) -> int:
         """The last token of the encoding of word[:end]; path has those of the shorter prefixes."""
-        table, merges = (self.last, self.merges) if final else (self.inner, self.merges)
-        lengths = self.lengths[final]
-        for n in lengths.get(word[max(end - 2, 0) : end], ()) if end > 1 else ():
-            if n > end:
-                continue
-            token = table.get(word[end - n : end])
-            if token is not None and merges.whole(token) and (n == end or merges.follows(path[end - n - 1], token)):
-                return token
-        token = table[word[end - 1 : end]]  # a single character
-        if end > 1 and not merges.follows(path[end - 2], token):
-            raise ValueError(f"no last token for {word[:end]!r}")
-        return token
+        table, known, apart = (self.last if final else self.inner), self.merges.known, self.merges.follows
+        lengths = self.longer[final].get(word[end - 4 : end], ()) if end >= 4 else ()
+        for n in (*lengths, 3, 2, 1):
+            if n <= end:
+                token = table.get(word[end - n : end])
+                if token is not None:
+                    if n == end:
+                        return token
+                    left = path[end - n - 1]
+                    fits = known.get(left << 24 | token)
+                    if fits or (fits is None and apart(left, token)):
+                        return token
+        raise ValueError(f"no last token for {word[:end]!r}")
 
     def encode(self, words: list[str]) -> dict[str, list[int]]:
-        out, path, before = {}, [], ""
+        out, path, before, state, size = {}, [], "", self.state, self.size
         for word in sorted(words):
-            shared, most = 0, min(len(path), len(word) - 1)
+            n = len(word)
+            shared, most = 0, min(len(path), n - 1)
             while shared < most and word[shared] == before[shared]:
                 shared += 1
             del path[shared:]
-            for end in range(shared + 1, len(word)):
-                path.append(self.state(word, end, path, False))
-            tokens, end = [self.state(word, len(word), path, True)], len(word)
-            while (end := end - self.size[tokens[-1]]) > 0:
+            for end in range(shared + 1, n):
+                path.append(state(word, end, path, False))
+            tokens = [state(word, n, path, True)]
+            end = n - size[tokens[0]]
+            while end:
                 tokens.append(path[end - 1])
+                end -= size[tokens[-1]]
             out[word] = tokens[::-1]
             before = word
         return out
@@ -171,8 +187,10 @@ class Encoder:
         self.letters = _byte_letters()
         self.added = {t["content"]: t["id"] for t in added}
         self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
-        lower = {"type": "Lowercase"} in (spec.get("normalizer") or {}).get("normalizers", [])
-        self.plain = str.lower if lower else str
+        steps = (spec.get("normalizer") or {}).get("normalizers", [])
+        spaces = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+        self.simple = all(x in ({"type": "NFC"}, {"type": "Lowercase"}, spaces) for x in steps) and (steps or not spec.get("normalizer"))
+        self.plain = str.lower if {"type": "Lowercase"} in steps else str
 
     def parts(self, text: str) -> list[str]:
         """The words of a text, added tokens among them."""
@@ -184,8 +202,10 @@ class Encoder:
         return self._words(text)
 
     def _words(self, text: str) -> list[str]:
-        if text.isascii() and self.ascii:  # composing and white space change nothing here
+        if self.simple and text.isascii() and self.ascii:  # composing and white space change nothing here
             return self.ascii.findall(self.plain(text))
+        if self.simple and _LATIN.fullmatch(text) and unicodedata.is_normalized("NFC", text):
+            return self.words.findall(self.plain(text))
         held = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
         if _SETTLED.fullmatch(held):
             return self.words.findall(held)
@@ -198,9 +218,9 @@ class Encoder:
             if w in self.added:
                 self.known[w] = np.array([self.added[w]], np.int32).tobytes()
             else:
-                written["".join([letters[b] for b in w.encode()])] = w
+                written[w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()])] = w
         for spelt, ids in self.trie.encode(list(written)).items():
-            self.known[written[spelt]] = np.array(ids, np.int32).tobytes()
+            self.known[written[spelt]] = array("i", ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as 32-bit integers."""
