@@ -6,13 +6,15 @@ phrase's bitmap (where its last word stands), shifted by one position and ANDed
 the bitmaps of its extensions, and their popcounts are the shard's counts. Extension goes depth-first, a bounded number of
 bitmaps at a time. The counts of all shards are summed by Spark.
 
-Texts are never shuffled: they are scanned once for words, once for pairs of frequent words and once for the longer
-phrases, all of whose pairs must be frequent. What is frequent is told to the shards by a bit field of fixed size; a
-false bit costs a row that the exact sums then drop.
+Texts are never shuffled: they are scanned for words, for pairs of frequent words, for triples of frequent pairs and for the
+longer phrases, all of whose triples must be frequent. What is frequent is told to the shards by a bit field of fixed size
+for each length; a false bit costs a row that the exact sums then drop.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -22,9 +24,9 @@ from pyspark.sql import functions as F
 from .common import bytes_of, materialise, mix, word_hashes
 
 LONGEST = 5
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 6 << 20
 FILTER_BITS = 26  # 8 MB are broadcast, whatever the corpus
-BATCH, STEP = 1 << 18, 1 << 17  # bytes of bitmaps that are extended depth-first and ANDed at a time
+BATCH, STEP = 1 << 18, 1 << 16  # bytes of bitmaps that are extended depth-first and ANDed at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -81,7 +83,7 @@ class Shard:
         ends = edges[np.searchsorted(edges, starts, "right")] if len(starts) else starts
         self.n = len(starts)
         # texts and cuts before each word tell its piece
-        cut = np.cumsum(_CUTS[low])
+        cut = np.cumsum(_CUTS[low], dtype=np.int32)
         piece = (cut[starts] + np.searchsorted(offsets[1:-1], starts, "right")) if self.n else starts
         new = np.zeros(self.n, bool)
         new[1:] = np.diff(piece) != 0
@@ -282,26 +284,20 @@ def _pairs(lang: str, shard: Shard, words: np.ndarray):
     return first, second, found, columns
 
 
-def frequent_phrases(texts: DataFrame, least: int, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """f of all phrases of up to `longest` words that occur `least` times or more (lang, phrase, f), and n by language."""
-    spark = texts.sparkSession
-    counted = materialise(texts.mapInArrow(_count_words, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("phrase").isNull() | (F.col("f") >= least)), "words")
-    totals, singles = counted.where("phrase is null").select("lang", F.col("f").alias("n")), counted.where("phrase is not null")
-    word_field = spark.sparkContext.broadcast(bit_field(singles))
+def _count_longer(fields: list, upto: int):
+    """Counts of the phrases that are longer than what the fields (of words, pairs, ...) mark, up to so many words."""
+    known = len(fields)
 
-    def count_pairs(batches):
+    def run(batches):
         for lang, shard in shards(batches):
-            first, second, found, _ = _pairs(lang, shard, word_field.value)
-            yield _rows(lang, _spelt(shard, [first, second]), found.counts(len(first)))
+            first, second, found, columns = _pairs(lang, shard, fields[0].value)
+            seed = _seed(lang)
 
-    pairs = _summed(texts, count_pairs, least, "pairs")
-    pair_field = spark.sparkContext.broadcast(bit_field(pairs))
+            def may_be(words, n):
+                """Whether the last n words are marked."""
+                return _marked(fields[n - 1].value, _key([shard.hashes[w] for w in words[-n:]], seed))
 
-    def count_longer(batches):
-        for lang, shard in shards(batches):
-            first, second, found, columns = _pairs(lang, shard, word_field.value)
-            seed, field = _seed(lang), pair_field.value
-            keep = _marked(field, _key([shard.hashes[first], shard.hashes[second]], seed))
+            keep = may_be([first, second], 2)
             stack = [([first[keep], second[keep]], found.of(keep))]
             while stack:
                 words, maps = stack.pop()
@@ -312,16 +308,37 @@ def frequent_phrases(texts: DataFrame, least: int, longest: int = LONGEST) -> tu
                 if not len(words[0]):
                     continue
                 old, word, longer = columns.extend(maps)
-                keep = _marked(field, _key([shard.hashes[words[-1][old]], shard.hashes[word]], seed))
-                old, word, longer = old[keep], word[keep], longer.of(keep)
                 grown = [*(w[old] for w in words), word]
-                if len(old):
-                    yield _rows(lang, _spelt(shard, grown), longer.counts(len(old)))
-                if len(grown) < longest:
+                keep = may_be(grown, min(len(grown), known))
+                grown, longer = [w[keep] for w in grown], longer.of(keep)
+                if len(grown) > known and len(grown[0]):
+                    yield _rows(lang, _spelt(shard, grown), longer.counts(len(grown[0])))
+                if len(grown) < upto:
                     stack.append((grown, longer))
 
-    longer = _summed(texts, count_longer, least, "longer")
-    return singles.unionByName(pairs).unionByName(longer), totals
+    return run
+
+
+def frequent_phrases(texts: DataFrame, least: int, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
+    """f of all phrases of up to `longest` words that occur `least` times or more (lang, phrase, f), and n by language."""
+    spark = texts.sparkSession
+    counted = materialise(texts.mapInArrow(_count_words, _COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("phrase").isNull() | (F.col("f") >= least)), "words")
+    totals, singles = counted.where("phrase is null").select("lang", F.col("f").alias("n")), counted.where("phrase is not null")
+    word_field = spark.sparkContext.broadcast(bit_field(singles))
+
+    def count_pairs(batches):
+        for lang, shard in shards(batches):
+            first, second, found, _ = _pairs(lang, shard, word_field.value)
+            yield _rows(lang, _spelt(shard, [first, second]), found.counts(len(first)))
+
+    pairs = _summed(texts, count_pairs, least, "pairs")
+    found, fields = [singles, pairs], [word_field, spark.sparkContext.broadcast(bit_field(pairs))]
+    for upto in sorted({min(3, longest), longest}):
+        if upto > len(fields):
+            longer = _summed(texts, _count_longer(fields, upto), least, "longer")
+            found.append(longer)
+            fields = [*fields, spark.sparkContext.broadcast(bit_field(longer))] if upto < longest else fields
+    return reduce(DataFrame.unionByName, found), totals
 
 
 # ---------------------------------------------------------------- scores
