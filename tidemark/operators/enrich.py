@@ -17,6 +17,42 @@ def enrich(rows: DataFrame, customers: DataFrame, merchants: DataFrame, devices:
     return rows.drop("merchant_category").join(customers, "customer_id", "left").join(merchants, "merchant_id", "left").join(devices, "device_id", "left")
 
 
+def hot_keys(rows: DataFrame, key: str, share: float = 0.001, error: float = 0.2) -> DataFrame:
+    """Keys with at least `share` of the rows: at most 1 / share of them.
+
+    One pass: a key is a candidate if its hash falls in a heavy bucket of a count sketch of fixed size, and only candidates are counted.
+    """
+    width = int(2 / (share * error))
+    bucket = F.pmod(F.xxhash64(key), F.lit(width))
+    sketch = rows.where(F.col(key).isNotNull()).groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("n"))  # `width` rows at most
+    total = sketch.agg(F.sum("n").alias("total"))
+    heavy = sketch.join(total).where(F.col("n") >= share * F.col("total")).select("_bucket", "total")
+    counted = rows.where(F.col(key).isNotNull()).select(key, bucket.alias("_bucket")).join(F.broadcast(heavy), "_bucket").groupBy(key, "total").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") >= share * F.col("total")).select(key, "n")
+
+
+def skewed_join(rows: DataFrame, dim: DataFrame, key: str, hot: DataFrame, per_task: int = 100_000) -> DataFrame:
+    """rows left join dim where few keys have very many rows and dim may be too large to send.
+
+    A hot key (hot has key and n) is dealt in n / per_task salts: its rows by a hash of theirs, its one dimension row to each salt.
+    Other keys have one salt, and only hot dimension rows are copied. Null keys meet nothing and are spread too.
+    """
+    salted = hot.select(F.col(key), F.greatest(F.ceil(F.col("n") / per_task), F.lit(1)).cast("int").alias("_salts"))
+    spread = lambda df: df.join(F.broadcast(salted), key, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    place = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col("_salts")).cast("int")
+    left = spread(rows).withColumn("_salt", F.when(F.col(key).isNull(), F.lit(0)).otherwise(place)).drop("_salts")
+    right = spread(dim).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
+def enrich_skewed(rows: DataFrame, customers: DataFrame, merchants: DataFrame, devices: DataFrame, share: float = 0.001, per_task: int = 100_000) -> DataFrame:
+    """enrich() for dimensions of any size and keys of any frequency."""
+    out = rows.drop("merchant_category")
+    for dim, key in ((customers, "customer_id"), (merchants, "merchant_id"), (devices, "device_id")):
+        out = skewed_join(out, dim, key, hot_keys(rows, key, share), per_task)
+    return out
+
+
 def with_signals(rows: DataFrame) -> DataFrame:
     c = F.col
     abroad = null_as_false(c("transaction_country") != c("home_country"))

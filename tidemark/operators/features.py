@@ -18,6 +18,12 @@ RATIOS = ["cross_border_txn_ratio_30d", "high_risk_merchant_ratio_30d", "risky_d
 BASIC = ["transaction_id", "customer_id", "transaction_ts", "event_date", "amount", "transaction_hour", "is_nighttime_transaction", "is_cross_border", "is_international_transaction", "card_present_flag", "is_card_not_present", "merchant_risk_level", "rooted_device_flag", "emulator_flag", "risk_signal_count"]
 
 
+#: The counted values of DISTINCT and their frames.
+DISTINCT_OF = dict(zip(DISTINCT, (("transaction_country", WEEK), ("merchant_id", MONTH), ("device_id", MONTH))))
+#: Flags that are summed over 30 days.
+SUMS = {"_cross": "is_cross_border", "_risky_merchant": "is_high_risk_merchant", "_risky_device": "is_risky_device", "_night": "is_nighttime_transaction"}
+
+
 def with_label(rows: DataFrame, labels: DataFrame, key: str = "transaction_id", label: str = "fraud_label") -> DataFrame:
     """Left join to partial labels; a missing one is 0."""
     return rows.join(labels.select(key, label), key, "left").withColumn(label, F.coalesce(label, F.lit(0)))
@@ -41,7 +47,6 @@ def behaviour(rows: DataFrame, by_month: bool = False) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("_s")
     past = lambda seconds: w.rangeBetween(-seconds, -1)
     n = lambda s: F.count("transaction_id").over(past(s))
-    sums = {"_cross": "is_cross_border", "_risky_merchant": "is_high_risk_merchant", "_risky_device": "is_risky_device", "_night": "is_nighttime_transaction"}
     raw = timed.select(
         "*",
         n(HOUR).alias("txn_count_1h"), n(DAY).alias("txn_count_24h"), n(WEEK).alias("txn_count_7d"), n(MONTH).alias("_n_30d"),
@@ -49,10 +54,15 @@ def behaviour(rows: DataFrame, by_month: bool = False) -> DataFrame:
         F.size(F.collect_set("transaction_country").over(past(WEEK))).cast("long").alias("distinct_countries_7d"),
         F.size(F.collect_set("merchant_id").over(past(MONTH))).cast("long").alias("distinct_merchants_30d"),
         F.size(F.collect_set("device_id").over(past(MONTH))).cast("long").alias("distinct_devices_30d"),
-        *[F.sum(as_int(flag)).over(past(MONTH)).alias(name) for name, flag in sums.items()],
+        *[F.sum(as_int(flag)).over(past(MONTH)).alias(name) for name, flag in SUMS.items()],
         F.sum(F.when(F.col("transaction_status") == "DECLINED", 1).otherwise(0)).over(past(WEEK)).alias("_declined"),
     )
     raw = raw.where(F.col("_span") == span).drop("_span") if by_month else raw
+    return _finished(raw).drop("_s")
+
+
+def _finished(raw: DataFrame) -> DataFrame:
+    """Rounded averages and ratios from the raw counts and sums of the frames, which go."""
     ratio = lambda a, b: exact_round(safe_ratio(F.col(a).cast("double"), F.col(b).cast("double")), 4)
     done = raw.withColumns(
         {
@@ -67,7 +77,44 @@ def behaviour(rows: DataFrame, by_month: bool = False) -> DataFrame:
             "declined_txn_ratio_7d": ratio("_declined", "txn_count_7d"),
         }
     )
-    return done.drop("_s", "_n_30d", "_avg_7d", "_avg_30d", "_max_30d", *sums, "_declined")
+    return done.drop("_n_30d", "_avg_7d", "_avg_30d", "_max_30d", *SUMS, "_declined")
+
+
+def distinct_counts(rows: DataFrame, counts: dict[str, tuple[str, int]], key: str = "customer_id", time: str = "transaction_ts", span: int = MONTH) -> DataFrame:
+    """rows with a known time and, for each name in counts, how many distinct values of a column the key had in the N seconds before.
+
+    The same as the size of a set over the frame [t - N, t - 1], by a sweep: a value is in sight from a second after it
+    occurs until N seconds after it last occurred, so what counts are the ends of such islands, +1 and -1, and a running sum
+    over them. That is n log n whatever the frames hold, and no set is kept. A key's time is cut in spans: neighbours across spans
+    and the sum so far come from a row per span, so that a hot key is worked on in as many tasks as it has spans. Null values
+    are not counted; rows of a null key are one key's; rows without a time are left out.
+    """
+    timed = rows.where(F.col(time).isNotNull()).withColumn("_s", epoch_seconds(F.col(time)))
+    at_span = lambda s: F.floor(s / span)
+    kinds = list(counts)
+    value = lambda k: F.struct(F.lit(k).alias("kind"), F.col(counts[k][0]).cast("string").alias("value"), F.lit(counts[k][1]).cast("long").alias("frame"))
+    long = timed.select(F.struct(key).alias("_k"), "_s", at_span(F.col("_s")).alias("_span"), F.explode(F.array(*map(value, kinds))).alias("_v")).select("_k", "_s", "_span", "_v.*").where("value is not null").distinct()
+    place = ["_k", "kind", "value"]
+    over_spans = Window.partitionBy(*place).orderBy("_span")
+    ends = long.groupBy(*place, "_span").agg(F.min("_s").alias("lo"), F.max("_s").alias("hi"))
+    ends = ends.select(*place, "_span", F.lag("hi").over(over_spans).alias("earlier"), F.lead("lo").over(over_spans).alias("later"))
+    inside = Window.partitionBy(*place, "_span").orderBy("_s")
+    near = long.join(ends, [*place, "_span"]).select("_k", "kind", "_s", "frame", F.coalesce(F.lag("_s").over(inside), "earlier").alias("before"), F.coalesce(F.lead("_s").over(inside), "later").alias("after"))
+    opens = F.when(F.col("before").isNull() | (F.col("_s") - F.col("before") > F.col("frame")), F.struct((F.col("_s") + 1).alias("at"), F.lit(1).alias("step")))
+    closes = F.when(F.col("after").isNull() | (F.col("after") - F.col("_s") > F.col("frame")), F.struct((F.col("_s") + F.col("frame") + 1).alias("at"), F.lit(-1).alias("step")))
+    steps = near.select("_k", "kind", F.explode(F.array_compact(F.array(opens, closes))).alias("e")).select("_k", F.col("e.at").alias("_s"), *[F.when(F.col("kind") == k, F.col("e.step")).otherwise(0).alias(k) for k in kinds])
+    steps = steps.groupBy("_k", "_s").agg(*[F.sum(k).alias(k) for k in kinds])  # one row per key and second
+    row = F.struct(*[F.col(f"`{c}`") for c in timed.columns if c not in ("_s",)])
+    marks = timed.select(F.struct(key).alias("_k"), "_s", *[F.lit(0).cast("long").alias(k) for k in kinds], row.alias("_row"))
+    both = marks.unionByName(steps.withColumn("_row", F.lit(None)), allowMissingColumns=True).withColumn("_span", at_span(F.col("_s")))
+    totals = steps.groupBy("_k", at_span(F.col("_s")).alias("_span")).agg(*[F.sum(k).alias(f"_t_{k}") for k in kinds])
+    spans = totals.select("_k", "_span", *[f"_t_{k}" for k in kinds]).unionByName(marks.select("_k", at_span(F.col("_s")).alias("_span")).distinct().select("_k", "_span", *[F.lit(0).cast("long").alias(f"_t_{k}") for k in kinds]))
+    spans = spans.groupBy("_k", "_span").agg(*[F.sum(f"_t_{k}").alias(f"_t_{k}") for k in kinds])
+    so_far = Window.partitionBy("_k").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select("_k", "_span", *[F.coalesce(F.sum(f"_t_{k}").over(so_far), F.lit(0)).alias(f"_c_{k}") for k in kinds])
+    running = Window.partitionBy("_k", "_span").orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
+    summed = both.select("_k", "_span", "_row", *[F.sum(k).over(running).alias(k) for k in kinds]).where("_row is not null")
+    return summed.join(carried, ["_k", "_span"]).select("_row.*", *[(F.col(k) + F.col(f"_c_{k}")).alias(k) for k in kinds])
 
 
 def feature_table(rows: DataFrame, labels: DataFrame) -> DataFrame:

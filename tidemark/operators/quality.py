@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import amount_bucket, as_int, column_or, is_night, null_as_false, safe_rate
@@ -60,6 +60,11 @@ def with_dedup(rows: DataFrame, key: str = "transaction_id", order: list[Column]
     return rows.select("*", F.row_number().over(same.orderBy(*order)).alias("dedup_rn"), (F.count(key).over(same) > 1).alias("is_duplicate_candidate"))
 
 
+def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """The first row in this order of each key."""
+    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_rn = 1").drop("_rn")
+
+
 def with_reason(rows: DataFrame) -> DataFrame:
     """Adds quarantine_reason, null for rows without one."""
     out = F.when(F.col("dedup_rn") > 1, REASONS[0])
@@ -72,9 +77,13 @@ def judged(bronze: DataFrame, customers: DataFrame, merchants: DataFrame, device
     return with_reason(with_dedup(with_flags(standardize(bronze), customers, merchants, devices, as_of)))
 
 
+def is_clean() -> Column:
+    return F.col("quarantine_reason").isNull() & (F.col("dedup_rn") == 1)
+
+
 def clean(rows: DataFrame) -> DataFrame:
     """Rows without a reason, with hour, night flag and amount bucket."""
-    kept = rows.where(F.col("quarantine_reason").isNull() & (F.col("dedup_rn") == 1)).drop("dedup_rn", "quarantine_reason")
+    kept = rows.where(is_clean()).drop("dedup_rn", "quarantine_reason")
     hour = F.hour("transaction_ts")
     return kept.withColumns({"transaction_hour": hour, "is_nighttime_transaction": is_night(hour), "amount_bucket": amount_bucket(F.col("amount"))})
 
@@ -99,6 +108,19 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(*_totals())
 
 
+def observed(rows: DataFrame, counts: Observation) -> DataFrame:
+    """rows, whose totals and flag counts are taken by whatever action reads them."""
+    return rows.observe(counts, *_totals())
+
+
+def summary_of(spark: SparkSession, parts: list[dict], read: int) -> DataFrame:
+    """The summary's row from the counts taken while its parts were written; they must add up to the rows that were read."""
+    total = {k: sum(p[k] for p in parts) for k in parts[0]}
+    if total["total_bronze_records"] != read or total["clean_records"] + total["quarantined_records"] != read:
+        raise ValueError(f"{read} rows were read, but {total['clean_records']} clean and {total['quarantined_records']} quarantined ones written")
+    return spark.createDataFrame([tuple(total.values())], ", ".join(f"{k} long" for k in total))
+
+
 def reason_counts(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("quarantine_reason").isNotNull()).groupBy("quarantine_reason").agg(F.count("*").alias("records"))
 

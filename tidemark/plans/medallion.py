@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich, features, marts, quality
@@ -10,23 +10,27 @@ from ..sources.tables import overwrite
 
 
 def silver(spark: SparkSession, bronze: DataFrame, dims: dict[str, DataFrame], out: str, as_of: Column) -> None:
-    """Clean, quarantine, enriched and summary tables. The judged rows are written once, all four read them."""
+    """Clean, quarantine, enriched and summary tables. The judged rows are written once; the summary is counted while the clean
+    and quarantined ones are written, without a scan of its own, and must add up to what was judged."""
     known = [dims[d] for d in ("customer", "merchant", "device")]
-    quality.judged(bronze, *known, as_of).write.mode("overwrite").parquet(f"{out}/judged")
+    read, kept, bad = Observation("judged"), Observation("clean"), Observation("quarantine")
+    quality.judged(bronze, *known, as_of).observe(read, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/judged")
     judged = spark.read.parquet(f"{out}/judged")
-    overwrite(quality.clean(judged), f"{out}/clean", ["event_date"])
-    overwrite(quality.quarantine(judged, as_of), f"{out}/quarantine")
-    overwrite(quality.summary(judged), f"{out}/summary")
+    overwrite(quality.clean(quality.observed(judged.where(quality.is_clean()), kept)), f"{out}/clean", ["event_date"])
+    overwrite(quality.quarantine(quality.observed(judged.where(~quality.is_clean()), bad), as_of), f"{out}/quarantine")
+    overwrite(quality.summary_of(spark, [kept.get, bad.get], read.get["n"]), f"{out}/summary")
     overwrite(quality.dashboard_of(spark.read.parquet(f"{out}/summary"), spark.read.parquet(f"{out}/quarantine")), f"{out}/dashboard")
     clean = spark.read.parquet(f"{out}/clean")
     overwrite(enrich.with_signals(enrich.enrich(clean, *known)), f"{out}/enriched", ["event_date"])
 
 
 def gold(spark: SparkSession, out: str) -> None:
+    """All marts from one scan of the enriched table: its sums by the keys of all are written once, each mart is cut from those."""
     fact = enrich.with_suspected(spark.read.parquet(f"{out}/enriched"))
-    tables = {"by_country": marts.by_country, "by_category": marts.by_category, "top_merchants": marts.top_merchants, "by_hour": marts.by_hour, "corridor": marts.corridor, "device_profile": marts.device_profile, "daily": marts.daily}
-    for name, make in tables.items():
-        overwrite(make(fact), f"{out}/gold/{name}")
+    overwrite(marts.partials(fact), f"{out}/gold/partials", ["mart"])
+    parts = spark.read.parquet(f"{out}/gold/partials")
+    for name in marts.KEYS:
+        overwrite(marts.mart_of(parts, name), f"{out}/gold/{name}")
 
 
 def feature_layer(spark: SparkSession, out: str, labels: DataFrame | None = None) -> None:

@@ -724,8 +724,11 @@ def live_velocity(spark, d):
 
 
 def queries() -> dict[str, Query]:
+    from . import queries_scale  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_oracle)

@@ -22,14 +22,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share: spark.checkpoint.dir or, on one machine only, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Schemas of tables by application and path, so that a table that is read again needs no job to find them.
+_schemas: dict[tuple[str, str], StructType] = {}
+
+
 def load(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base}/{name}.parquet")
+    """A table of a folder. Its schema is found once an application; call forget_schemas() after one has changed in place."""
+    path = f"{base}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _schemas:
+        found = spark.read.parquet(path)
+        _schemas[key] = found.schema
+        return found
+    return spark.read.schema(_schemas[key]).parquet(path)
+
+
+def forget_schemas() -> None:
+    _schemas.clear()
 
 
 def load_or_empty(spark: SparkSession, table: str, ddl: str) -> DataFrame:
@@ -55,10 +70,10 @@ def literal_rows(spark: SparkSession, rows: list[dict], schema: StructType | str
 
 
 def overwrite(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
-    """Replaces table and schema; partitions become folders that filters can skip. One task per partition value and
-    4 salts writes, so a large value is not one task's."""
+    """Replaces table and schema; partitions become folders that filters can skip. Rows are gathered by partition value before
+    they are written; a small value is one task's, a large one is split by its size, and small ones share tasks."""
     if partition_by:
-        df = df.repartition(*[F.col(c) for c in partition_by], F.pmod(F.xxhash64(*df.columns), F.lit(4)))
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+
+from ..functions.expressions import as_int, epoch_seconds
+from ..operators import features
+from ..operators.features import DAY, HOUR, MONTH, WEEK
 
 
 def windowed_velocity(stream: DataFrame, window: str = "1 hour", slide: str | None = None, late: str = "2 days") -> DataFrame:
@@ -17,3 +22,62 @@ def windowed_velocity(stream: DataFrame, window: str = "1 hour", slide: str | No
 def first_arrivals(stream: DataFrame, key: str = "transaction_id", late: str = "2 days") -> DataFrame:
     """The first row of each key within the watermark (the batch operator keeps the latest)."""
     return stream.withWatermark("ingestion_ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def past_features(stream: DataFrame, late: str = "1 day") -> DataFrame:
+    """Velocity, spend and ratios of features.behaviour on a stream, exact: transaction_id, customer_id, transaction_ts, amount, features.
+
+    Each transaction is joined to its customer's of the 30 days before (and itself, so that an inner join keeps it), and what
+    it met is summed up. Both sides have a watermark: a row's state goes 30 days and `late` after it, and a
+    transaction's features come once the watermark has passed it. Rows that come more than `late` behind are left out of both
+    sides and counted by late_rows(). Rows without a time or a customer are left out. Transaction ids are unique.
+    """
+    at = F.date_trunc("second", F.col("transaction_ts").cast("timestamp"))
+    known = stream.where(F.col("transaction_ts").isNotNull() & F.col("customer_id").isNotNull())
+    now = known.select(at.alias("at"), "transaction_id", "customer_id", "transaction_ts", "amount").withWatermark("at", late)
+    flags = [*features.SUMS.values(), "transaction_status"]
+    past = known.select(at.alias("then"), F.col("customer_id").alias("who"), F.col("amount").alias("spent"), *[F.col(f).alias(f"was_{f}") for f in flags]).withWatermark("then", late)
+    met = now.join(past, F.expr("customer_id = who and then <= at and then >= at - interval 30 days"))
+    age = epoch_seconds(F.col("at")) - epoch_seconds(F.col("then"))
+    within = lambda n, x: F.when(age.between(1, n), x)
+    declined = F.when(F.col("was_transaction_status") == "DECLINED", 1).otherwise(0)
+    raw = met.groupBy("at", "transaction_id", "customer_id", "transaction_ts", "amount").agg(
+        *[F.count(within(n, F.lit(1))).alias(name) for name, n in zip(features.COUNTS, (HOUR, DAY, WEEK))], F.count(within(MONTH, F.lit(1))).alias("_n_30d"),
+        F.avg(within(WEEK, F.col("spent"))).alias("_avg_7d"), F.avg(within(MONTH, F.col("spent"))).alias("_avg_30d"), F.max(within(MONTH, F.col("spent"))).alias("_max_30d"),
+        *[F.sum(within(MONTH, as_int(f"was_{flag}"))).alias(name) for name, flag in features.SUMS.items()], F.sum(within(WEEK, declined)).alias("_declined"),
+    )
+    return features._finished(raw).drop("at")
+
+
+def upsert_latest(spark: SparkSession, table: str, key: list[str], newest_first: list, publish) -> callable:
+    """For foreachBatch: keeps the newest row of each key in versions of a table under `table`, idempotent by batch id.
+
+    Batch n is merged with version n - 1 to version n and published (publish(path)) after it is written; a batch that
+    is replayed writes the same version again, from the same predecessor. The newest is W1's: first of `newest_first`.
+    """
+    from ..operators.quality import latest
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        now = latest(batch, key, newest_first)
+        if batch_id > 0:
+            old = spark.read.parquet(f"{table}/version={batch_id - 1}").select(*batch.columns)
+            now = latest(old.unionByName(now), key, newest_first)
+        path = f"{table}/version={batch_id}"
+        now.write.mode("overwrite").parquet(path)
+        publish(path)
+
+    return merge
+
+
+def deliver(writer: DataStreamWriter, checkpoint: str, seconds: int = 600) -> StreamingQuery:
+    """Runs a stream over what is there, from where its checkpoint ended."""
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream did not end within {seconds} s")
+    return query
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that a run's stateful operators have left out as later than the watermark; a self-join sees each on both sides."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
