@@ -17,6 +17,12 @@ def hashed_key(key: Column, salt: str, n: int) -> Column:
     return F.pmod(F.hash(key, F.lit(salt)), F.lit(n)) + F.lit(1)
 
 
+def keyed_uniform(key: Column, seed: int) -> Column:
+    """A number between 0 and 1 by a hash of key and seed, wherever the row lies."""
+    n = 1_000_003
+    return (F.pmod(F.hash(key, F.lit(f"u{seed}")), F.lit(n)) + 0.5) / n
+
+
 def exact_round(x: Column, places: int) -> Column:
     """Rounds half up through decimals, so that the last bit of a double doesn't decide a tie."""
     return F.round(x.cast("decimal(28,10)"), places).cast("double")

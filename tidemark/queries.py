@@ -724,7 +724,7 @@ def live_velocity(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import queries_scale  # noqa: F401  registers its own
+    from . import queries_generated, queries_scale  # noqa: F401  they register their own
 
     return dict(_queries)
 
