@@ -81,16 +81,19 @@ def train(marked: list[bytes], languages: list[str], landmarks: int = 160, ridge
     return Model(names, marks.T @ a.astype(np.float32))
 
 
-def sample(docs: DataFrame, usable: Column, each: int = 300, most: int = 4800, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[bytes, str]]:
+def sample(docs: DataFrame, usable: Column, each: int = 300, most: int = 4800, languages: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[bytes, str]]:
     """(packed presence bits, language) of at most `each` texts per language, by a hash of id and text.
 
+    Learnt are the `languages` with most texts (of equal ones the first by name), so that a dirty column of very many values
+    doesn't grow the sample or the model: the others are never predicted.
+
     Rows alike in id, text and language are one. The bits of whole texts are found by the tasks, so the driver holds 3.5 kB
     a text, whatever its length. Where there are over `most` / `each` languages, each has so many fewer that
     all have `most`, but two at least. Of a language, some four times as many as are needed meet in one place.
     """
     asked = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(id_col, text_col).alias("_turn"), F.col(text_col).cast("binary").alias("_text"))
     distinct = asked.select("_lang", "_turn").distinct()
-    counts = distinct.groupBy("_lang").agg(F.count("*").alias("_all"))
+    counts = materialise(distinct.groupBy("_lang").agg(F.count("*").alias("_all")).orderBy(F.desc("_all"), "_lang").limit(languages), "languages")
     each = max(2, min(each, most // max(counts.count(), 1)))
     share = F.pmod("_turn", F.lit(1 << 30)) / (1 << 30)
     first = distinct.join(counts, "_lang").where(share * F.col("_all") < 4 * each + 16)
