@@ -4,6 +4,7 @@ import time
 import zlib
 
 import numpy as np
+import pytest
 from conftest import TINY
 from tidemark.llm import language, licenses
 
@@ -82,6 +83,19 @@ def test_sample_is_bounded_by_rows(spark):
     assert language.sample(tongues, F.lit(True)) == language.sample(tongues.repartition(3), F.lit(True))
 
 
+def test_dirty_languages_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    good = [(i, ["the house and the dog", "das haus und der hund"][i % 2] + f" {i}", ["en", "de"][i % 2]) for i in range(60)]
+    dirty = spark.range(10_000).select((F.col("id") + 1000).alias("doc_id"), F.concat(F.lit("kala mita "), "id").alias("text"), F.concat(F.lit("l"), "id").alias("lang"))
+    docs = spark.createDataFrame(good, "doc_id long, text string, lang string").union(dirty)
+    pairs = language.sample(docs, F.lit(True))
+    names = [x for _, x in pairs]
+    assert len(set(names)) == 64 and names.count("en") == names.count("de") == 30 and len(pairs) <= 60 + 62 * 2
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs).collect()}
+    assert all(got[i] == n for i, _, n in good)
+
+
 def test_language_clashes_and_long_texts(spark):
     rows = [(i, ["the house and the dog ", "das haus und der hund "][i % 2] * (30_000 if i < 4 else 3), ["en", "de"][i % 2]) for i in range(40)]
     docs = spark.createDataFrame([(*r, "en", 1, "und") for r in rows + rows[:9]], "doc_id long, text string, lang string, _lang string, _id int, `a.b` string")
@@ -166,6 +180,44 @@ def test_labels_against_plain_chains(spark):
     assert {i: got[i] for i in wanted} == wanted and got[1000] == {"d"}
 
 
+CC = "This work is licensed under a Creative Commons Attribution{} {} License."
+
+
+@pytest.mark.parametrize(
+    "text,label",
+    [
+        ("This work is licensed under a Creative Commons Public Domain Mark.", ""),
+        ("This work is licensed under a Creative Commons license of our own making, see below", ""),
+        (CC.format("-NonCommercial-NoDerivatives", "4.0 International"), "cc-by-nc-nd"),
+        (CC.format("-NonCommercial", "4.0 International"), "cc-by-nc"),
+        (CC.format("-NonCommercial", "3.0 Unported"), "cc-by-nc-3"),
+        (CC.format("", "3.0 Unported"), "cc-by-3"),
+        (CC.format("", "4.0 International"), "cc-by"),
+        (CC.format("", "2.0 Generic"), ""),
+        (CC.format("-ShareAlike", "4.0 International") + " " + "z " * 40 + CC.format("", "3.0 Unported"), "cc-by-3,cc-by-sa"),
+        (licenses.TEMPLATES["gpl-3"].replace("version 3", "version 2"), "gpl-2"),
+        (licenses.TEMPLATES["gpl-2"].replace("version 2 of", "version 3 of"), "gpl-3"),
+        (licenses.TEMPLATES["gpl-3"].replace("version 3 of", "version 1 of"), ""),
+        (licenses.TEMPLATES["bsd-3"][:-60], "bsd-3"),
+        (licenses.TEMPLATES["bsd-2"] + " Neither the moon nor the sun is promised.", "bsd-2"),
+        (licenses.BODIES["mit"][0], "mit"),
+        (licenses.BODIES["apache-2"][0], "apache-2"),
+        (licenses.BODIES["gpl-3"][0], "gpl-3"),
+        (licenses.BODIES["bsl-1"][0], "bsl-1"),
+        (licenses.TEMPLATES["mit"] + "\n\n" + licenses.BODIES["mit"][0], "mit"),
+        (licenses.TEMPLATES["bsl-1"] + " " + licenses.BODIES["bsl-1"][0], "bsl-1"),
+    ],
+)
+def test_near_misses(text, label):
+    scanner = licenses.Scanner(licenses.all_templates(), {})
+    data = np.frombuffer(text.encode(), np.uint8)
+    low = licenses._LOWER[data]
+    starts, ends, _ = licenses.word_spans(low, np.array([0, len(low)]), licenses._GAP)
+    ids = scanner.numbered(licenses.word_hashes(low, starts, ends))
+    found = scanner.spans(scanner.matches(ids, 0))
+    assert ",".join(sorted({s[0] for s in found})) == label
+
+
 def test_like_templates_and_many_notices(spark):
     own = {k: v for k, v in licenses.TEMPLATES.items()}
     rows = list(own.items()) + [("many", (own["isc"] + " end. ") * 20_000)]

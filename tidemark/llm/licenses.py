@@ -20,11 +20,6 @@ TEMPLATES = {
     "gpl-3": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "cc-by-nc": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    "cc-by-nd": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
-    "cc-by-nc-sa": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
     "bsd-2": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "gpl-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
@@ -34,6 +29,35 @@ TEMPLATES = {
     "epl-2": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     "cc0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
+#: Parts of whole licence texts that stand without the notice.
+BODIES = {
+    "mit": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "apache-2": [
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document. \"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License. \"Legal Entity\" shall mean the union of the acting entity and all other entities that control, are controlled by, or are under common control with that entity.",
+        "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    ],
+    "gpl-3": [
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users.",
+    ],
+    "gpl-2": [
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users. This General Public License applies to most of the Free Software Foundation's software and to any other program whose authors commit to using it.",
+    ],
+    "bsl-1": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+}
+#: The Creative Commons notices: what they add to attribution, and how their versions are worded.
+CC_TERMS = ["", "-ShareAlike", "-NonCommercial", "-NoDerivatives", "-NonCommercial-ShareAlike", "-NonCommercial-NoDerivatives"]
+CC_SHORT = ["cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"]
+CC_VERSIONS = {"": "4.0 International", "-3": "3.0 Unported"}
+
+
+def all_templates() -> dict[str, list[str]]:
+    """The texts of each label: notices and parts of bodies."""
+    out = {label: [text, *BODIES.get(label, ())] for label, text in TEMPLATES.items()}
+    for short, terms in zip(CC_SHORT, CC_TERMS):
+        for end, version in CC_VERSIONS.items():
+            out[short + end] = [f"This work is licensed under a Creative Commons Attribution{terms} {version} License."]
+    return out
+
 
 #: Bytes that part tokens: all ASCII but digits and letters.
 _GAP = np.ones(256, bool)
@@ -107,10 +131,23 @@ class SuffixAutomaton:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], phrases: dict[str, str], least_match: int = 4, most_gap: int = 12, coverage: float = 0.6):
+    """Finds templates, given as one text or several for each label.
+
+    A stretch that covers enough of a template is not yet that template, as others may share most of it. So for each other label's
+    template that has a fifth of its token pairs, those pairs that the other lacks must be covered as well.
+    """
+
+    def __init__(self, templates: dict[str, str | list[str]], phrases: dict[str, str], least_match: int = 4, most_gap: int = 12, coverage: float = 0.6, near: float = 0.2):
         self.least_match, self.most_gap, self.coverage = least_match, most_gap, coverage
-        self.labels, cut = list(templates), [tokens(t) for t in templates.values()]
+        listed = [(label, t) for label, texts in templates.items() for t in ([texts] if isinstance(texts, str) else texts)]
+        self.labels, cut = [label for label, _ in listed], [tokens(t) for _, t in listed]
         self.lengths = [len(c) for c in cut]
+        pairs = [list(zip(c, c[1:])) for c in cut]
+        self.telling: list[list[set[int]]] = []
+        for label, mine in zip(self.labels, pairs):
+            others = [set(p) for other, p in zip(self.labels, pairs) if other != label]
+            apart = [{i for i, pair in enumerate(mine) if pair not in o} for o in others if len(set(mine) & o) >= near * len(set(mine))]
+            self.telling.append([set(d) for d in {frozenset(a) for a in apart if a}])
         asked = [(tokens(p), label) for p, label in phrases.items()]
         words = sorted({w for c in [*cut, *(p for p, _ in asked)] for w in c})
         data = np.frombuffer(b"".join(words), np.uint8)
@@ -122,7 +159,10 @@ class Scanner:
         self.maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
         number = {w: i + 1 for i, w in enumerate(words)}
         self.phrases = [([number[w] for w in p], label) for p, label in asked]
-        self.automaton = SuffixAutomaton([[number[w] for w in c] for c in cut])
+        numbered = [[number[w] for w in c] for c in cut]
+        self.automaton = SuffixAutomaton(numbered)
+        self.sequences = [[*c, -1] for c in numbered]
+        self.aligned: dict[int, list] = {}
 
     def numbered(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of the words of templates and phrases, 0 for any other."""
@@ -140,14 +180,29 @@ class Scanner:
             at = at[ids[at + k] == token]
         return at[np.searchsorted(first, at, "right") == np.searchsorted(first, at + len(phrase) - 1, "right")]
 
+    def _aligned(self, state: int) -> list[tuple[int, int, int | None]]:
+        """template, its token, length of the match that ends there, for a state and the shorter matches that it has in it; None for the whole."""
+        held = self.aligned.get(state)
+        if held is None:
+            own, seen, held = state, set(), []
+            while state > 0 and (state == own or self.automaton.length[state] >= self.least_match):
+                fresh = [(t, end) for t, ends in self.automaton.ends[state].items() for end in ends if (t, end) not in seen]
+                seen.update(fresh)
+                held += [(t, end, None if state == own else self.automaton.length[state]) for t, end in fresh]
+                state = self.automaton.link[state]
+            self.aligned[own] = held
+        return held
+
     def matches(self, ids: np.ndarray, start: int) -> list[tuple[int, int, int, int]]:
-        """template, its first token, the text's first token, length: matches of least_match that can't go on."""
-        found, before = [], (0, 0)
-        for i, now in enumerate([*self.automaton.statistics(ids.tolist()), (0, 0)]):
-            state, length = before
-            if length >= self.least_match and now[1] <= length:
-                found += [(t, end - length + 1, start + i - length, length) for t, ends in self.automaton.ends[state].items() for end in ends]
-            before = now
+        """template, its first token, the text's first token, length: matches of least_match that can't go on in their template."""
+        found, listed = [], ids.tolist()
+        for i, (state, length) in enumerate(self.automaton.statistics(listed)):
+            if length >= self.least_match:
+                following = listed[i + 1] if i + 1 < len(listed) else 0
+                for t, end, n in self._aligned(state):
+                    if self.sequences[t][end + 1] != following:
+                        n = length if n is None else n
+                        found.append((t, end - n + 1, start + i - n + 1, n))
         return found
 
     def spans(self, found: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
@@ -184,12 +239,19 @@ class Scanner:
                 chain = [i]
                 while not used[chain[-1]] and before[chain[-1]] >= 0:
                     chain.append(before[chain[-1]])
-                if not any(used[j] for j in chain):
+                if not any(used[j] for j in chain) and self._told(t, [matches[j] for j in chain]):
                     best.append((covered[i], min(1.0, covered[i] / self.lengths[t]), self.labels[t], matches[chain[-1]][0], matches[i][0] + matches[i][2] - 1))
                 for j in chain:
                     used[j] = True
         return self._apart(best)
 
+    def _told(self, t: int, chain: list[tuple[int, int, int]]) -> bool:
+        """Whether the chain's matches cover enough of what sets the template apart from each that is like it."""
+        if not self.telling[t]:
+            return True
+        covered = {p for _, place, length in chain for p in range(place, place + length - 1)}
+        return all(len(d & covered) >= self.coverage * len(d) for d in self.telling[t])
+
     def _apart(self, best: list[tuple[int, float, str, int, int]]) -> list[tuple[str, int, int, float]]:
         """The stretches that no better one overlaps by half or more of the shorter."""
         best.sort(key=lambda b: (b[3], b[4]))
@@ -205,11 +267,11 @@ class Scanner:
         return [(label, first, last, share) for (_, share, label, first, last), gone in zip(best, lost) if not gone]
 
 
-def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, text_col: str = "text", **how) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], templates: dict[str, str | list[str]] | None = None, phrases: dict[str, str] = PHRASES, text_col: str = "text", **how) -> DataFrame:
     """`keep`, n_words, n_base, first_word, last_word, base_labels, labels, score and spans of each row.
 
     Base places are where a phrase's words stand one after the other; labels has base_labels and the labels
-    of spans, stretches whose chained matches cover enough of a template. score is 1 where there is a
+    of spans, stretches whose chained matches cover enough of a template and of what tells it from others. score is 1 where there is a
     base place, else the best coverage (0 without a span). Null text counts as empty; every row is judged by
     itself, so repeated rows get equal results; an empty table gives no rows; columns not in `keep` are ignored
     whatever their names. A text is scanned whole, in time and memory in proportion to its length.
@@ -224,7 +286,7 @@ def scan(docs: DataFrame, keep: list[str], templates: dict[str, str] = TEMPLATES
     joined = lambda labels: ",".join(sorted(labels))
 
     def run(batches):
-        scanner = Scanner(templates, phrases, **how)
+        scanner = Scanner(templates or all_templates(), phrases, **how)
         for batch in batches:
             lengths = np.diff(bytes_of(batch.column(0))[1])
             for a, b in pieces(lengths, 8 << 20):
