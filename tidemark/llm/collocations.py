@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import bytes_of, materialise, mix, word_hashes
 
 LONGEST = 5
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 FILTER_BITS = 26  # 8 MB are broadcast, whatever the corpus
 BATCH, STEP = 1 << 18, 1 << 16  # bytes of bitmaps that are extended depth-first and ANDed at a time
 
