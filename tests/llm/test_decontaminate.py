@@ -92,3 +92,31 @@ def test_very_long_and_uniform_texts():
     found = index.search(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
     assert {(t, k) for t, k, _ in found} == {(0, 0), (1, 50), (2, 1), (2, 2)}
     assert time.time() - began < 30
+
+
+def test_items_that_share_wording_cost_no_rows_to_drop_a_text():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    asked = "Answer the following multiple choice question by giving the letter of the one option that is right and nothing besides. "
+    items = [(i, asked + " ".join(word() for _ in range(12))) for i in range(2000)]
+    texts = [" ".join(word() for _ in range(40)) + (" " + asked if i % 2 else " ") + " ".join(word() for _ in range(40)) for i in range(80)]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    index = dc.Index(items)
+    began = time.time()
+    found = index.search(data, offsets, first=True)
+    assert time.time() - began < 10
+    assert sorted(t for t, _, _ in found) == list(range(1, 80, 2))
+
+
+def test_first_leak_is_there_if_any_is(spark):
+    items, rows = material()
+    index = dc.Index(items)
+    raw = [(t or "").encode() for _, t in rows]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    all_, one = index.search(data, offsets), index.search(data, offsets, first=True)
+    assert len(one) == len({t for t, _, _ in all_}) and {t for t, _, _ in one} == {t for t, _, _ in all_}
+    assert {(t, k) for t, k, _ in one} <= {(t, k) for t, k, _ in all_}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("text", "the.text").withColumnRenamed("doc_id", "d.id")
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumnRenamed("item_id", "i.d").withColumnRenamed("text", "t.t")
+    assert dc.find_leaks(docs, bench, "d.id", "the.text", "i.d", "t.t").count() > 30

@@ -121,14 +121,17 @@ class Index:
         needed = ~alike[:-1] | ~alike[1:] | (at % BAND == 0)
         return at[needed], which[needed]
 
-    def windows(self, at: np.ndarray, which: np.ndarray, most: int = 1 << 21):
+    def windows(self, at: np.ndarray, which: np.ndarray, most: int = 1 << 21, wanted=None):
         """Piece, band and first and last place in the piece where a window with enough q-grams in the band can start,
-        in parts of about `most` hits: the rows of a stretch of text are whole in one part."""
+        in parts of about `most` hits: the rows of a stretch of text are whole in one part. Of the hits, those that are
+        wanted when their part's turn comes."""
         n = self.first[which + 1] - self.first[which]
         total, lo, reach = np.concatenate([[0], np.cumsum(n)]), 0, self.span + 4 * BAND
         while lo < len(at):
             hi = max(int(np.searchsorted(total, total[lo] + most)), int(np.searchsorted(at, at[lo] + 2 * reach)))
-            yield self._dense(at[lo:hi], self.first[which[lo:hi]], n[lo:hi])
+            some = slice(lo, hi) if wanted is None else lo + np.flatnonzero(wanted(at[lo:hi]))
+            if wanted is None or len(some):
+                yield self._dense(at[some], self.first[which[some]], n[some])
             if hi >= len(at):
                 break
             lo = max(lo + 1, int(np.searchsorted(at, at[hi] - reach)))
@@ -178,10 +181,17 @@ class Index:
                     out[lo + np.flatnonzero(done)] = row[done].min(1)
         return out
 
-    def search(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, object, int]]:
-        """Text, item and edits of the best window, for every text that holds a window of the item within its budget."""
+    def search(self, data: np.ndarray, offsets: np.ndarray, first: bool = False) -> list[tuple[int, object, int]]:
+        """Text, item and edits of the best window, for every text that holds a window of the item within its budget.
+
+        With `first`, a text is looked at no further once it holds any item, and one of those is told.
+        """
         folded, offsets = fold(data, offsets)
         found = self._whole(folded, offsets) if self.short else []
+        told = np.zeros(len(offsets) - 1, bool)  # with `first`: texts of which one item is known
+        if first:
+            found = list({t: (t, key, e) for t, key, e in found}.values())
+            told[[t for t, _, _ in found]] = True
         if not len(self.start) or not len(folded):
             return found
         number = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -189,36 +199,55 @@ class Index:
         text[np.arange(len(folded)) + _GAP * (number + 1)] = folded
         start = offsets[:-1] + _GAP * np.arange(len(offsets) - 1)  # with the zeros before the text
         best: dict[int, int] = {}
-        for piece, band, low, high in self.windows(*self.hits(text)):
+        how = {"most": 1 << 18, "wanted": lambda at: ~told[np.searchsorted(start, at, "right") - 1]} if first else {}
+        for piece, band, low, high in self.windows(*self.hits(text), **how):
             if not len(piece):
                 continue
             number = np.searchsorted(start, band * BAND + high + 2 * BAND, "right") - 1
+            if first and told.any():
+                open_ = ~told[number]
+                number, piece, band, low, high = number[open_], piece[open_], band[open_], low[open_], high[open_]
+                if not len(piece):
+                    continue
             group = number * len(self.start) + piece
             groups, which = np.unique(group, return_inverse=True)
+            text_of, most = np.divmod(groups, len(self.start))
+            most = self.most[most]
             left = np.array([best.get(g, 99) for g in groups.tolist()])
             # one window of each text and piece first: a copy is found whole wherever one looks
             order = np.argsort(which, kind="stable")
             ends = np.cumsum(np.bincount(which, minlength=len(groups)))
             middle = order[(ends + np.concatenate([[0], ends[:-1]])) // 2]
             ask = np.flatnonzero(left > 0)
-            if len(ask):
-                m = middle[ask]
-                left[ask] = np.minimum(left[ask], self.edits(text, piece[m], band[m], (low[m] + high[m]) // 2))
+            for k in range(0, len(ask), 256 if first else max(len(ask), 1)):
+                some = ask[k : k + 256] if first else ask
+                some = some[~told[text_of[some]]]
+                m = middle[some]
+                left[some] = np.minimum(left[some], self.edits(text, piece[m], band[m], (low[m] + high[m]) // 2))
+                if first:
+                    told[text_of[left <= most]] = True
             some = np.flatnonzero(left[which] > 0)
             for k in range(0, len(some), 4096):
                 part = some[k : k + 4096]
-                part = part[left[which[part]] > 0]
+                if first:
+                    told[text_of[left <= most]] = True
+                part = part[(left[which[part]] > 0) & ~told[number[part]]]
                 n = high[part] - low[part] + 1
                 rows = np.unique(np.stack([np.repeat(which[part], n), np.repeat(piece[part], n), np.repeat(band[part], n), _ranges(low[part], n)]), axis=1)
                 for j in range(0, rows.shape[1], 1 << 15):
                     r = rows[:, j : j + (1 << 15)]
                     r = r[:, left[r[0]] > 0]
                     np.minimum.at(left, r[0], self.edits(text, *r[1:]))
+            if first:
+                told[text_of[left <= most]] = True
             best.update(zip(groups.tolist(), left.tolist()))
+        known = {t for t, _, _ in found}
         for g, e in best.items():
             number, piece = divmod(g, len(self.start))
-            if e <= self.most[piece]:
+            if e <= self.most[piece] and not (first and number in known):
                 found.append((number, self.key[piece], e))
+                if first:
+                    known.add(number)
         return found
 
     def _whole(self, folded: np.ndarray, offsets: np.ndarray) -> list[tuple[int, object, int]]:
@@ -246,7 +275,7 @@ class Index:
 
 def passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item_id and piece (folded bytes, PIECE at most, overlapping by a passage) of each item that has a letter or digit."""
-    picked = benchmark.select(F.col(id_col).alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"))
+    picked = benchmark.select(F.col(f"`{id_col}`").alias("item_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_text"))
     schema = f"item_id {picked.schema['item_id'].dataType.simpleString()}, piece binary"
 
     def run(batches):
@@ -265,7 +294,7 @@ def passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "tex
     return picked.mapInArrow(run, schema)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", first: bool = False) -> DataFrame:
     """doc_id, item_id and edits (of the best window) for every document that holds a passage of an item.
 
     Texts are compared folded: lower case, punctuation and white space as one space, so lengths are in folded bytes.
@@ -274,13 +303,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     document is read once per block of the benchmark (BLOCK_BYTES of distinct pieces, which is what
     a task and the driver hold); no document is compared with another.
 
+    With `first`, what is asked is whether a document leaks: it gets one item of each block at most, however many share the wording that it holds.
+
     Null and empty texts hold nothing, and items without a letter or digit are in none; equal items, and items
     without an id, are all reported, under their own or a null item_id; rows with equal ids are one document, rows with
     null ids are reported under null; empty tables give no rows; other columns are ignored whatever their names.
     Texts of any length are searched whole: one text must fit a task, some 30 bytes of memory per byte.
     """
     spark = docs.sparkSession
-    picked = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), F.col(id_col).alias("doc_id"))
+    picked = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_text"), F.col(f"`{id_col}`").alias("doc_id"))
     schema = f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, key string, edits int"
     found = spark.createDataFrame([], schema)
     keyed = materialise(passages(benchmark, item_col, item_text_col).withColumn("key", F.md5("piece")), "passages")
@@ -297,7 +328,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             for batch in batches:
                 lengths = np.diff(bytes_of(batch.column(0))[1])
                 for a, b in pieces(lengths, 2 << 20):
-                    rows = index.search(*bytes_of(batch.column(0).slice(a, b - a)))
+                    rows = index.search(*bytes_of(batch.column(0).slice(a, b - a)), first)
                     text, key, edits = zip(*rows) if rows else ((), (), ())
                     ids = batch.column(1).take(pa.array([a + t for t in text], pa.int64()))
                     yield pa.RecordBatch.from_arrays([ids, pa.array(key, pa.string()), pa.array(edits, pa.int32())], ["doc_id", "key", "edits"])
@@ -310,8 +341,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no passage of the benchmark (see find_leaks); the columns stay as they are.
 
-    The verdict depends on the text alone, so rows meet it by their text's digest and nothing is written.
+    The verdict depends on the text alone, so rows meet it by their text's digest and nothing is written. A text is done with at
+    its first leak, so items that share wording cost no rows.
     """
-    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
-    leaking = find_leaks(docs.select(digest.alias("_digest"), F.col(text_col).alias("_text")), benchmark, id_col="_digest", text_col="_text").select(F.col("doc_id").alias("leaking_digest")).distinct()
+    text = F.col(f"`{text_col}`")
+    digest = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    leaking = find_leaks(docs.select(digest.alias("_digest"), text.alias("_text")), benchmark, id_col="_digest", text_col="_text", first=True).select(F.col("doc_id").alias("leaking_digest")).distinct()
     return docs.join(leaking, digest == leaking["leaking_digest"], "left_anti")
