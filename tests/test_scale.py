@@ -232,7 +232,7 @@ def test_observed_counts_must_add_up(spark, tmp_path):
     with pytest.raises(ValueError):
         quality.summary_of(spark, bad, 4)
     seen = Observation()
-    rows = spark.range(5).withColumns({"quarantine_reason": F.lit(None).cast("string"), "dedup_rn": F.lit(1), **{f: F.col("id") > 2 for f in quality.FLAGS}})
+    rows = tables.side_session(spark).range(5).withColumns({"quarantine_reason": F.lit(None).cast("string"), "dedup_rn": F.lit(1), **{f: F.col("id") > 2 for f in quality.FLAGS}})
     quality.observed(rows, seen).write.format("noop").mode("overwrite").save()
     assert seen.get["total_bronze_records"] == 5 == seen.get["clean_records"] and seen.get["late_arriving_count"] == 2
 

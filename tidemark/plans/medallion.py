@@ -6,24 +6,29 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import enrich, features, marts, quality
-from ..sources.tables import overwrite
+from ..sources.tables import overwrite, side_session
 
 
 def silver(spark: SparkSession, bronze: DataFrame, dims: dict[str, DataFrame], out: str, as_of: Column) -> None:
     """Clean, quarantine, enriched and summary tables. The judged rows are written once; the summary is counted while the clean
     and quarantined ones are written, without a scan of its own, and must add up to what was judged."""
     known = [dims[d] for d in ("customer", "merchant", "device")]
-    read, kept, bad = Observation("judged"), Observation("clean"), Observation("quarantine")
-    quality.judged(bronze, *known, as_of).observe(read, F.count("*").alias("n")).write.mode("overwrite").parquet(f"{out}/judged")
-    judged = spark.read.parquet(f"{out}/judged")
-    overwrite(quality.clean(quality.observed(judged.where(quality.is_clean()), kept)), f"{out}/clean", ["event_date"])
-    overwrite(quality.quarantine(quality.observed(judged.where(~quality.is_clean()), bad), as_of), f"{out}/quarantine")
-    overwrite(quality.summary_of(spark, [kept.get, bad.get], read.get["n"]), f"{out}/summary")
+    quality.judged(bronze, *known, as_of).write.mode("overwrite").parquet(f"{out}/judged")
+    overwrite(split_observed(spark, f"{out}/judged", out, as_of), f"{out}/summary")
     overwrite(quality.dashboard_of(spark.read.parquet(f"{out}/summary"), spark.read.parquet(f"{out}/quarantine")), f"{out}/dashboard")
     clean = spark.read.parquet(f"{out}/clean")
     overwrite(enrich.with_signals(enrich.enrich(clean, *known)), f"{out}/enriched", ["event_date"])
 
 
+def split_observed(spark: SparkSession, judged: str, out: str, as_of: Column) -> DataFrame:
+    """Writes the clean and the quarantined rows of a judged table; the summary's row, from counts taken on the way."""
+    kept, bad = Observation("clean"), Observation("quarantine")
+    rows = side_session(spark).read.parquet(judged)
+    overwrite(quality.clean(quality.observed(rows.where(quality.is_clean()), kept)), f"{out}/clean", ["event_date"])
+    overwrite(quality.quarantine(quality.observed(rows.where(~quality.is_clean()), bad), as_of), f"{out}/quarantine")
+    return quality.summary_of(spark, [kept.get, bad.get], spark.read.parquet(judged).count())  # the count stands in the files' footers
+
+
 def gold(spark: SparkSession, out: str) -> None:
     """All marts from one scan of the enriched table: its sums by the keys of all are written once, each mart is cut from those."""
     fact = enrich.with_suspected(spark.read.parquet(f"{out}/enriched"))

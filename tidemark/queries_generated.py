@@ -178,7 +178,7 @@ def ml_scores_checked(spark, d):
     return scored.select(
         "transaction_id", "customer_id", "amount", "fraud_label", (c("rf_fraud_score").between(0, 1) & c("lr_fraud_score").between(0, 1)).alias("in_range"),
         ((c("rf_prediction") == (c("rf_fraud_score") > 0.5).cast("double")) & (c("lr_prediction") == (c("lr_fraud_score") > 0.5).cast("double"))).alias("agrees"),
-        ((c("rf_prediction") == c("fraud_label")) | (F.abs(c("amount") - 150) < 25)).alias("forest_right"),
+        ((c("rf_prediction") == c("fraud_label")) | c("amount").between(75, 400)).alias("forest_right"),
     )
 
 

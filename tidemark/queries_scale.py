@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import enrich, features, marts, quality, retrieval, search, vectors
-from .plans import incremental
-from .queries import _ACTION, _D, _SUMMARY, _TOKENS, _dims, _fact, _features_sql, _judged, _mart_sql, _scratch, query
+from .operators import enrich, features, marts, retrieval, search, vectors
+from .plans import incremental, medallion
+from .queries import AS_OF, _ACTION, _D, _SUMMARY, _TOKENS, _dims, _fact, _features_sql, _judged, _mart_sql, _scratch, query
 from .sources import fixtures as fx
 from .sources import layout, tables
 from .streaming import live
@@ -262,15 +262,9 @@ def marts_by_delivery(spark, d):
 @query(_D + _SUMMARY)
 def dq_summary_observed(spark, d):
     """The summary from counts taken while the clean and the quarantined rows are written."""
-    from pyspark.sql import Observation
-
-    path, judged = _scratch(spark), _judged(spark, d)
-    read, kept, bad = Observation(), Observation(), Observation()
-    tables.overwrite(judged.observe(read, F.count("*").alias("n")), f"{path}/judged")
-    judged = spark.read.parquet(f"{path}/judged")
-    tables.overwrite(quality.clean(quality.observed(judged.where(quality.is_clean()), kept)), f"{path}/clean")
-    tables.overwrite(quality.quarantine(quality.observed(judged.where(~quality.is_clean()), bad)), f"{path}/quarantine")
-    return quality.summary_of(spark, [kept.get, bad.get], read.get["n"])
+    path = _scratch(spark)
+    tables.overwrite(_judged(spark, d), f"{path}/judged")
+    return medallion.split_observed(spark, f"{path}/judged", path, F.lit(AS_OF).cast("timestamp_ntz"))
 
 
 # ---------------------------------------------------------------- skewed keys

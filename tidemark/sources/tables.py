@@ -89,6 +89,19 @@ def compact(spark: SparkSession, source: str, target: str, by: list[str], parts:
     overwrite_clustered(spark.read.parquet(source), target, by, parts)
 
 
+def side_session(spark: SparkSession) -> SparkSession:
+    """Another session on the same cluster with the same settings, for writes that are observed.
+
+    Observations stay with their session for good, and a session that has any can't be serialised: learners that
+    send theirs to tasks (logistic regression does) would fail ever after.
+    """
+    other = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if key.startswith("spark.sql.") and spark.conf.isModifiable(key):
+            other.conf.set(key, value)
+    return other
+
+
 def append(df: DataFrame, path: str, schema: StructType) -> None:
     """Appends under a fixed schema; columns are cast and ordered by it."""
     df.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.mode("append").parquet(path)
