@@ -76,11 +76,18 @@ def scores(rows: DataFrame, forest: PipelineModel, linear: PipelineModel) -> Dat
 
 
 def metrics(model_name: str, scored: DataFrame, label: str = "fraud_label") -> dict:
-    """AUC, AUPRC, and precision, recall and F1 weighted over classes; AUCs are None where there is one class."""
-    single = len(scored.select(label).distinct().limit(2).collect()) < 2
-    area = lambda m: None if single else BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName=m).evaluate(scored)
-    multi = lambda m: MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName=m).evaluate(scored)
-    return {"model_name": model_name, "auc": area("areaUnderROC"), "auprc": area("areaUnderPR"), "precision": multi("weightedPrecision"), "recall": multi("weightedRecall"), "f1": multi("f1")}
+    """AUC, AUPRC, and precision, recall and F1 weighted over classes; AUCs are None where there is one class.
+
+    The evaluators pass over the scores one after the other, so what they need is kept meanwhile.
+    """
+    kept = scored.select(label, "rawPrediction", "prediction").persist()
+    try:
+        single = len(kept.select(label).distinct().limit(2).collect()) < 2
+        area = lambda m: None if single else BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", metricName=m).evaluate(kept)
+        multi = lambda m: MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName=m).evaluate(kept)
+        return {"model_name": model_name, "auc": area("areaUnderROC"), "auprc": area("areaUnderPR"), "precision": multi("weightedPrecision"), "recall": multi("weightedRecall"), "f1": multi("f1")}
+    finally:
+        kept.unpersist()
 
 
 METRICS_DDL = "model_name string, auc double, auprc double, precision double, recall double, f1 double"

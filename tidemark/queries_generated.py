@@ -182,6 +182,17 @@ def ml_scores_checked(spark, d):
     )
 
 
+@query("SELECT count(*) AS n, true AS parted, true AS share_near, true AS same_in_any_layout FROM orders")
+def hash_split_shares(spark, d):
+    """The split by the hash of the key: each row on one side, near four fifths in training, and the same rows however the table lies."""
+    rows = tables.load(spark, d, "orders").select("o_orderkey")
+    sides = [df.withColumn("t", F.lit(name)) for df, name in zip(ml.split(rows, key="o_orderkey"), ("train", "test"))]
+    again = [df.withColumn("u", F.lit(name)) for df, name in zip(ml.split(rows.repartition(3, F.col("o_orderkey") % 5), key="o_orderkey"), ("train", "test"))]
+    met = sides[0].unionByName(sides[1]).join(again[0].unionByName(again[1]), "o_orderkey", "full")
+    share = F.count_if(F.col("t") == "train") / F.count("*")
+    return met.agg(F.count("*").alias("n"), (F.count("*") == F.count_distinct("o_orderkey")).alias("parted"), (F.abs(share - 0.8) < 0.05).alias("share_near"), F.bool_and(F.col("t").eqNullSafe(F.col("u"))).alias("same_in_any_layout"))
+
+
 @query(f"WITH r AS (SELECT {_LABEL} AS y FROM orders) SELECT 2 AS features, 'amount_imp' AS first, true AS sums_to_one, true AS ordered FROM r LIMIT 1")
 def ml_importance_checked(spark, d):
     """A forest's importances sum to 1, under the vector's names, with the input that decides in front."""
