@@ -91,7 +91,7 @@ def sample(docs: DataFrame, usable: Column, each: int = 300, most: int = 4800, l
     a text, whatever its length. Where there are over `most` / `each` languages, each has so many fewer that
     all have `most`, but two at least. Of a language, some four times as many as are needed meet in one place.
     """
-    asked = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(id_col, text_col).alias("_turn"), F.col(text_col).cast("binary").alias("_text"))
+    asked = docs.where(usable & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{lang_col}`").cast("string").alias("_lang"), F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("_turn"), F.col(f"`{text_col}`").cast("binary").alias("_text"))
     distinct = asked.select("_lang", "_turn").distinct()
     counts = materialise(distinct.groupBy("_lang").agg(F.count("*").alias("_all")).orderBy(F.desc("_all"), "_lang").limit(languages), "languages")
     each = max(2, min(each, most // max(counts.count(), 1)))
@@ -121,7 +121,7 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], text_col: str
     wins. Equal texts get equal results; a very long text is read in pieces; an empty table gives no rows; columns
     not in `keep` are ignored whatever their names.
     """
-    picked = docs.select(F.col(text_col).cast("binary").alias("_text"), *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)])
+    picked = docs.select(F.col(f"`{text_col}`").cast("binary").alias("_text"), *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)])
     schema = picked.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def lettered(text: bytes) -> bool:
@@ -156,8 +156,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     Rows with null ids are neither learnt from nor held out; repeated rows count once in learning and are all
     predicted; a table without usable labels gives `und` throughout; extra columns are ignored whatever their names.
     """
-    fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % 3
+    fold = F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % 3
     pairs = sample(docs, fold != 1, id_col=id_col)
     model = train([t for t, _ in pairs], [x for _, x in pairs]) if pairs else None
     found = predict(docs, model, keep=[id_col])
-    return found.select(F.col(id_col).alias("doc_id"), F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return found.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -278,7 +278,7 @@ def scan(docs: DataFrame, keep: list[str], templates: dict[str, str | list[str]]
 
     The templates go to every task with the function: they are a parameter, bounded by who writes it.
     """
-    picked = docs.select(F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("_text"), *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)])
+    picked = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("_text"), *[F.col(f"`{c}`").alias(f"_keep{i}") for i, c in enumerate(keep)])
     spans_type = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("coverage", pa.float64())]))
     extra = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label string, first long, last long, coverage double>>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema[1:]), extra])

@@ -19,9 +19,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     are ignored whatever their names. A very long text is measured and never cut: its shard is longer by it.
     """
     sized = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 1).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.col(f"`{id_col}`").alias("doc_id"),
+        (F.coalesce(F.octet_length(F.col(f"`{text_col}`")), F.lit(0)) + 1).cast("long").alias("size"),
+        F.coalesce(F.crc32(F.col(f"`{text_col}`").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32").asc(), F.col("size").asc()]
     placed = prefix_sums(sized, order, {"start_byte": F.col("size"), "_rank": F.lit(1).cast("long")})

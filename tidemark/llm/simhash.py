@@ -44,7 +44,7 @@ def majority(hashes: np.ndarray) -> int:
 
 def with_fingerprints(docs: DataFrame, words_each: int = 3, keep: list[str] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) and `keep` of each row; null text has no words."""
-    picked = docs.select(F.col(text_col).cast("binary").alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *keep)
+    picked = docs.select(F.col(f"`{text_col}`").cast("binary").alias("_text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), *keep)
     schema = picked.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches):
@@ -225,7 +225,7 @@ def deduplicate(docs: DataFrame, most: int = 2, words_each: int = 3, id_col: str
     The columns stay as they are. Rows without an id count last; components in which no row has one go by their fingerprint.
     """
     rows = with_row_id(docs)
-    slim = rows.select("_row", F.col(f"_doc.{id_col}"), F.col(f"_doc.{text_col}"))
+    slim = rows.select("_row", F.col(f"_doc.`{id_col}`"), F.col(f"_doc.`{text_col}`"))
     found = near_duplicates(slim, most, words_each, keep=["_row"], id_col=id_col, text_col=text_col)
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")))
     stays = found.groupBy(group.alias("group")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row"))["_row"].alias("_row"))
