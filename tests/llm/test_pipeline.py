@@ -164,4 +164,4 @@ def test_queries_are_registered(spark):
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if re.match(r"op\d+_", k)}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if re.match(r"op\d+_", k)}

@@ -79,3 +79,15 @@ def test_files_round_trip(spark):
     got = [tuple(r) for r in tf.token_files(docs.repartition(3), PATH).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
     assert sorted(got, key=lambda r: r[1]) == wanted
     assert tf.token_files(docs.limit(0), PATH).count() == 0
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    from tokenizers import Tokenizer
+
+    long = "word and more\n" * 150_000  # 2 MB
+    rows = [(1, long), (1, long), (2, "a b"), (2, "a b"), (2, "a b"), (3, "x" * 300_000)]
+    tok = Tokenizer.from_file(PATH)
+    size = {t: len(tok.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows}
+    got = sorted(map(tuple, tf.token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH).select("start", "doc_id", "n_tokens").collect()))
+    assert [r[1:] for r in got] == [(i, size[t]) for i, t in rows]
+    assert [r[0] for r in got] == [sum(r[2] for r in got[:k]) for k in range(len(rows))]
