@@ -71,3 +71,35 @@ def test_stage_against_all_pairs(spark, source, monkeypatch):
     assert got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect()) == one_each(rows)
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), TINY).count() == 0
+
+
+def test_prefixes_keep_every_pair_and_pass_over_templates(spark):
+    rng = random.Random(9)
+    sets = []
+    for g in range(60):
+        base = {rng.randrange(400 if g % 2 else 2**62) for _ in range(rng.randrange(1, 120))}
+        for edits in range(6):
+            some = set(base)
+            for _ in range(edits * len(base) // 20):
+                some.discard(rng.choice(sorted(some)))
+                some.add(rng.randrange(-(2**62), 2**62))
+            sets.append(some or {1})
+    sets += [set(base) | {5}, set()]
+    rows = [(i, i // 2, sorted(x)) for i, x in enumerate(sets)]
+    for least in (0.8, 0.5):
+        found = {r["node"] for r in similar.able(spark.createDataFrame(rows, "node long, component long, set array<long>"), least).collect()}
+        alike = {i for i, a in enumerate(sets) for j, b in enumerate(sets) if i // 2 != j // 2 and a & b and len(a & b) * 1000 >= least * 1000 * len(a | b)}
+        assert len(alike) > 100 and alike <= found
+    template = [rng.randrange(2**62) for _ in range(150)]
+    pages = [(i, i, sorted(template[: 90 + i % 60] + [rng.randrange(2**62) for _ in range(60)])) for i in range(500)]
+    assert similar.able(spark.createDataFrame(pages, "node long, component long, set array<long>"), 0.8).count() == 0
+    assert similar.able(spark.createDataFrame([], "node long, component long, set array<long>"), 0.8).count() == 0
+
+
+def test_pages_of_one_template_stay(spark):
+    rng = random.Random(3)
+    template = [f"t{k}" for k in range(216)]
+    rows = [(i, " ".join(template[:108] + [f"u{rng.randrange(10**9)}" for _ in range(84)] + template[108:])) for i in range(600)]
+    rows += [(600 + i, t + " end") for i, t in rows[:50]]
+    got = similar.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == list(range(600))

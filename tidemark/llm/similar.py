@@ -18,6 +18,7 @@ from .simhash import components, majority, near_links
 BANDS, ROWS = 28, 5
 SLACK = 0.17  # five standard deviations of a similarity of 0.8 estimated from BANDS * ROWS minima
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+COUNTERS = 1 << 20  # shared by all shingles; what the driver and a task hold of them
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -97,6 +98,60 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return materialise(pairs.join(left, "a").join(right, "b").where(enough).select("a", "b"), "similar")
 
 
+def shared_counts(sets: DataFrame) -> np.ndarray:
+    """Of each of COUNTERS classes of shingles, how many stand in the sets (column set)."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount(_counter(batch.column(0).flatten().to_numpy()), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    found = sets.select("set").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.uint32)
+    out[found.column("at").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**32 - 1)
+    return out
+
+
+def _counter(shingle: np.ndarray) -> np.ndarray:
+    return (shingle.view(np.uint64) % np.uint64(COUNTERS)).astype(np.int64)
+
+
+def able(sets: DataFrame, least: float) -> DataFrame:
+    """node: those that can be in a pair of different components with a similarity of `least` or more, by prefixes of their sets.
+
+    sets has node, component, set. All sets are put in one order, shingles that few sets have first. The first shingle
+    that two similar sets share then stands in the first places of both: 1 - least of the larger, and of the
+    smaller 1 - 2 least / (1 + least). So a node stays if it shares such a shingle with another component. No pair that is similar is
+    lost: counts only choose the order, and pages of one template, whose first places are their own words, cost no pairs.
+    """
+    counts, whole = shared_counts(sets), round(least * 1000)
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
+            for a, b in pieces(sizes, 1 << 20):
+                part = batch.slice(a, b - a)
+                n, shingle = sizes[a:b], part.column(2).flatten().to_numpy()
+                row = np.repeat(np.arange(b - a), n)
+                count = counts[_counter(shingle)]
+                order = np.lexsort((shingle, count, row))
+                place, size = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), n[row].astype(np.int64)
+                first = place <= size + (-whole * size) // 1000
+                # what no other set has leads to none
+                some = np.flatnonzero(first & (count[order] > 1))
+                smaller = place[some] <= size[some] + (-2 * whole * size[some]) // (1000 + whole)
+                at = pa.array(row[some])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(shingle[order[some]]), pa.array(smaller)], ["node", "component", "shingle", "smaller"])
+
+    rows = sets.select("node", "component", "set").mapInArrow(run, "node long, component long, shingle long, smaller boolean")
+    small = F.when(F.col("smaller"), F.col("component"))
+    met = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(small).alias("small_lo"), F.max(small).alias("small_hi"))
+    met = met.where("lo < hi and small_lo is not null").drop("lo", "hi")
+    return rows.join(met, "shingle").where("smaller or small_lo <> component or small_hi <> component").select("node").distinct()
+
+
 def forest(node: np.ndarray, component: np.ndarray, main: int | None, sketch: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Links of a similarity of `least` that join components, one for each joining; with `main`, only between that component and others."""
     n, out = np.array([len(x) for x in sets]), []
@@ -124,7 +179,8 @@ def similar_links(values: DataFrame, texts: DataFrame, words_each: int = 5, leas
     values has node, n, fp, keys, sketch, each set of shingles once. First come the pairs that SimHash links and each
     value with four of the firsts and lasts of its buckets, so that a large group of near copies costs rows in
     proportion to it. Pairs of a bucket that are in different components after that are all compared, in blocks: by
-    sketch and, where that allows `least`, by their whole sets. A block tells only links that join components.
+    sketch and, where that allows `least`, by their whole sets, but for values whose rarer shingles no other component
+    has (`able`). A block tells only links that join components.
     """
     named = values.where("n > 0").groupBy("fp").agg(F.min("node").alias("head"))
     named = materialise(named, "fingerprints")
@@ -154,17 +210,19 @@ def similar_links(values: DataFrame, texts: DataFrame, words_each: int = 5, leas
     parts = marked.groupBy("key", "component").agg(F.count("*").alias("n_part"))
     mixed = parts.groupBy("key").agg(F.max(F.struct("n_part", "component"))["component"].alias("main"), F.count("*").alias("n_parts")).where("n_parts > 1")
     grouped = materialise(marked.join(mixed, "key").select("node", "component", "main").distinct().join(size, "node"), "grouped")
+    apart = materialise(sets.join(grouped.select("node", "component").distinct(), "node").select("node", "component", "set"), "apart")
+    grouped = materialise(grouped.join(able(apart, least), "node", "left_semi"), "able")
     inside = F.col("component") == F.col("main")
     blocks = lambda cond: F.ceil(F.greatest(F.count_if(cond) / BLOCK, F.sum(F.when(cond, F.col("n")).otherwise(0)) / BLOCK_SHINGLES))
     counted = grouped.groupBy("main").agg(blocks(inside).alias("n_main"), blocks(~inside).alias("n_rest"))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    mine = lambda n: F.pmod(F.xxhash64("node"), n)
+    upto = lambda n: F.filter(F.sequence(F.lit(0).cast("long"), n), lambda k: k < n)
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
     of_main = F.transform(upto(F.col("n_rest")), lambda j: cell(0, mine(F.col("n_main")), j))
     of_rest = F.transform(upto(F.col("n_main")), lambda i: cell(0, i, mine(F.col("n_rest"))))
     own = F.transform(upto(F.col("n_rest")), lambda j: cell(1, F.least(j, mine(F.col("n_rest"))), F.greatest(j, mine(F.col("n_rest")))))
     dealt = grouped.join(counted, "main").select("node", "component", "main", F.explode(F.when(inside, of_main).otherwise(F.concat(of_rest, own))).alias("at"))
-    held = dealt.join(values.select("node", "sketch"), "node").join(sets, "node").groupBy("main", "at").agg(F.collect_list(F.struct("node", "component", "sketch", "set")).alias("all"))
+    held = dealt.join(values.select("node", "sketch"), "node").join(apart.select("node", "set"), "node").groupBy("main", "at").agg(F.collect_list(F.struct("node", "component", "sketch", "set")).alias("all"))
 
     def compare(batches):
         for batch in batches:
