@@ -249,3 +249,16 @@ def test_skewed_join(spark):
     got = enrich.skewed_join(rows, dim, "k", hot, per_task=100)
     assert sorted(map(str, got.select("id", "k", "name").collect())) == want
     assert sorted(map(str, enrich.skewed_join(rows, dim, "k", hot.where("false")).select("id", "k", "name").collect())) == want
+
+
+def test_zorder_files_are_whole_cells():
+    assert layout.cell_files({p: 10 for p in range(64)}, 6, 16) == [(4 * i, 4 * i + 4, 1) for i in range(16)]
+    assert layout.cell_files({0: 1, 9: 700, 15: 100}, 4, 8) == [(0, 12, 7), (12, 16, 1)]
+    assert sum(files for _, _, files in layout.cell_files({}, 3, 4)) == 4
+
+
+def test_zorder_touches_few_files_whatever_is_sampled(spark):
+    from tidemark import queries_scale as qs
+
+    found = qs.zorder_skipping(spark, "/root/testdata/sf0.1").collect()
+    assert len(found) == 16 and all(r["few"] for r in found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,15 +54,55 @@ def morton(ranks: list[Column], bits: int = RANK_BITS) -> Column:
     return code
 
 
+def cell_files(rows: dict[int, int], depth: int, parts: int) -> list[tuple[int, int, int]]:
+    """(first prefix, end, files): cells of the code, halved until each is one file's share of the rows, in order.
+
+    rows has the number of rows per prefix of `depth` bits. A half gets its share of the files, rounded; one that gets none goes
+    with its neighbour. A single prefix that is worth several files is left as one cell of that many.
+    """
+    before = list(accumulate((rows.get(p, 0) for p in range(2**depth)), initial=0))
+
+    def halve(lo: int, hi: int, files: int) -> list[tuple[int, int, int]]:
+        if files == 1 or hi - lo == 1:
+            return [(lo, hi, files)]
+        mid = (lo + hi) // 2
+        left = round(files * (before[mid] - before[lo]) / max(before[hi] - before[lo], 1))
+        first = halve(lo, mid, left) if left else []
+        other = halve(mid, hi, files - left) if left < files else []
+        if not first:
+            other[0] = (lo, *other[0][1:])
+        elif not other:
+            first[-1] = (first[-1][0], hi, first[-1][2])
+        return first + other
+
+    return halve(0, 2**depth, parts)
+
+
 def overwrite_zordered(df: DataFrame, path: str, by: list[str], parts: int | None = None, bits: int = RANK_BITS) -> None:
-    """Files range-partitioned by the Morton code of the columns' ranks (rows of one code by the columns themselves, then by a hash, so
-    that no value is too large for a file): min and max skip files on each of `by`, not on the first alone."""
+    """Files by the Morton code of the columns' ranks: min and max skip files on each of `by`, not on the first alone.
+
+    With `parts`, files are whole cells of the code, each near its share of the rows (cuts that are sampled fall inside cells, and a
+    file on both sides of one covers much of either column). What is too much for a file within the smallest cell, and all rows
+    where `parts` is not given, is range-partitioned by the code, the columns themselves, then a hash, so that no value is too large.
+    """
     ranked, ranks = quantile_ranks(df, by, bits)
     coded = ranked.withColumn("_code", morton([ranks[c] for c in by], bits)).select("_code", *[F.col(f"`{c}`") for c in df.columns])
     order = [F.col("_code"), *[F.col(f"`{c}`") for c in by]]
     spread = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
-    ranged = coded.repartitionByRange(parts, *spread) if parts else coded.repartitionByRange(*spread)
-    overwrite(ranged.sortWithinPartitions(*order).drop("_code"), path)
+    if not parts:
+        overwrite(coded.repartitionByRange(*spread).sortWithinPartitions(*order).drop("_code"), path)
+        return
+    depth = min(bits * len(by), parts.bit_length() + 3)
+    prefix = F.shiftright("_code", bits * len(by) - depth)
+    counted = {r["p"]: r["n"] for r in coded.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}  # 16 prefixes a file at most
+    cells = cell_files(counted, depth, parts)
+    cell_of = ", ".join(str(i) for i, (lo, end, _) in enumerate(cells) for _ in range(lo, end))
+    placed = coded.withColumn("_cell", F.element_at(F.expr(f"array({cell_of})"), (prefix + 1).cast("int")))
+    large = [i for i, (_, _, files) in enumerate(cells) if files > 1]
+    overwrite(placed.where(~F.col("_cell").isin(large)).repartitionById(len(cells), F.col("_cell")).sortWithinPartitions(*order).drop("_code", "_cell"), path)
+    if large:
+        rest = placed.where(F.col("_cell").isin(large)).repartitionByRange(sum(cells[i][2] for i in large), *spread)
+        rest.sortWithinPartitions(*order).drop("_code", "_cell").write.mode("append").parquet(path)
 
 
 def compact_zordered(spark: SparkSession, source: str, target: str, by: list[str], parts: int) -> None:
