@@ -42,3 +42,22 @@ def test_split_takes_any_key(spark):
         assert train.count() + test.count() == 5000 and 3800 < train.count() < 4200
         again, _ = ml.split(rows.repartition(7), key="k")
         assert sorted(map(tuple, again.collect())) == sorted(map(tuple, train.collect()))
+
+
+def test_a_class_is_not_one_tasks(spark):
+    rows = spark.range(0, 60_000, 1, 6).select(F.col("id").alias("transaction_id"), F.when(F.col("id") % 50 == 0, 1.0).otherwise(0.0).alias("fraud_label"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")  # as if the rows were too many for Spark to guess that the classes are few
+    try:
+        met = ml.weighted(rows)
+        assert {(r[0], round(r[1], 6)) for r in met.select("fraud_label", "class_weight").distinct().collect()} == {(1.0, 25.0), (0.0, 0.510204)}
+        held = met.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in held) <= 10_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_training_rows_are_spread(spark):
+    rows = spark.range(0, 50_000, 1, 1)
+    held = ml.spread(rows, 5_000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) == 10 and max(r["count"] for r in held) <= 5_100

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEED = 42
+PER_TASK = 200_000  # training rows of a partition; a forest of 100 trees keeps some 600 bytes for each
 # The candidates for the model's inputs; those that a table lacks are left out.
 CATEGORICAL = ["merchant_risk_level", "amount_bucket", "transaction_country", "customer_segment", "transaction_channel"]
 NOT_ENCODED = {"transaction_country"}
@@ -35,10 +38,14 @@ def split(rows: DataFrame, train_percent: int = 80, key: str = "transaction_id",
 
 
 def weighted(rows: DataFrame, label: str = "fraud_label") -> DataFrame:
-    """Adds class_weight, all rows over twice the label's. The joined side has a row per class."""
+    """Adds class_weight, all rows over twice the label's.
+
+    The joined side has a row per class and is sent to the rows: dealt by the label, all rows of a class would be one task's.
+    (Spark finds that side's size too late, and then keeps the shuffle as it has left nearly all partitions empty.)
+    """
     counts = rows.groupBy(label).count()
     total = rows.agg(F.count("*")).scalar()
-    return rows.join(counts.select(label, (total / (2 * F.col("count"))).alias("class_weight")), label)
+    return rows.join(F.broadcast(counts.select(label, (total / (2 * F.col("count"))).alias("class_weight"))), label)
 
 
 def stages(columns: list[str]) -> list:
@@ -61,8 +68,22 @@ def random_forest(trees: int = 100, depth: int = 8) -> RandomForestClassifier:
     return RandomForestClassifier(featuresCol="features", labelCol="fraud_label", weightCol="class_weight", numTrees=trees, maxDepth=depth, subsamplingRate=0.8, featureSubsetStrategy="sqrt", seed=SEED)
 
 
+def spread(rows: DataFrame, per_task: int = PER_TASK) -> DataFrame:
+    """rows dealt evenly in partitions of at most about per_task: learners keep each partition's rows, blown up, and read them whole each time."""
+    return rows.repartition(max(math.ceil(rows.count() / per_task), rows.sparkSession.sparkContext.defaultParallelism))
+
+
+def fit_all(train: DataFrame, estimators: list, per_task: int = PER_TASK) -> list[PipelineModel]:
+    """A model per estimator; the rows are spread and kept once for all passes of all learners."""
+    held = spread(train, per_task).persist()
+    try:
+        return [Pipeline(stages=[*stages(train.columns), e]).fit(held) for e in estimators]
+    finally:
+        held.unpersist()
+
+
 def fit(train: DataFrame, estimator) -> PipelineModel:
-    return Pipeline(stages=[*stages(train.columns), estimator]).fit(train)
+    return fit_all(train, [estimator])[0]
 
 
 def scores(rows: DataFrame, forest: PipelineModel, linear: PipelineModel) -> DataFrame:

@@ -172,8 +172,7 @@ def ml_scores_checked(spark, d):
     tx = fx.event_transactions(spark, d).withColumn("fraud_label", (F.col("amount") > 150).cast("int"))
     rows = ml.prepare(tx)
     train, test = ml.split(rows, bucket=(F.col("transaction_id") * 7919 + 42) % 100)
-    train = ml.weighted(train)
-    scored = ml.scores(test, ml.fit(train, ml.random_forest(30, 4)), ml.fit(train, ml.logistic_regression()))
+    scored = ml.scores(test, *ml.fit_all(ml.weighted(train), [ml.random_forest(30, 4), ml.logistic_regression()]))
     c = F.col
     return scored.select(
         "transaction_id", "customer_id", "amount", "fraud_label", (c("rf_fraud_score").between(0, 1) & c("lr_fraud_score").between(0, 1)).alias("in_range"),
