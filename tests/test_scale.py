@@ -262,3 +262,20 @@ def test_zorder_touches_few_files_whatever_is_sampled(spark):
 
     found = qs.zorder_skipping(spark, "/root/testdata/sf0.1").collect()
     assert len(found) == 16 and all(r["few"] for r in found)
+
+
+def test_search_multiplies_pieces_by_blocks(spark, tmp_path, monkeypatch):
+    """The same neighbours whatever the pieces, blocks and steps; copies that tie at the k-th place are told by key."""
+    pick = random.Random(4)
+    rows = [(i, [pick.gauss(0, 1) for _ in range(5)]) for i in range(150)] + [(200 + i, [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vectors, "PIECE", 20)
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    vectors.build_index(df, path := f"file://{tmp_path}/i", cells=4)
+    found = vectors.search(spark, path, df.where("vec_id % 20 = 0"), k=5, probes=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    got = {}
+    for r in found.orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["key"])
+    assert got[200] == got[220] == [200, 201, 202, 203, 204] and len(got) == 10 and all(len(v) == 5 and v[0] == q for q, v in got.items() if q < 200)

@@ -1,20 +1,30 @@
-"""An inverted file over vectors: cells of k-means, scanned where a query's nearest can be. All in the JVM.
+"""An inverted file over vectors: cells of k-means, scanned where a query's nearest can be.
 
 Vectors are compared by cosine: all are brought to length 1, where the squared distance is 2 - 2 cosine. A cell's radius is
 the largest distance of a member to its centre, so a query at distance D from a centre has no neighbour nearer than D - radius in
 that cell. That bound makes the search exact: cells after the nearest few are read only if the k-th found so far is farther.
+The scores of a piece of a cell and a block of queries are one product of matrices.
 """
 
 from __future__ import annotations
 
+import math
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..sources.tables import overwrite
+from ..sources.tables import overwrite, scratch_path
 
 PIECE = 50_000  # rows of a cell that one join key brings together at most
+BLOCK = 20_000  # queries that meet a piece in one task at about most
+SCORES = 4_000_000  # scores that a task holds at a time
 _SLACK = 2e-6  # scores are rounded to six places
 
 
@@ -26,7 +36,7 @@ def unit(vector: Column) -> Column:
     """The vector as doubles of length 1; null for a null or zero vector."""
     wide = vector.cast("array<double>")
     length = F.sqrt(dot(wide, wide))
-    return F.when(length > 0, F.transform(wide, lambda x: x / length))
+    return F.when(length > 0, F.zip_with(wide, F.array_repeat(length, F.size(wide)), lambda x, by: x / by))  # in a lambda of one, the length would be found for each element
 
 
 def build_index(vectors: DataFrame, path: str, cells: int, key: str = "vec_id", vector: str = "embedding", sample: int = 100_000, seed: int = 7) -> None:
@@ -37,6 +47,8 @@ def build_index(vectors: DataFrame, path: str, cells: int, key: str = "vec_id",
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{key}`").alias("key"), unit(F.col(f"`{vector}`")).alias("unit")).where("unit is not null")
+    overwrite(rows, f"{path}/units")  # read several times below
+    rows = spark.read.parquet(f"{path}/units")
     share = min(1.0, sample / max(rows.count(), 1))
     some = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)) if share < 1 else F.lit(True))
     model = KMeans(k=cells, seed=seed, maxIter=20, featuresCol="_v", predictionCol="cell").fit(some.select(array_to_vector("unit").alias("_v")).repartition(8))
@@ -58,11 +70,40 @@ def _ranked(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _scan(members: DataFrame, probes: DataFrame) -> DataFrame:
-    """query, key, score of the members of the probed cells that the bound does not rule out."""
-    dealt = probes.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
-    met = dealt.join(members, ["cell", "piece"]).where(F.abs(F.col("gap") - F.col("residual")) <= F.col("reach"))
-    return met.select("query", "key", F.round(dot(F.col("asked"), F.col("unit")), 6).alias("score"))
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(vectors.combine_chunks().flatten()).reshape(len(vectors), -1)
+
+
+def _best(k: int, asked: pa.Table, held: pa.Table) -> pa.Table:
+    """query, key, score: the k best of these members for each of these queries, by the rounded score, ties by key."""
+    found = []
+    if len(asked) and len(held):
+        held = held.take(pc.sort_indices(held, sort_keys=[("key", "ascending")], null_placement="at_start"))
+        ours, theirs = _matrix(asked["asked"]), _matrix(held["unit"])
+        step = max(1, SCORES // len(theirs))
+        for a in range(0, len(ours), step):
+            scores = ours[a : a + step] @ theirs.T
+            least = np.partition(scores, -k, axis=1)[:, -k] - _SLACK if k < len(theirs) else np.full(len(scores), -np.inf)
+            at, member = np.nonzero(scores >= least[:, None])
+            order = np.lexsort((member, -np.round(scores[at, member], 6), at))
+            at, member = at[order], member[order]
+            turn = np.arange(len(at)) - np.searchsorted(at, at)
+            at, member = at[turn < k], member[turn < k]
+            found.append(pa.table({"query": asked["query"].take(pa.array(at + a)), "key": held["key"].take(pa.array(member)), "score": scores[at, member]}))
+    return pa.concat_tables(found) if found else pa.table({"query": asked["query"].slice(0, 0), "key": held["key"].slice(0, 0), "score": pa.array([], pa.float64())})
+
+
+def _scan(members: DataFrame, probes: DataFrame, blocks: int, k: int) -> DataFrame:
+    """query, key, score: of each piece of a probed cell, the k best members for each query.
+
+    Queries are dealt in blocks, so that a task holds a piece and a block, multiplied as matrices.
+    """
+    dealt = probes.select("query", "asked", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"))
+    copied = members.select("cell", "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "key", "unit")
+    place = ["cell", "piece", "block"]
+    schema = StructType([StructField("query", probes.schema["query"].dataType), StructField("key", members.schema["key"].dataType), StructField("score", DoubleType())])
+    met = dealt.groupBy(*place).cogroup(copied.groupBy(*place)).applyInArrow(partial(_best, k), schema)
+    return met.withColumn("score", F.round("score", 6))
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, probes: int = 4, exact: bool = True, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -78,14 +119,16 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 5, probe
     gap = F.sqrt(F.greatest(1 - 2 * dot(F.col("asked"), F.col("centre")) + dot(F.col("centre"), F.col("centre")), F.lit(0.0)))
     near = cells.join(centres, "cell").select("query", "asked", "cell", "pieces", "radius", gap.alias("gap"))
     near = near.withColumn("turn", F.row_number().over(Window.partitionBy("query").orderBy("gap", "cell")))
-    reach = lambda df, x: df.withColumn("reach", x)
-    first = _ranked(_scan(members, reach(near.where(F.col("turn") <= probes), F.lit(4.0))), k)
+    blocks = max(1, math.ceil(asked.count() / BLOCK))
+    first = _ranked(_scan(members, near.where(F.col("turn") <= probes), blocks, k), k).select("query", "rank", "key", "score")
     if not exact:
-        return first.select("query", "rank", "key", "score")
+        return first
+    overwrite(first, held := scratch_path(spark, "near"))  # read twice
+    first = spark.read.parquet(held)
     # the k-th distance, from the score; what was rounded away counts as nearer
     kth = first.groupBy("query").agg(F.when(F.count("*") == k, F.sqrt(F.greatest(2 - 2 * (F.min("score") - _SLACK), F.lit(0.0)))).alias("kth"))
-    rest = near.where(F.col("turn") > probes).join(kth, "query", "left").withColumn("reach", F.coalesce("kth", F.lit(4.0)))
-    more = _scan(members, rest.where(F.col("gap") - F.col("radius") <= F.col("reach")))
+    rest = near.where(F.col("turn") > probes).join(kth, "query", "left").where(F.col("gap") - F.col("radius") <= F.coalesce("kth", F.lit(4.0)))
+    more = _scan(members, rest, blocks, k)
     return _ranked(first.select("query", "key", "score").unionByName(more), k).select("query", "rank", "key", "score")
 
 
