@@ -279,3 +279,14 @@ def test_search_multiplies_pieces_by_blocks(spark, tmp_path, monkeypatch):
     for r in found.orderBy("query", "rank").collect():
         got.setdefault(r["query"], []).append(r["key"])
     assert got[200] == got[220] == [200, 201, 202, 203, 204] and len(got) == 10 and all(len(v) == 5 and v[0] == q for q, v in got.items() if q < 200)
+
+
+def test_searched_rows_are_not_shuffled(spark):
+    """Queries are dealt by text once, and rows that ask few texts not at all."""
+    chunks = spark.createDataFrame(CHUNKS, "chunk_id string, chunk_text string")
+    rows = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "crypto payments").otherwise("the limit").alias("query_text"))
+    scored = search.bm25_top_k(chunks, rows)
+    assert scored._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    met = search.with_context(rows, chunks)
+    assert "Exchange hashpartitioning" not in met._jdf.queryExecution().executedPlan().toString()
+    assert {(r[0], r[1]) for r in met.select("query_text", F.col("policy")[0]["key"]).distinct().collect()} == {("crypto payments", "c1"), ("the limit", "c2")}
