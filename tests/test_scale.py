@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 from conftest import TINY
-from pyspark.sql import Observation
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 from tidemark.operators import enrich, features, marts, quality, retrieval, search, vectors
 from tidemark.plans import incremental
@@ -301,3 +301,14 @@ def test_deliveries_join_the_facts_once(spark, monkeypatch):
     monkeypatch.setattr(qs.incremental, "all_sums", lambda spark, path: marts.merged(marts.partials(facts(spark, [(1, 0)]))))
     qs.marts_by_delivery(spark, TINY)
     assert wrote[1:] == [0, 0, 0] and len(wrote[0]) == 16
+
+
+def test_sweep_deals_rows_once(spark):
+    """One exchange and no join, whatever is counted; rows of two spans see each other."""
+    rows = spark.range(4000).select(F.col("id").alias("i"), (F.col("id") % 3).alias("k"), F.timestamp_seconds(F.col("id") * 50_000).alias("t"), (F.col("id") % 7).alias("x"), F.when(F.col("id") % 5 > 0, F.col("id") % 11).alias("y"))
+    found = features.distinct_counts(rows, {"n": ("x", features.MONTH), "m": ("y", features.WEEK)}, "k", "t")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    sets = lambda c, n: F.size(F.collect_set(c).over(Window.partitionBy("k").orderBy(F.unix_timestamp("t")).rangeBetween(-n, -1))).cast("long")
+    want = rows.select("*", sets("x", features.MONTH).alias("n"), sets("y", features.WEEK).alias("m"))
+    assert found.exceptAll(want).count() == 0 and found.count() == 4000

@@ -84,37 +84,30 @@ def distinct_counts(rows: DataFrame, counts: dict[str, tuple[str, int]], key: st
     """rows with a known time and, for each name in counts, how many distinct values of a column the key had in the N seconds before.
 
     The same as the size of a set over the frame [t - N, t - 1], by a sweep: a value is in sight from a second after it
-    occurs until N seconds after it last occurred, so what counts are the ends of such islands, +1 and -1, and a running sum
-    over them. That is n log n whatever the frames hold, and no set is kept. A key's time is cut in spans: neighbours across spans
-    and the sum so far come from a row per span, so that a hot key is worked on in as many tasks as it has spans. Null values
-    are not counted; rows of a null key are one key's; rows without a time are left out.
+    occurs until N seconds after it last occurred. A row opens such an island if its value did not occur in the N seconds before, and closes one
+    if it doesn't occur in those after; what counts is the islands opened before t less those closed before t - N, two running sums. That is
+    n log n whatever the frames hold, and no set is kept. Rows are dealt once, by key and span of time (`span` seconds, four times the longest frame at least),
+    so that a hot key is worked on in as many tasks as it has spans; those near a span's end go to the next one too, without their other columns,
+    where they are only looked back upon. Null values are not counted; rows of a null key are one key's; rows without a time are left out.
     """
     timed = rows.where(F.col(time).isNotNull()).withColumn("_s", epoch_seconds(F.col(time)))
-    at_span = lambda s: F.floor(s / span)
-    kinds = list(counts)
-    value = lambda k: F.struct(F.lit(k).alias("kind"), F.col(counts[k][0]).cast("string").alias("value"), F.lit(counts[k][1]).cast("long").alias("frame"))
-    long = timed.select(F.struct(key).alias("_k"), "_s", at_span(F.col("_s")).alias("_span"), F.explode(F.array(*map(value, kinds))).alias("_v")).select("_k", "_s", "_span", "_v.*").where("value is not null").distinct()
-    place = ["_k", "kind", "value"]
-    over_spans = Window.partitionBy(*place).orderBy("_span")
-    ends = long.groupBy(*place, "_span").agg(F.min("_s").alias("lo"), F.max("_s").alias("hi"))
-    ends = ends.select(*place, "_span", F.lag("hi").over(over_spans).alias("earlier"), F.lead("lo").over(over_spans).alias("later"))
-    inside = Window.partitionBy(*place, "_span").orderBy("_s")
-    near = long.join(ends, [*place, "_span"]).select("_k", "kind", "_s", "frame", F.coalesce(F.lag("_s").over(inside), "earlier").alias("before"), F.coalesce(F.lead("_s").over(inside), "later").alias("after"))
-    opens = F.when(F.col("before").isNull() | (F.col("_s") - F.col("before") > F.col("frame")), F.struct((F.col("_s") + 1).alias("at"), F.lit(1).alias("step")))
-    closes = F.when(F.col("after").isNull() | (F.col("after") - F.col("_s") > F.col("frame")), F.struct((F.col("_s") + F.col("frame") + 1).alias("at"), F.lit(-1).alias("step")))
-    steps = near.select("_k", "kind", F.explode(F.array_compact(F.array(opens, closes))).alias("e")).select("_k", F.col("e.at").alias("_s"), *[F.when(F.col("kind") == k, F.col("e.step")).otherwise(0).alias(k) for k in kinds])
-    steps = steps.groupBy("_k", "_s").agg(*[F.sum(k).alias(k) for k in kinds])  # one row per key and second
-    row = F.struct(*[F.col(f"`{c}`") for c in timed.columns if c not in ("_s",)])
-    marks = timed.select(F.struct(key).alias("_k"), "_s", *[F.lit(0).cast("long").alias(k) for k in kinds], row.alias("_row"))
-    both = marks.unionByName(steps.withColumn("_row", F.lit(None)), allowMissingColumns=True).withColumn("_span", at_span(F.col("_s")))
-    totals = steps.groupBy("_k", at_span(F.col("_s")).alias("_span")).agg(*[F.sum(k).alias(f"_t_{k}") for k in kinds])
-    spans = totals.select("_k", "_span", *[f"_t_{k}" for k in kinds]).unionByName(marks.select("_k", at_span(F.col("_s")).alias("_span")).distinct().select("_k", "_span", *[F.lit(0).cast("long").alias(f"_t_{k}") for k in kinds]))
-    spans = spans.groupBy("_k", "_span").agg(*[F.sum(f"_t_{k}").alias(f"_t_{k}") for k in kinds])
-    so_far = Window.partitionBy("_k").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spans.select("_k", "_span", *[F.coalesce(F.sum(f"_t_{k}").over(so_far), F.lit(0)).alias(f"_c_{k}") for k in kinds])
-    running = Window.partitionBy("_k", "_span").orderBy("_s").rangeBetween(Window.unboundedPreceding, 0)
-    summed = both.select("_k", "_span", "_row", *[F.sum(k).over(running).alias(k) for k in kinds]).where("_row is not null")
-    return summed.join(carried, ["_k", "_span"]).select("_row.*", *[(F.col(k) + F.col(f"_c_{k}")).alias(k) for k in kinds])
+    names, reach = list(counts), max(frame for _, frame in counts.values())
+    length = max(span, 4 * reach)
+    at_span = F.floor(F.col("_s") / length)
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    ahead = F.when(F.col("_s") >= (at_span + 1) * length - reach, F.struct((at_span + 1).alias("span"), F.lit(None).cast(timed.select(row).schema[0].dataType).alias("row")))
+    places = F.explode(F.array_compact(F.array(F.struct(at_span.alias("span"), row.alias("row")), ahead)))
+    dealt = timed.select(F.col(f"`{key}`").alias("_k"), "_s", *[F.col(f"`{counts[n][0]}`").alias(f"_v{i}") for i, n in enumerate(names)], places.alias("_p")).select("*", F.col("_p.span").alias("_span"), F.col("_p.row").alias("_row")).drop("_p")
+    dealt = dealt.repartition("_k", "_span")  # what all windows below are dealt by
+    for i, n in enumerate(names):
+        known, frame, same = F.col(f"_v{i}").isNotNull(), counts[n][1], Window.partitionBy("_k", "_span", f"_v{i}").orderBy("_s")
+        before, after = F.lag("_s").over(same), F.lead("_s").over(same)
+        opens = known & (before.isNull() | (F.col("_s") - before > frame))
+        closes = known & (after.isNull() | (after - F.col("_s") > frame))
+        dealt = dealt.select("*", opens.cast("int").alias(f"_o{i}"), closes.cast("int").alias(f"_c{i}")).drop(f"_v{i}")
+    until = lambda n: Window.partitionBy("_k", "_span").orderBy("_s").rangeBetween(Window.unboundedPreceding, -n)
+    in_sight = lambda i, n: F.coalesce(F.sum(f"_o{i}").over(until(1)), F.lit(0)) - F.coalesce(F.sum(f"_c{i}").over(until(counts[n][1] + 1)), F.lit(0))
+    return dealt.select("_row", *[in_sight(i, n).alias(n) for i, n in enumerate(names)]).where("_row is not null").select("_row.*", *[f"`{n}`" for n in names])
 
 
 def feature_table(rows: DataFrame, labels: DataFrame) -> DataFrame:
