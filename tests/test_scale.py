@@ -312,3 +312,29 @@ def test_sweep_deals_rows_once(spark):
     sets = lambda c, n: F.size(F.collect_set(c).over(Window.partitionBy("k").orderBy(F.unix_timestamp("t")).rangeBetween(-n, -1))).cast("long")
     want = rows.select("*", sets("x", features.MONTH).alias("n"), sets("y", features.WEEK).alias("m"))
     assert found.exceptAll(want).count() == 0 and found.count() == 4000
+
+
+def test_features_by_batch_with_late_and_replayed_rows(spark, tmp_path):
+    """The same features as of the whole, final by the watermark; a batch that comes again changes nothing; nothing is paired."""
+    pick = random.Random(5)
+    rows = [(i, pick.randrange(4), pick.choice([0, 0, 1]) + i / 4, i) for i in range(200)]
+    pieces = [rows[:50], rows[50:90], [*rows[90:], (5000, 2, None, 1), (5001, None, 30, 1)], [(1000, 99, 200, 0)], [(2000, 1, 20, 5), (2001, 1, 197.5, 5)], [(3000, 99, 400, 0)]]
+    merge = live.behaviour_by_batch(spark, f"file://{tmp_path}/t", 2 * features.DAY)
+    for n, piece in enumerate(pieces):
+        merge(moves(spark, piece), n)
+        if n in (0, 2, 4):
+            merge(moves(spark, piece), n)
+    names = [*features.COUNTS, *features.SPEND, *features.RATIOS]
+    found = spark.read.parquet(f"file://{tmp_path}/t/features")
+    got = {r["transaction_id"]: [r[n] for n in names] for r in found.collect()}
+    held = rows + [(1000, 99, 200, 0)]
+    batch = features.behaviour(moves(spark, held), distinct=False)
+    assert got == {r["transaction_id"]: [r[n] for n in names] for r in batch.collect()} and found.count() == len(held)
+
+
+def test_live_features_pair_no_rows(spark, monkeypatch):
+    from tidemark import queries_scale as qs
+
+    held = []
+    monkeypatch.setattr(qs.live, "deliver", lambda writer, checkpoint, run=live.deliver: held.extend(op for p in run(writer, checkpoint).recentProgress for op in p["stateOperators"]))
+    assert qs.live_features(spark, TINY).count() == 1000 and not held

@@ -29,7 +29,7 @@ def with_label(rows: DataFrame, labels: DataFrame, key: str = "transaction_id",
     return rows.join(labels.select(key, label), key, "left").withColumn(label, F.coalesce(label, F.lit(0)))
 
 
-def behaviour(rows: DataFrame, by_month: bool = False) -> DataFrame:
+def behaviour(rows: DataFrame, by_month: bool = False, distinct: bool = True) -> DataFrame:
     """rows with a known time and all features.
 
     A frame of N seconds is [t - N, t - 1] in whole seconds: neither the row nor others in its second are seen. Rows
@@ -39,6 +39,7 @@ def behaviour(rows: DataFrame, by_month: bool = False) -> DataFrame:
     by_month is for tables where one customer has a large share of the rows: no frame is longer than 30 days, so a
     customer's rows are dealt by spans of 30 days, each also to the next span, where it is only looked back upon. That
     shuffles twice the rows and gives the same result, and a customer is spread over as many tasks as it has spans.
+    Without distinct, DISTINCT is left out, and rows need not have its columns.
     """
     timed = rows.where(F.col("transaction_ts").isNotNull()).withColumn("_s", epoch_seconds(F.col("transaction_ts")))
     span, keys = F.floor(F.col("_s") / MONTH), ["customer_id"]
@@ -47,13 +48,12 @@ def behaviour(rows: DataFrame, by_month: bool = False) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("_s")
     past = lambda seconds: w.rangeBetween(-seconds, -1)
     n = lambda s: F.count("transaction_id").over(past(s))
+    sets = [F.size(F.collect_set(c).over(past(s))).cast("long").alias(name) for name, (c, s) in DISTINCT_OF.items()] if distinct else []
     raw = timed.select(
         "*",
         n(HOUR).alias("txn_count_1h"), n(DAY).alias("txn_count_24h"), n(WEEK).alias("txn_count_7d"), n(MONTH).alias("_n_30d"),
         F.avg("amount").over(past(WEEK)).alias("_avg_7d"), F.avg("amount").over(past(MONTH)).alias("_avg_30d"), F.max("amount").over(past(MONTH)).alias("_max_30d"),
-        F.size(F.collect_set("transaction_country").over(past(WEEK))).cast("long").alias("distinct_countries_7d"),
-        F.size(F.collect_set("merchant_id").over(past(MONTH))).cast("long").alias("distinct_merchants_30d"),
-        F.size(F.collect_set("device_id").over(past(MONTH))).cast("long").alias("distinct_devices_30d"),
+        *sets,
         *[F.sum(as_int(flag)).over(past(MONTH)).alias(name) for name, flag in SUMS.items()],
         F.sum(F.when(F.col("transaction_status") == "DECLINED", 1).otherwise(0)).over(past(WEEK)).alias("_declined"),
     )

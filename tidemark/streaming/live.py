@@ -49,6 +49,42 @@ def past_features(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return features._finished(raw).drop("at")
 
 
+def behaviour_by_batch(spark: SparkSession, table: str, late: int = DAY) -> callable:
+    """For foreachBatch: what past_features gives, by windows over what a batch makes final, idempotent by batch id.
+
+    A batch's rows are written once, to rows/batch=n, and those that the watermark has passed (`late` seconds before the newest row seen) get their features,
+    in features/batch=n. Only batches with rows of the 30 days before these are read again, each customer's rows are sorted and never
+    paired, and nothing is held between batches but a row a batch of their times (seen/batch=n). Rows not later than the watermark of the batches before are left
+    out, as are those without a time or a customer. Folders whose rows are older than that are read no more.
+    """
+    names = [*features.COUNTS, *features.SPEND, *features.RATIOS]
+    used = ["transaction_id", "customer_id", "transaction_ts", "amount", "transaction_status", *features.SUMS.values()]
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        seconds = epoch_seconds(F.col("transaction_ts"))
+        seen = spark.read.parquet(f"{table}/seen").where(F.col("batch") < batch_id) if batch_id > 0 else None
+        before = seen.agg(F.max("newest")).first()[0] if seen else None
+        passed = before - late if before is not None else None
+        known = batch.select(*used).where("transaction_ts is not null and customer_id is not null")
+        kept = known if passed is None else known.where(seconds > passed)
+        kept.write.mode("overwrite").parquet(f"{table}/rows/batch={batch_id}")
+        written = spark.read.schema(kept.schema).parquet(f"{table}/rows/batch={batch_id}")
+        written.agg(F.max(seconds).alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{table}/seen/batch={batch_id}")
+        newest = max((t for t in (before, spark.read.parquet(f"{table}/seen/batch={batch_id}").first()[0]) if t is not None), default=None)
+        now = written
+        if passed is not None:
+            back = seen.where(F.col("newest") >= passed - MONTH).select("batch").collect()  # of a month's batches, a number each
+            if back:
+                now = now.unionByName(spark.read.schema(kept.schema).parquet(*[f"{table}/rows/batch={r['batch']}" for r in back]))
+            now = now.where(seconds > passed - MONTH)
+        final = now.where(seconds <= newest - late) if newest is not None else now
+        done = features.behaviour(final, distinct=False)
+        done = done if passed is None else done.where(seconds > passed)
+        done.select("transaction_id", "customer_id", "transaction_ts", "amount", *names).write.mode("overwrite").parquet(f"{table}/features/batch={batch_id}")
+
+    return merge
+
+
 def upsert_latest(spark: SparkSession, table: str, key: list[str], newest_first: list, publish) -> callable:
     """For foreachBatch: keeps the newest row of each key in versions of a table under `table`, idempotent by batch id.
 
