@@ -338,3 +338,20 @@ def test_live_features_pair_no_rows(spark, monkeypatch):
     held = []
     monkeypatch.setattr(qs.live, "deliver", lambda writer, checkpoint, run=live.deliver: held.extend(op for p in run(writer, checkpoint).recentProgress for op in p["stateOperators"]))
     assert qs.live_features(spark, TINY).count() == 1000 and not held
+
+
+def test_facts_shuffle_no_lines_by_customer_and_no_texts(spark):
+    """Where no dimension is small enough to send: customers meet orders, and the lines' texts are made after their shuffles."""
+    import re
+
+    from tidemark import queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.enrich_signals(spark, TINY)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#.*\n.*?Project \[(.*)\]", plan)
+    lines = {key for key, columns in dealt if "l_extendedprice" in columns or "amount#" in columns}
+    assert lines == {"device_id", "l_orderkey", "merchant_id"} and {"customer_id"} < {key for key, _ in dealt}
+    assert not any(name in columns for _, columns in dealt for name in ("payment_type", "transaction_country"))

@@ -13,10 +13,20 @@ SIGNALS = ["is_cross_border", "is_high_risk_merchant", "is_risky_device", "is_ca
 
 def enrich(rows: DataFrame, customers: DataFrame, merchants: DataFrame, devices: DataFrame) -> DataFrame:
     """Left joins: no transaction disappears. There is no broadcast hint: Spark knows the sides' sizes and
-    takes a shuffle where a dimension is too large to send."""
+    takes a shuffle where a dimension is too large to send. Such a shuffle carries all columns of rows: give it few, and make texts from keys after it."""
     return rows.drop("merchant_category").join(customers, "customer_id", "left").join(merchants, "merchant_id", "left").join(devices, "device_id", "left")
 
 
+def enrich_lines(lines: DataFrame, orders: DataFrame, order_key: str, customers: DataFrame, merchants: DataFrame, devices: DataFrame) -> DataFrame:
+    """enrich() for transactions that are lines of orders, a customer each: inner join to the orders, left joins to the dimensions.
+
+    Customers are joined to the orders, which are fewer than the lines; the lines meet devices first, while they are narrow, and merchants last.
+    Lines are shuffled twice at most instead of three times, and neither a customer's nor a merchant's texts by device.
+    """
+    known = lines.join(devices, "device_id", "left").join(orders.join(customers, "customer_id", "left"), order_key)
+    return known.join(merchants, "merchant_id", "left")
+
+
 def hot_keys(rows: DataFrame, key: str, share: float = 0.001, error: float = 0.2) -> DataFrame:
     """Keys with at least `share` of the rows: at most 1 / share of them.
 

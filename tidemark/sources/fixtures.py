@@ -41,15 +41,30 @@ def dim_device(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def star_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as transactions, as they lie there: numbers only."""
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("merchant_id"), F.col("l_partkey").alias("device_id"), F.col("l_extendedprice").alias("amount"))
+
+
+def star_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") + 1).alias("customer_id"), F.to_date("o_orderdate").alias("event_date"))
+
+
+def star_named(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """rows of lines and orders with what follows from their keys: id, hour, country, payment. The other columns stay."""
+    nation, at = load(spark, sf_dir, "nation"), (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % COUNTRIES
+    made = {
+        "transaction_id": F.col("l_orderkey") * 10 + F.col("l_linenumber"), "transaction_hour": (F.col("l_orderkey") % 24).cast("int"),
+        "transaction_country": F.col("n_name"), "payment_type": _nth(PAYMENTS, F.col("l_orderkey") + F.col("l_linenumber")),
+    }
+    return rows.join(nation, at == nation.n_nationkey).withColumns(made).drop("l_orderkey", "l_linenumber", *nation.columns)
+
+
 def star_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as transactions."""
-    line, orders, nation = (load(spark, sf_dir, t) for t in ("lineitem", "orders", "nation"))
-    at = (F.col("l_orderkey") * 7 + F.col("l_linenumber")) % COUNTRIES
-    return line.join(orders, line.l_orderkey == orders.o_orderkey).join(nation, at == nation.n_nationkey).select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("transaction_id"), (F.col("o_custkey") + 1).alias("customer_id"), F.col("l_suppkey").alias("merchant_id"), F.col("l_partkey").alias("device_id"),
-        F.to_date("o_orderdate").alias("event_date"), (F.col("l_orderkey") % 24).cast("int").alias("transaction_hour"), F.col("n_name").alias("transaction_country"),
-        _nth(PAYMENTS, F.col("l_orderkey") + F.col("l_linenumber")).alias("payment_type"), F.col("l_extendedprice").alias("amount"), F.lit("none").alias("merchant_category"),
-    )
+    rows = star_named(spark, sf_dir, star_lines(spark, sf_dir).join(star_orders(spark, sf_dir), "l_orderkey"))
+    columns = ["transaction_id", "customer_id", "merchant_id", "device_id", "event_date", "transaction_hour", "transaction_country", "payment_type", "amount"]
+    return rows.select(*columns, F.lit("none").alias("merchant_category"))
 
 
 #: The same transactions joined to their dimensions, for DuckDB.
