@@ -355,3 +355,14 @@ def test_facts_shuffle_no_lines_by_customer_and_no_texts(spark):
     lines = {key for key, columns in dealt if "l_extendedprice" in columns or "amount#" in columns}
     assert lines == {"device_id", "l_orderkey", "merchant_id"} and {"customer_id"} < {key for key, _ in dealt}
     assert not any(name in columns for _, columns in dealt for name in ("payment_type", "transaction_country"))
+
+
+def test_skewed_enrichment_makes_its_rows_once(spark):
+    """The joins before it are not made again for each key's counts; the hot keys of all columns come from one sketch."""
+    from tidemark import queries_scale as qs
+
+    plan = qs.enrich_skewed(spark, TINY)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_extendedprice" not in plan and "o_custkey" not in plan
+    rows = spark.range(1000).select(F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("a"), F.when(F.col("id") % 5 == 0, None).otherwise(F.col("id") % 4).alias("b"), F.col("id").alias("c"))
+    found = enrich.hot_keys_of(rows, ["a", "b", "c"], 0.2)
+    assert sorted(map(tuple, found.collect())) == [("a", 7, 500), *(("b", k, 200) for k in range(4))]

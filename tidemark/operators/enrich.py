@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_int, null_as_false
+from ..sources.tables import overwrite, scratch_path
 
 # The risk signals.
 SIGNALS = ["is_cross_border", "is_high_risk_merchant", "is_risky_device", "is_card_not_present", "is_international_transaction", "is_nighttime_transaction"]
@@ -27,18 +28,25 @@ def enrich_lines(lines: DataFrame, orders: DataFrame, order_key: str, customers:
     return known.join(merchants, "merchant_id", "left")
 
 
-def hot_keys(rows: DataFrame, key: str, share: float = 0.001, error: float = 0.2) -> DataFrame:
-    """Keys with at least `share` of the rows: at most 1 / share of them.
+def hot_keys_of(rows: DataFrame, keys: list[str], share: float = 0.001, error: float = 0.2) -> DataFrame:
+    """_of, _key, n: the keys of each column with at least `share` of the rows, at most 1 / share a column. Keys are whole numbers or texts of one type.
 
-    One pass: a key is a candidate if its hash falls in a heavy bucket of a count sketch of fixed size, and only candidates are counted.
+    The rows are read twice, whatever the number of columns: a key is a candidate if its hash falls in a heavy bucket of a count sketch of fixed size, and only
+    candidates are counted.
     """
     width = int(2 / (share * error))
-    bucket = F.pmod(F.xxhash64(key), F.lit(width))
-    sketch = rows.where(F.col(key).isNotNull()).groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("n"))  # `width` rows at most
-    total = sketch.agg(F.sum("n").alias("total"))
-    heavy = sketch.join(total).where(F.col("n") >= share * F.col("total")).select("_bucket", "total")
-    counted = rows.where(F.col(key).isNotNull()).select(key, bucket.alias("_bucket")).join(F.broadcast(heavy), "_bucket").groupBy(key, "total").agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= share * F.col("total")).select(key, "n")
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("_of"), F.col(f"`{k}`").alias("_key")) for k in keys])).alias("e")).select("e.*").where("_key is not null")
+    each = each.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(width)))
+    sketch = each.groupBy("_of", "_bucket").agg(F.count("*").alias("n"))  # `width` rows a column at most
+    whole = Window.partitionBy("_of")
+    heavy = sketch.withColumn("total", F.sum("n").over(whole)).where(F.col("n") >= share * F.col("total")).select("_of", "_bucket", "total")
+    counted = each.join(F.broadcast(heavy), ["_of", "_bucket"]).groupBy("_of", "_key", "total").agg(F.count("*").alias("n"))
+    return counted.where(F.col("n") >= share * F.col("total")).select("_of", "_key", "n")
+
+
+def hot_keys(rows: DataFrame, key: str, share: float = 0.001, error: float = 0.2) -> DataFrame:
+    """Keys with at least `share` of the rows: at most 1 / share of them."""
+    return hot_keys_of(rows, [key], share, error).select(F.col("_key").alias(key), "n")
 
 
 def skewed_join(rows: DataFrame, dim: DataFrame, key: str, hot: DataFrame, per_task: int = 100_000) -> DataFrame:
@@ -56,10 +64,18 @@ def skewed_join(rows: DataFrame, dim: DataFrame, key: str, hot: DataFrame, per_t
 
 
 def enrich_skewed(rows: DataFrame, customers: DataFrame, merchants: DataFrame, devices: DataFrame, share: float = 0.001, per_task: int = 100_000) -> DataFrame:
-    """enrich() for dimensions of any size and keys of any frequency."""
-    out = rows.drop("merchant_category")
-    for dim, key in ((customers, "customer_id"), (merchants, "merchant_id"), (devices, "device_id")):
-        out = skewed_join(out, dim, key, hot_keys(rows, key, share), per_task)
+    """enrich() for dimensions of any size and keys of any frequency.
+
+    What the rows' plan makes (joins, say) is made once: the rows are written, and so are the hot keys of all dimensions, which are few. Rows should have no
+    texts yet: the joins shuffle all columns.
+    """
+    spark, path, dims = rows.sparkSession, scratch_path(rows.sparkSession, "skewed"), {"customer_id": customers, "merchant_id": merchants, "device_id": devices}
+    overwrite(rows.drop("merchant_category"), f"{path}/rows")
+    out = held = spark.read.parquet(f"{path}/rows")
+    overwrite(hot_keys_of(held, list(dims), share), f"{path}/hot")
+    hot = spark.read.parquet(f"{path}/hot")
+    for key, dim in dims.items():
+        out = skewed_join(out, dim, key, hot.where(F.col("_of") == key).select(F.col("_key").alias(key), "n"), per_task)
     return out
 
 
