@@ -44,6 +44,39 @@ def test_batches_and_end_ids():
     assert len(e(pa.array([], pa.string()))) == 0
 
 
+def test_every_latin_character_and_white_space():
+    e = tf.Encoder(PATH)
+    chars = [chr(c) for c in [*range(0x260), *range(0x1680, 0x1682), *range(0x2000, 0x2030), 0x205F, 0x2060, 0x3000, 0xFEFF, 0x1F600]]
+    forms = ("a{0}b x{0} {0}y 1{0}2", "it'{0} '{0}s {0}'s l'{0}t", "{0}{0} .{0}. \u00e9{0}\u00e9", "w\n{0}\n\nb{0}", "{0}", "{0} a", "a {0}")
+    texts = [f.format(c) for c in chars for f in forms]
+    assert [x.as_py() for x in e(pa.array(texts))] == [e.whole(t) for t in texts]
+    assert e.all_divisible(pa.array(texts)).tolist() == [e.divisible(t) for t in texts]
+
+
+def test_latin_pieces_and_plain_texts_cost_no_call(monkeypatch):
+    e = tf.Encoder(PATH)
+    texts = ["d\u00e9j\u00e0 vu, na\u00efve \u0141\u00f3d\u017a\n\u00fcber 12\u00bd", "plain words\nand more"]
+    want = [e.whole(t) for t in texts]
+    asked = []
+
+    class Library:
+        """The tokenizer, without its whole encoding."""
+
+        model = e.tokenizer.model
+
+        def encode_batch_fast(self, some, **how):
+            asked.extend(some)
+            return [None] * len(some)
+
+    e.tokenizer = Library()
+    monkeypatch.setattr(e, "divisible", lambda t: asked.append(t) or True)
+    try:
+        got = [x.as_py() for x in e(pa.array(texts))]
+    except (AttributeError, TypeError):
+        got = None
+    assert not asked and got == want
+
+
 def test_other_tokenizers_get_whole_texts(spark, tmp_path):
     from tokenizers import Tokenizer, models
 

@@ -105,10 +105,17 @@ def _tokenizer(path: str):
 _BESIDE = ("  ", " \n", "\n ")
 _RARE = "\0\t\v\f\r\x1c\x1d\x1e\x1f"
 _BESIDE_ANY = re.compile(r" \s|[^\S ] ")
+#: Whatever a text that is not divisible has, as a pattern of Arrow's: all white space but single spaces and line ends.
+_SUSPECT = r"^$|^ | $|  | \n|\n |[\x00\x09\x0b-\x0d\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
-#: How the byte-level pre-tokenizer parts ASCII text (a fixed pattern).
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\v\f\rA-Za-z0-9]+|[ \t\n\v\f\r]+(?![^ \t\n\v\f\r])|[ \t\n\v\f\r]+")
+#: How the byte-level pre-tokenizer parts text (a fixed pattern) up to the end of Latin Extended-B, whose letters and numbers
+#: are these. Other characters, and the white space beyond ASCII, are left to the library.
+_L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r" \t\n\v\f\r"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_BEYOND = re.compile(r"[\x85\xa0\u0250-\U0010ffff]")
+#: The byte alphabet of the models: bytes that aren't printable in Latin-1 are written as the letters from U+0100 on.
+_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class Encoder:
@@ -126,6 +133,7 @@ class Encoder:
         self.kind = id_kind(self.tokenizer)
         self.code = {2: "H", 4: "I"}[self.kind.itemsize]
         self.plain = _byte_level(json.loads(self.tokenizer.to_str()))
+        self.suspect = "|".join([_SUSPECT, *(re.escape(x) for x in self.special if x)])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -137,27 +145,47 @@ class Encoder:
             return False
         return (text.isascii() and not any(x in text for x in _RARE)) or not _BESIDE_ANY.search(text)
 
+    def all_divisible(self, texts: pa.Array) -> np.ndarray:
+        """divisible() of each text; only those that have what hinders it are looked at one by one."""
+        if not self.plain:
+            return np.zeros(len(texts), bool)
+        out = ~pc.match_substring_regex(texts, self.suspect).to_numpy(zero_copy_only=False)
+        some = np.flatnonzero(~out)
+        out[some] = [self.divisible(t) for t in _strings(texts.take(pa.array(some)))]
+        return out
+
     def learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces not known yet. ASCII pieces are put together from the pre-tokenizer's parts, as a word
+        """Ids of pieces not known yet. Latin pieces are put together from the pre-tokenizer's parts, as a word
         comes with many endings; those with a line end hardly come again and are not remembered."""
         if len(self.known) > self.cached:  # frequent pieces came early
             self.known = dict(islice(self.known.items(), self.cached // 2))
-        known = self.known
-        parts = [_PARTS.findall(x) if x.isascii() else [x] for x in pieces]
-        new = {p for ps in parts for p in ps if p not in known}
-        # one part of printable ASCII is one word of the model, whose byte alphabet writes the space as a letter
-        split, code, rest = self.tokenizer.model.tokenize, self.code, []
-        for p in new:
-            if p.isascii() and p[0] != "\n" and p.isprintable() and not p.isspace():
-                known[p] = array(code, [t.id for t in split(p.replace(" ", "\u0120"))]).tobytes()
-            else:
-                rest.append(p)
+        known, rest = self.known, []
+        # a part is one word of the model, whose byte alphabet writes the space as a letter
+        split, code, find, beyond = self.tokenizer.model.tokenize, self.code, _PARTS.findall, _BEYOND.search
+        out = []
+        for x in pieces:
+            plain = x.isascii()
+            if not plain and beyond(x):
+                rest.append(len(out))
+                out.append(None)
+                continue
+            ids = []
+            for p in find(x):
+                k = known.get(p)
+                if k is None:
+                    w = p.replace(" ", "\u0120") if plain and p.isprintable() else p.encode().decode("latin-1").translate(_LETTERS)
+                    k = known[p] = array(code, [t.id for t in split(w)]).tobytes()
+                ids.append(k)
+            ids = ids[0] if len(ids) == 1 else b"".join(ids)
+            if "\n" not in x:
+                known[x] = ids
+            out.append(ids)
         for k in range(0, len(rest), 4096):
             some = rest[k : k + 4096]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                known[x] = array(code, e.ids).tobytes()
-        out = [known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps]) for ps in parts]
-        known.update((x, ids) for x, ids in zip(pieces, out) if "\n" not in x)
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([pieces[i] for i in some], add_special_tokens=False)):
+                out[i] = array(code, e.ids).tobytes()
+                if "\n" not in pieces[i]:
+                    known[pieces[i]] = out[i]
         return out
 
     def pieces_of(self, pieces: list[str]) -> list[bytes]:
@@ -175,41 +203,37 @@ class Encoder:
         lists = pc.split_pattern(texts, " ")
         begin, words = lists.offsets.to_numpy().astype(np.int64), lists.flatten()
         coded = words.dictionary_encode()
-        own = [None if self.divisible(t) else t for t in texts.to_pylist()]
-        apart = np.array([t is None for t in own])
+        apart = self.all_divisible(texts)
         first, size = begin[:-1], np.diff(begin)
         follows = np.repeat(apart, size)
         follows[first] = False
         number = coded.indices.to_numpy().astype(np.int64)
         used = np.flatnonzero(np.bincount(number[follows], minlength=len(coded.dictionary)))
-        table = self.pieces_of([" " + w for w in coded.dictionary.take(pa.array(used)).to_pylist()])
+        table = self.pieces_of([" " + w for w in _strings(coded.dictionary.take(pa.array(used)))])
         place = np.zeros(len(coded.dictionary), np.int64)
         place[used] = np.arange(len(used))
         # a text's first word stands after no space
-        heads = [w if a else "" for w, a in zip(words.take(pa.array(first)).to_pylist(), apart.tolist())]
+        heads = [w if a else "" for w, a in zip(_strings(words.take(pa.array(first))), apart.tolist())]
         entry = place[number]
         entry[first] = len(table) + np.arange(len(heads))
         table += self.pieces_of(heads)
         wholes = np.flatnonzero(~apart)  # one entry stands for the text
         entry[first[wholes]] = len(table) + np.arange(len(wholes))
-        table += [self.whole(own[i]) for i in wholes.tolist()]
-        stays = follows.copy()
+        table += [self.whole(t) for t in _strings(texts.take(pa.array(wholes)))]
+        table.append(b"" if end is None else np.array([end], self.kind).tobytes())
+        stays = follows
         stays[first] = True
-        entry, text = entry[stays], np.repeat(np.arange(len(texts)), size)[stays]
-        length = np.array([len(x) for x in table], np.int64) // self.kind.itemsize
-        ids, from_ = np.frombuffer(b"".join(table), self.kind), np.cumsum(length) - length
-        count = np.bincount(text, length[entry], len(texts)).astype(np.int64)
-        ends = np.cumsum(count + (end is not None))
-        out = np.zeros(int(ends[-1]), self.kind)
-        n = length[entry]
-        total = int(n.sum())
-        into = np.arange(total)
-        if end is not None:
-            out[ends - 1] = end
-            into = into + np.repeat(np.arange(len(texts)), count)
-        out[into] = ids[np.repeat(from_[entry] - (np.cumsum(n) - n), n) + np.arange(total)]
-        offsets = np.concatenate([[0], ends]) * self.kind.itemsize
-        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out.tobytes())])
+        # an entry after each text's last is its end id
+        upto = np.cumsum(np.where(apart, size, 1))
+        entry = np.insert(entry[stays], upto, len(table) - 1)
+        taken = pa.array(table, pa.large_binary()).take(pa.array(entry))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64)[np.concatenate([[0], upto + np.arange(1, len(texts) + 1)])]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)), taken.buffers()[2]])
+
+
+def _strings(column: pa.Array) -> list[str]:
+    """to_pylist() of strings without nulls, at a tenth of its time."""
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
 def id_kind(tokenizer) -> np.dtype:
