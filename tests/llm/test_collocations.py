@@ -115,3 +115,40 @@ def test_empty_and_clashing_names(spark):
     assert c.collocations(docs.where("false"), 2).count() == 0
     assert c.collocations(docs, 100).count() == 0
     assert sorted(tuple(r) for r in c.collocations(docs, 2).collect()) == plain([("en", "a b a b a b")], 2, 2000)
+
+
+def test_few_rows_of_rare_phrases(spark):
+    """Pairs that are frequent make many rare triples; only a frequent one is told, once a task."""
+    pick = random.Random(5)
+    words = [f"w{i}" for i in range(12)]
+    rows = [("en", " ".join(pick.choice(words) for _ in range(40)) + ". one two three four.") for _ in range(300)]
+    texts = spark.createDataFrame([(lang, text.encode()) for lang, text in rows], "lang string, text binary").coalesce(2).cache()
+    counts = Counter(tuple(w[i : i + k]) for _, t in rows for piece in t.split(".") for w in [piece.split()] for k in (1, 2, 3, 4, 5) for i in range(len(w) - k + 1))
+    field = lambda n: spark.sparkContext.broadcast(c.bit_field(spark.createDataFrame([("en", " ".join(p)) for p, f in counts.items() if len(p) == n and f >= 50], "lang string, phrase string")))
+    one, two = field(1), field(2)
+    may_be = spark.sparkContext.broadcast(c.bucket_field(texts, one, two, 50, 5))
+    told = [tuple(r) for r in texts.mapInArrow(c._count_longer(one, two, may_be, 5), c._COUNTS).collect()]
+    assert sum(len(p) == 3 for p in counts) > 1700  # as many rows, and more, without buckets
+    assert {p for _, p, _ in told} == {"one two three", "two three four", "one two three four"} and len(told) == 6
+    assert sum(n for _, _, n in told) == 900
+
+
+def test_counts_beyond_a_byte_and_buckets_that_are_full(spark, monkeypatch):
+    rows = invented(6, 200)
+    assert made(spark, rows * 9, 300) == plain(rows * 9, 300, 2000)
+    monkeypatch.setattr(c, "_marked", lambda field, keys: np.ones(len(keys), bool))  # every phrase passes
+    some = invented(7, 20)
+    import pyarrow as pa
+
+    batches = [b for _ in range(3) for b in pa.table({"lang": [r[0] or "und" for r in some], "text": [(r[1] or "").encode() for r in some]}).to_batches()]
+
+    class Field:
+        value = np.zeros(8, np.uint8)
+
+    tell = lambda: [r for b in c._count_longer(Field, Field, Field, 5)(batches) for r in zip(*(x.to_pylist() for x in b.columns))]
+    added = lambda told: Counter({k: sum(n for *p, n in told if tuple(p) == k) for k in {r[:2] for r in told}})
+    many = tell()
+    monkeypatch.setattr(c, "SHARD_BYTES", 300)
+    monkeypatch.setattr(c, "HELD", 64)
+    few = tell()
+    assert len(many) == len({r[:2] for r in many}) < len(few) and added(many) == added(few)

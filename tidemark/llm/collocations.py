@@ -6,9 +6,11 @@ phrase's bitmap (where its last word stands), shifted by one position and ANDed
 the bitmaps of its extensions, and their popcounts are the shard's counts. Extension goes depth-first, a bounded number of
 bitmaps at a time. The counts of all shards are summed by Spark.
 
-Texts are never shuffled: they are scanned for words, for pairs of frequent words, for triples of frequent pairs and for the
-longer phrases, all of whose triples must be frequent. What is frequent is told to the shards by a bit field of fixed size
-for each length; a false bit costs a row that the exact sums then drop.
+Texts are never shuffled: they are scanned for words, for pairs of frequent words and, twice, for the longer phrases, all of
+whose pairs must be frequent. The first of the two scans only adds their counts up by hash, in buckets of fixed number; a
+phrase can be frequent only if its bucket and those of its parts are, so that the second tells hardly any other, and those of a
+task at once. What is frequent is told to the shards by bit fields of fixed size; a false bit costs a row that the exact sums
+then drop.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, materialise, mix, word_hashes
+from .common import bytes_of, materialise, mix, partitions, word_hashes
 
 LONGEST = 5
 SHARD_BYTES = 4 << 20
 FILTER_BITS = 26  # 8 MB are broadcast, whatever the corpus
+BLOCK = 1 << 16  # buckets that are told in one row
+HELD = 1 << 18  # rows that a task adds up before it tells them
 BATCH, STEP = 1 << 18, 1 << 16  # bytes of bitmaps that are extended depth-first and ANDed at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -284,37 +288,110 @@ def _pairs(lang: str, shard: Shard, words: np.ndarray):
     return first, second, found, columns
 
 
-def _count_longer(fields: list, upto: int):
-    """Counts of the phrases that are longer than what the fields (of words, pairs, ...) mark, up to so many words."""
-    known = len(fields)
+def _longer(lang: str, shard: Shard, words: np.ndarray, pairs: np.ndarray, upto: int, may_be=None):
+    """Phrases of three words and more all of whose pairs are marked and which may be frequent: their words and bitmaps."""
+    first, second, found, columns = _pairs(lang, shard, words)
+    seed = _seed(lang)
+
+    def key(phrase):
+        return _key([shard.hashes[w] for w in phrase], seed)
+
+    keep = _marked(pairs, key([first, second]))
+    stack = [([first[keep], second[keep]], found.of(keep))]
+    while stack:
+        phrase, maps = stack.pop()
+        if len(maps.phrase) > BATCH and len(phrase[0]) > 1:
+            half = np.arange(len(phrase[0])) < max(1, int(maps.phrase[len(maps.phrase) // 2]))
+            stack += [([w[~half] for w in phrase], maps.of(~half)), ([w[half] for w in phrase], maps.of(half))]
+            continue
+        if not len(phrase[0]):
+            continue
+        old, word, longer = columns.extend(maps)
+        grown = [*(w[old] for w in phrase), word]
+        keep = _marked(pairs, key(grown[-2:]))
+        if may_be is not None:
+            for n in range(3, len(grown) + 1):
+                keep &= _marked(may_be, key(grown[-n:]))
+        grown, longer = [w[keep] for w in grown], longer.of(keep)
+        if len(grown[0]):
+            yield grown, key(grown), longer
+        if len(grown) < upto:
+            stack.append((grown, longer))
+
+
+def bucket_field(texts: DataFrame, words, pairs, least: int, upto: int) -> np.ndarray:
+    """Marks of the buckets in which the counts of longer phrases come to `least` together; both fields are broadcast.
+
+    Counts stop where they suffice, so that a byte a bucket is enough; a task tells its own, some BLOCK in a row.
+    """
+    top, size = min(least, 255), 1 << FILTER_BITS
 
     def run(batches):
+        total = None
         for lang, shard in shards(batches):
-            first, second, found, columns = _pairs(lang, shard, fields[0].value)
-            seed = _seed(lang)
-
-            def may_be(words, n):
-                """Whether the last n words are marked."""
-                return _marked(fields[n - 1].value, _key([shard.hashes[w] for w in words[-n:]], seed))
-
-            keep = may_be([first, second], 2)
-            stack = [([first[keep], second[keep]], found.of(keep))]
-            while stack:
-                words, maps = stack.pop()
-                if len(maps.phrase) > BATCH and len(words[0]) > 1:
-                    half = np.arange(len(words[0])) < max(1, int(maps.phrase[len(maps.phrase) // 2]))
-                    stack += [([w[~half] for w in words], maps.of(~half)), ([w[half] for w in words], maps.of(half))]
-                    continue
-                if not len(words[0]):
-                    continue
-                old, word, longer = columns.extend(maps)
-                grown = [*(w[old] for w in words), word]
-                keep = may_be(grown, min(len(grown), known))
-                grown, longer = [w[keep] for w in grown], longer.of(keep)
-                if len(grown) > known and len(grown[0]):
-                    yield _rows(lang, _spelt(shard, grown), longer.counts(len(grown[0])))
-                if len(grown) < upto:
-                    stack.append((grown, longer))
+            total = np.zeros(size, np.uint8) if total is None else total
+            for grown, keys, maps in _longer(lang, shard, words.value, pairs.value, upto):
+                order = np.argsort(keys)
+                keys, n = keys[order], maps.counts(len(keys))[order]
+                first = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
+                some = keys[first]
+                total[some] = np.minimum(total[some] + np.add.reduceat(n, first), top)
+        for at in range(0, 0 if total is None else size, BLOCK):
+            places = np.flatnonzero(total[at : at + BLOCK])
+            if len(places):
+                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([places.astype(np.uint16).tobytes()]), pa.array([total[at + places].tobytes()])], ["block", "places", "counts"])
+
+    def add(batches):
+        """The sums of each block as bits; blocks come one after the other."""
+        block, total = None, np.zeros(BLOCK, np.int64)
+
+        def close():
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= top, bitorder="little").tobytes()])], ["block", "bits"])
+
+        for batch in batches:
+            for b, places, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                if b != block and block is not None:
+                    yield close()
+                    total[:] = 0
+                block = b
+                total[np.frombuffer(places, np.uint16)] += np.frombuffer(counts, np.uint8)
+        if block is not None:
+            yield close()
+
+    told = texts.mapInArrow(run, "block int, places binary, counts binary")
+    rows = told.repartition(partitions(texts.sparkSession), "block").sortWithinPartitions("block").mapInArrow(add, "block int, bits binary")
+    out = np.zeros((size // BLOCK, BLOCK // 8), np.uint8)
+    for block, bits in rows.collect():  # bounded by the field's size
+        out[block] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _added_up(rows):
+    """The rows of a task, those of one phrase as one while there is room."""
+    held, n = [], 0
+    for batch in rows:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= HELD:
+            held = _together(held)
+            n = sum(b.num_rows for b in held)
+            if n > HELD // 2:
+                yield from held
+                held, n = [], 0
+    yield from _together(held)
+
+
+def _together(rows: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    if len(rows) < 2:
+        return rows
+    return pa.Table.from_batches(rows).group_by(["lang", "phrase"], use_threads=False).aggregate([("n", "sum")]).select(["lang", "phrase", "n_sum"]).rename_columns(["lang", "phrase", "n"]).combine_chunks().to_batches()
+
+
+def _count_longer(words, pairs, may_be, upto: int):
+    """Counts of the phrases of three words and more whose buckets are marked; all fields are broadcast."""
+
+    def run(batches):
+        return _added_up(_rows(lang, _spelt(shard, grown), maps.counts(len(grown[0]))) for lang, shard in shards(batches) for grown, _, maps in _longer(lang, shard, words.value, pairs.value, upto, may_be.value))
 
     return run
 
@@ -332,12 +409,11 @@ def frequent_phrases(texts: DataFrame, least: int, longest: int = LONGEST) -> tu
             yield _rows(lang, _spelt(shard, [first, second]), found.counts(len(first)))
 
     pairs = _summed(texts, count_pairs, least, "pairs")
-    found, fields = [singles, pairs], [word_field, spark.sparkContext.broadcast(bit_field(pairs))]
-    for upto in sorted({min(3, longest), longest}):
-        if upto > len(fields):
-            longer = _summed(texts, _count_longer(fields, upto), least, "longer")
-            found.append(longer)
-            fields = [*fields, spark.sparkContext.broadcast(bit_field(longer))] if upto < longest else fields
+    found = [singles, pairs]
+    if longest > 2:
+        pair_field = spark.sparkContext.broadcast(bit_field(pairs))
+        may_be = spark.sparkContext.broadcast(bucket_field(texts, word_field, pair_field, least, longest))
+        found.append(_summed(texts, _count_longer(word_field, pair_field, may_be, longest), least, "longer"))
     return reduce(DataFrame.unionByName, found), totals
 
 
